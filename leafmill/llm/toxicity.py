@@ -26,7 +26,7 @@ from leafmill.llm.common import steps, words, words_text
 BLOCK = 64
 MAX_EXAMPLES = 20_000
 MIN_DF = 3
-MIN_Z = 3.0
+MIN_Z = 3.5
 NEIGHBOURS = 15
 THRESHOLD = 0.5
 SOFT = 0.1
