@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leafmill.functions.numbers import is_close, strict_double, strict_long
-from leafmill.functions.text import normalize_alphanumeric, strip
+from leafmill.functions.text import bind, normalize_alphanumeric, strip
 from leafmill.schema import FieldSpec
 
 YES, NO = ("1", "true", "yes"), ("0", "false", "no")
@@ -64,8 +64,8 @@ def fits(v: Column, spec: FieldSpec) -> Column:
 
 
 def eval_double(s: Column) -> Column:
-    d = strict_double(F.regexp_replace(s, r"[,$€£¥₹]|(?U)\s", ""))
-    return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
+    number = strict_double(F.regexp_replace(s, r"[,$€£¥₹]|(?U)\s", ""))
+    return bind(number, lambda d: F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d))
 
 
 def values_match(a: Column, b: Column, type_: str = "string") -> Column:
@@ -73,10 +73,9 @@ def values_match(a: Column, b: Column, type_: str = "string") -> Column:
     if type_ == "number":
         hit = is_close(eval_double(a), eval_double(b))
     elif type_ == "integer":
-        x, y = strict_double(strip(a)), strict_double(strip(b))
-        hit = (x == y) & (x == F.floor(x))
+        hit = bind(F.struct(strict_double(a).alias("a"), strict_double(b).alias("b")), lambda x: (x["a"] == x["b"]) & (x["a"] == F.floor(x["a"])))
     elif type_ == "boolean":
-        side = lambda s: F.when(F.lower(strip(s)).isin(*YES), True).when(F.lower(strip(s)).isin(*NO), False)
+        side = lambda s: bind(F.lower(strip(s)), lambda w: F.when(w.isin(*YES), True).when(w.isin(*NO), False))
         hit = side(a) == side(b)
     else:
         hit = normalize_alphanumeric(a) == normalize_alphanumeric(b)

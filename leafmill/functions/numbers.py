@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import collapse, normalize_text, strip
+from leafmill.functions.text import bind, collapse, normalize_text, strip
 
 _FLOAT = r"[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?"
 _INT = r"[+-]?\d+(_\d+)*"
@@ -22,7 +22,10 @@ def _whole(x: Column, pattern: str) -> Column:
 
 def strict_double(x: Column) -> Column:
     """What Python's float() makes of a string; null where it would fail."""
-    s = strip(x)
+    return bind(strip(x), _strict_double)
+
+
+def _strict_double(s: Column) -> Column:
     word = F.regexp_replace(F.lower(s), r"^\+", "")
     special = F.when(word.isin("inf", "infinity"), F.lit(float("inf"))).when(word.isin("-inf", "-infinity"), F.lit(float("-inf"))).when(F.regexp_replace(word, "^-", "") == "nan", F.lit(float("nan")))
     return F.when(_whole(s, _FLOAT), F.replace(s, F.lit("_"), F.lit("")).try_cast("double")).otherwise(special)
@@ -30,8 +33,7 @@ def strict_double(x: Column) -> Column:
 
 def strict_long(x: Column) -> Column:
     """What Python's int() makes of a string; null where it would fail or not fit 64 bits."""
-    s = strip(x)
-    return F.when(_whole(s, _INT), F.replace(F.regexp_replace(s, r"^\+", ""), F.lit("_"), F.lit("")).try_cast("bigint"))
+    return bind(strip(x), lambda s: F.when(_whole(s, _INT), F.replace(F.regexp_replace(s, r"^\+", ""), F.lit("_"), F.lit("")).try_cast("bigint")))
 
 
 def looks_numeric(x: Column) -> Column:
@@ -59,17 +61,22 @@ def locale_numbers(text: Column) -> Column:
 
 def value_in_text(value: Column, text: Column) -> Column:
     """A numeric-looking value is in a text when one of its tokens reads as that number; others when they are part of it once normalised."""
-    v = strip(value)
-    n = first_number(v)
-    numeric = F.exists(locale_numbers(collapse(text)), lambda c: F.abs(c - n) <= 1e-6)
-    plain = normalize_text(value)
-    hit = F.when(looks_numeric(v), F.coalesce(numeric, F.lit(False))).otherwise((plain != "") & F.contains(normalize_text(text), plain))
-    return F.coalesce(hit, F.lit(False))
+    def numeric(v):
+        return bind(first_number(v), lambda n: F.exists(locale_numbers(collapse(text)), lambda c: F.abs(c - n) <= 1e-6))
+
+    def found(v):
+        plain = bind(normalize_text(v), lambda p: (p != "") & F.contains(normalize_text(text), p))
+        return F.when(looks_numeric(v), F.coalesce(numeric(v), F.lit(False))).otherwise(plain)
+
+    return F.coalesce(bind(strip(value), found), F.lit(False))
 
 
 def cell_number(x: Column) -> Column:
     """A table cell's number: currency, percent and blanks dropped; a final comma with one or two digits is a decimal comma."""
-    s = F.regexp_replace(x, rf"[%{_MONEY}]|(?U)\s", "")
+    return bind(F.regexp_replace(x, rf"[%{_MONEY}]|(?U)\s", ""), _cell_number)
+
+
+def _cell_number(s: Column) -> Column:
     eu = F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     comma = F.regexp_like(s, F.lit(r"\A[+-]?\d[.,\d]*,\d{1,2}\z"))
     return F.when(comma, strict_double(eu)).otherwise(strict_double(F.replace(s, F.lit(","), F.lit(""))))
@@ -80,5 +87,8 @@ def numbers_match(a: Column, b: Column, tolerance: float = 0.01) -> Column:
 
 
 def is_close(a: Column, b: Column, rel: float = 1e-6, abs_: float = 1e-9) -> Column:
-    gap = F.greatest(rel * F.greatest(F.abs(a), F.abs(b)), F.lit(abs_))
-    return F.coalesce(F.abs(a - b) <= gap, F.lit(False))
+    def close(x):
+        gap = F.greatest(rel * F.greatest(F.abs(x["a"]), F.abs(x["b"])), F.lit(abs_))
+        return F.coalesce(F.abs(x["a"] - x["b"]) <= gap, F.lit(False))
+
+    return bind(F.struct(a.alias("a"), b.alias("b")), close)

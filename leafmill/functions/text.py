@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 WS = r"(?U)\s"
 
 
+def bind(x: Column, f) -> Column:
+    """f(x) with x evaluated once: a lambda variable stands for it, so expressions don't grow with each use."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, rf"{WS}+\z|\A{WS}+", "")
 

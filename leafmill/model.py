@@ -73,9 +73,14 @@ def with_sides(df: DataFrame) -> DataFrame:
     return df
 
 
+def in_order(pages: Column) -> Column:
+    """Pages by index."""
+    return F.array_sort(pages, lambda a, b: a["index"] - b["index"])
+
+
 def full_text(pages: Column) -> Column:
     """Page texts in order of index, joined by a newline."""
-    return F.array_join(F.transform(F.array_sort(pages), lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
+    return F.array_join(F.transform(in_order(pages), lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
 
 
 def document_text(markdown: Column, pages: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.coercion import match_key, values_match
 from leafmill.functions.text import count_tokens, lines, strip
-from leafmill.model import VALUE, tagged, with_sides
+from leafmill.model import VALUE, in_order, tagged, with_sides
 from leafmill.schema import TargetSchema
 
 # --- tables in plain text -------------------------------------------------------------------------------------------
@@ -46,7 +46,7 @@ def extract_tables(docs: DataFrame, schema: TargetSchema) -> DataFrame:
     """RECORD rows of all pages, in order. Narrow: each page is read where it lies."""
     if not schema.fields:
         return with_sides(docs.where("false").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("record_ix"), F.create_map().cast(f"map<string,{VALUE}>").alias("values")))
-    every = F.flatten(F.transform(F.array_sort("pages"), lambda p: table_records(p["text"], schema)))
+    every = F.flatten(F.transform(in_order(F.col("pages")), lambda p: table_records(p["text"], schema)))
     out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(every).alias("record_ix", "values"))
     return with_sides(out.select("doc_id", F.col("record_ix").cast("int").alias("record_ix"), "values"))
 
@@ -54,12 +54,17 @@ def extract_tables(docs: DataFrame, schema: TargetSchema) -> DataFrame:
 # --- prompts --------------------------------------------------------------------------------------------------------
 
 
-def prompt(text: Column, schema: TargetSchema, evidence: bool = False) -> Column:
-    """The request for all records of a text; the text comes last."""
+def prompt_head(schema: TargetSchema, evidence: bool = False) -> str:
+    """What a request says before the document."""
     head = f"List every record the document holds, as a JSON object with one key \"records\".\nUse these keys only: {', '.join(schema.names())}.\n{schema.describe()}\n"
     if evidence:
         head += 'Give each record a key "_evidence" too: for each field, the words of the document it was taken from, unchanged.\n'
-    return F.concat(F.lit(head + "Leave out what the document does not say. Document:\n"), text)
+    return head + "Leave out what the document does not say. Document:\n"
+
+
+def prompt(text: Column, schema: TargetSchema, evidence: bool = False) -> Column:
+    """The request for all records of a text; the text comes last."""
+    return F.concat(F.lit(prompt_head(schema, evidence)), text)
 
 
 def prompt_key(p: Column) -> Column:
@@ -365,8 +370,11 @@ def ensemble(predictions: DataFrame, schema: TargetSchema) -> tuple[DataFrame, D
 
     Shuffles once, by document. Confidence is the agreement; fields below full agreement are disagreements.
     """
-    rows = predictions.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("client_ix", "values"))).alias("c"))
-    fields = [F.struct(F.lit(s.name).alias("field"), consensus(F.transform("c", lambda x, s=s: x["values"][s.name]["s"]), s.type).alias("r")) for s in schema.fields]
+    rows = predictions.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("client_ix", "values")), lambda a, b: a["client_ix"] - b["client_ix"]).alias("c"))
+    def said(name):
+        return F.transform("c", lambda x: x["values"][name]["s"])
+
+    fields = [F.struct(F.lit(s.name).alias("field"), consensus(said(s.name), s.type).alias("r")) for s in schema.fields]
     made = rows.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("record_ix"), F.array(*fields).alias("f"))
     present = F.filter("f", lambda x: x["r"]["value"].isNotNull())
     values = F.map_from_entries(F.transform(present, lambda x: F.struct(x["field"], F.struct(F.lit("string").alias("kind"), x["r"]["value"].alias("s")).alias("value"))))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.tables import to_markdown
 from leafmill.functions.text import strip
+from leafmill.model import in_order
 
 Parser = Callable[[DataFrame], DataFrame]
 
@@ -31,7 +32,7 @@ def passthrough_section(page: Column) -> Column:
 
 def passthrough(docs: DataFrame) -> DataFrame:
     """Sets ``markdown`` from the pages, with a header for each page."""
-    return docs.withColumn("markdown", F.array_join(F.transform(F.array_sort("pages"), passthrough_section), "\n\n"))
+    return docs.withColumn("markdown", F.array_join(F.transform(in_order(F.col("pages")), passthrough_section), "\n\n"))
 
 
 def table_sections(pages: Column, tables: Column) -> Column:
@@ -42,7 +43,7 @@ def table_sections(pages: Column, tables: Column) -> Column:
         body = F.filter(body, lambda x: x != "")
         return F.when(F.size(body) > 0, F.array_join(F.concat(F.array(page_header(p)), body), "\n\n"))
 
-    return F.array_join(F.array_compact(F.transform(F.array_sort(pages), section)), "\n\n")
+    return F.array_join(F.array_compact(F.transform(in_order(pages), section)), "\n\n")
 
 
 def with_tables(docs: DataFrame, tables: str = "tables") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leafmill.functions.coercion import as_double, coerced, is_absent, is_missing
 from leafmill.functions.numbers import value_in_text
 from leafmill.functions.text import contains_word, evidence_snippet, normalize_span, normalize_value, snippet, strip
-from leafmill.model import PROVENANCE, VALUE
+from leafmill.model import PROVENANCE, VALUE, in_order
 from leafmill.operators.extract import dedup_records, prompt_key
 from leafmill.schema import FieldSpec, TargetSchema
 
@@ -231,7 +231,7 @@ def _spot(pages: Column, hit: Callable[[Column], Column], page_snippet: Callable
         own = F.struct(p["index"].alias("page"), F.lit(None).alias("bbox"), page_snippet(p["text"]).alias("source_text"), evidence.alias("evidence"), F.lit(method).alias("method")).cast(PROVENANCE)
         return F.when(F.size(blocks) > 0, F.slice(blocks, 1, 1)).when(hit(p["text"]), F.array(own)).otherwise(F.array().cast(f"array<{PROVENANCE}>"))
 
-    return F.get(F.flatten(F.transform(F.array_sort(pages), of_page)), F.lit(0))
+    return F.get(F.flatten(F.transform(in_order(pages), of_page)), F.lit(0))
 
 
 def locate_evidence(evidence: Column, pages: Column) -> Column:

@@ -1,2 +1,769 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries over the driver's tables, each with the SQL that must give the same rows.
+
+The tables hold no invoices, so inputs are made from their columns by string expressions; the SQL computes the answer from the columns
+themselves, so what is lost on the way through text shows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafmill.functions import coercion, misc, numbers, tables, text
+from leafmill.model import PAGE, Dataset, as_records, full_text, in_order, tagged, with_sides
+from leafmill.operators import cascade, evaluate, extract, figures, observe, parse, quality, verify
+from leafmill.plans.build import build
+from leafmill.schema import TargetSchema
+from leafmill.sources import sinks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cents(c: Column) -> Column:
+    """Hundredths as a whole number."""
+    return F.round(c * 100).cast("long")
+
+
+def money(c: Column) -> Column:
+    """1234 hundredths as 12.34."""
+    return F.concat((c / 100).cast("long").cast("string"), F.lit("."), F.lpad((c % 100).cast("string"), 2, "0"))
+
+
+def one_page(t: Column) -> Column:
+    return F.array(F.struct(F.lit(0).alias("index"), t.alias("text"), F.array().alias("blocks"), F.lit(None).alias("image_ref")).cast(PAGE))
+
+
+def chats(spark, d) -> DataFrame:
+    """Documents of one page a turn."""
+    page = F.struct(F.col("turn").cast("int").alias("index"), "text", F.array().alias("blocks"), F.lit(None).alias("image_ref")).cast(PAGE)
+    return table(spark, d, "conversations").groupBy("conv_id").agg(in_order(F.collect_list(page)).alias("pages")).withColumnRenamed("conv_id", "doc_id")
+
+
+# --- parsing --------------------------------------------------------------------------------------------------------
+
+
+@query("select conv_id as doc_id, string_agg('## Page ' || turn || case when text <> '' then chr(10) || chr(10) || text else '' end, chr(10) || chr(10) order by turn) as markdown from conversations group by 1")
+def parse_passthrough(spark, d):
+    return parse.passthrough(chats(spark, d)).select("doc_id", "markdown")
+
+
+@query("select conv_id as doc_id, string_agg(text, chr(10) order by turn) as full_text from conversations group by 1")
+def full_texts(spark, d):
+    return chats(spark, d).select("doc_id", full_text(F.col("pages")).alias("full_text"))
+
+
+@query("""select p_partkey, case p_partkey % 7 when 0 then 'image_scan' when 1 then 'text' when 2 then 'spreadsheet' when 3 then 'pdf_digital' when 4 then 'pdf_scan' else 'unknown' end as doc_type,
+  case p_partkey % 7 when 0 then 'parser.layout' when 3 then 'parser.tables' when 4 then 'parser.layout' else 'parser.passthrough' end as parser from part""")
+def parser_route(spark, d):
+    ext = F.element_at(F.array(*[F.lit(x) for x in (".JPG", ".md", ".xlsx", ".pdf", ".pdf", ".gif", "")]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    t = F.when(F.col("p_partkey") % 7 == 3, F.col("p_name")).otherwise(" ")
+    docs = table(spark, d, "part").select("p_partkey", F.concat(F.lit("in/"), "p_partkey", ext).alias("path"), one_page(t).alias("pages"), F.lit(None).cast("string").alias("markdown"))
+    return parse.route(docs, {}).select("p_partkey", "parser_route.doc_type", "parser_route.parser")
+
+
+@query("""select p_brand, '| name | size |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || p_name || ' | ' || case when p_partkey % 5 = 0 then '' else p_size::varchar end || ' |', chr(10) order by p_partkey) as md
+  from part group by 1""")
+def table_to_markdown(spark, d):
+    row = F.when(F.col("p_partkey") % 5 == 0, F.array("p_name")).otherwise(F.array("p_name", F.col("p_size").cast("string"), F.lit("extra")))
+    g = table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))).alias("r"))
+    return g.select("p_brand", tables.to_markdown(F.array(F.lit("name"), F.lit("size")), F.transform("r", lambda x: x["r"])).alias("md"))
+
+
+def invoice(spark, d) -> DataFrame:
+    """(o_orderkey, md, net, vat, gross): a table of an order's lines in hundredths, commas as decimal marks."""
+    net = cents(F.col("l_extendedprice"))
+    vat = F.floor(net * 7 / 100).cast("long")
+    eu = lambda c: F.replace(money(c), F.lit("."), F.lit(","))
+    line = F.concat(F.lit("| "), F.col("l_linenumber").cast("string"), F.lit(" | "), eu(net), F.lit(" | "), eu(vat), F.lit(" | "), eu(net + vat), F.lit(" |"))
+    g = table(spark, d, "lineitem").withColumn("net", net).withColumn("vat", vat).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("x"), "net", "vat"))).alias("r"))
+    head = "Order\n\n| No. | Net worth | VAT amount | Gross worth |\n|---|---|---|---|\n"
+    return g.select("l_orderkey", F.concat(F.lit(head), F.array_join(F.transform("r", lambda x: x["x"]), "\n"), F.lit("\nThank you")).alias("md"), F.get("r", F.lit(0))["net"].alias("net"), F.get("r", F.lit(0))["vat"].alias("vat"))
+
+
+@query("select l_orderkey, 1::int as n_tables, count(*)::int as n_rows, min(round(l_extendedprice * 100)::bigint) as least from lineitem group by 1")
+def markdown_table_parse(spark, d):
+    t = invoice(spark, d).select("l_orderkey", tables.markdown_tables(F.col("md")).alias("t"))
+    rows = F.get("t", F.lit(0))["rows"]
+    return t.select("l_orderkey", F.size("t").alias("n_tables"), F.size(rows).alias("n_rows"), F.array_min(F.transform(rows, lambda r: cents(numbers.cell_number(F.get(r, F.lit(1)))))).alias("least"))
+
+
+# --- scalar functions and scorers -----------------------------------------------------------------------------------
+
+
+@query(r"""select doc_id, length(regexp_replace(text, '^\s+|\s+$', '', 'g'))::int as text_length,
+  case when length(regexp_replace(text, '\s', '', 'g')) = 0 then 0.0 else length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))::double / length(regexp_replace(text, '\s', '', 'g')) end as char_validity,
+  least(1.0, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) / 200.0::double) as text_sufficiency, greatest(1, length(text) // 4)::bigint as tokens from documents""")
+def text_scores(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", text.text_length(t).alias("text_length"), text.char_validity(t).alias("char_validity"), text.text_sufficiency(t).alias("text_sufficiency"), text.count_tokens(t).alias("tokens"))
+
+
+_VALIDITY = r"case when length(regexp_replace(text, '\s', '', 'g')) = 0 then 0.0 else length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))::double / length(regexp_replace(text, '\s', '', 'g')) end"
+_ENOUGH = r"least(1.0, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) / 200.0::double)"
+
+
+def _composite():
+    return cascade.resolve_scorer({"composite": [{"scorer": "char_validity", "weight": 3}, {"scorer": "text_sufficiency", "weight": 1}]}, TargetSchema())
+
+
+def text_documents(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("a.txt").alias("path"), F.lit(None).cast("string").alias("mime"), one_page(F.col("text")).alias("pages"), F.lit(None).cast("string").alias("markdown"), F.lit(None).cast("string").alias("error_class"), F.lit(None).cast("string").alias("error"))
+
+
+@query(f"select doc_id, round(({_VALIDITY} * 3 + {_ENOUGH}) / 4, 9) as score from documents")
+def composite_score(spark, d):
+    s = _composite()(F.col("text"), F.lit(None).cast("array<map<string,struct<kind:string,s:string>>>"))
+    return table(spark, d, "documents").select("doc_id", F.round(s, 9).alias("score"))
+
+
+@query(f"select doc_id::varchar as doc_id, case when ({_VALIDITY} * 3 + {_ENOUGH}) / 4 < 0.875 then 'fallback' else 'primary' end as tier, case when ({_VALIDITY} * 3 + {_ENOUGH}) / 4 < 0.875 then 'strong' else 'cheap' end as v from documents")
+def cascade_route(spark, d):
+    def tier(name):
+        return lambda x: x.with_(records=with_sides(x.documents.select("doc_id", F.lit(0).alias("record_ix"), F.create_map(F.lit("v"), tagged("string", F.lit(name))).alias("values"))))
+
+    full = F.get("pages", F.lit(0))["text"]
+    out = cascade.cascade(Dataset(text_documents(spark, d)), tier("cheap"), tier("strong"), lambda t, r: _composite()(t, r), 0.875, full)
+    return out.extra["router"].join(out.records, "doc_id").select("doc_id", "tier", F.col("values")["v"]["s"].alias("v"))
+
+
+@query(r"""with l as (select doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) as ls from documents),
+  f as (select doc_id, list_reduce(list_concat([{'done': []::varchar[], 'now': null::varchar}], list_transform(ls, lambda x: {'done': []::varchar[], 'now': x})), lambda a, x:
+    case when length(x.now) > 500 then {'done': list_concat(case when a.now is null then a.done else list_append(a.done, a.now) end, [x.now]), 'now': null}
+         when a.now is null then {'done': a.done, 'now': x.now}
+         when length(a.now) + 1 + length(x.now) <= 500 then {'done': a.done, 'now': a.now || chr(10) || x.now}
+         else {'done': list_append(a.done, a.now), 'now': x.now} end) as s from l),
+  c as (select doc_id, list_filter(case when s.now is null then s.done else list_append(s.done, s.now) end, lambda x: x <> '') as cs from f)
+  select doc_id::varchar as doc_id, (unnest(range(len(cs))))::int as chunk_ix, unnest(cs) as chunk from c""")
+def chunk_text(spark, d):
+    return extract.chunked(table(spark, d, "documents"), F.col("text"), 500)
+
+
+@query("""select o_orderkey, round(o_totalprice * 100)::bigint as as_float, o_custkey as as_int, o_orderkey % 2 = 0 as as_bool, o_orderkey % 3 <> 0 as strict_ok from orders""")
+def coerce_types(spark, d):
+    from leafmill.schema import FieldSpec
+
+    o = table(spark, d, "orders")
+    n = cents(F.col("o_totalprice"))
+    grouped = F.concat(F.lit(" "), money(n), F.lit("\t"))
+    odd = F.when(F.col("o_orderkey") % 3 == 0, "12d").otherwise("+1_2")
+    yes = F.when(F.col("o_orderkey") % 2 == 0, F.lit(" Yes ")).otherwise("FALSE")
+    s = lambda c: tagged("string", c)
+    co = lambda c, t: coercion.coerced(s(c), FieldSpec("x", t))["s"]
+    return o.select("o_orderkey", cents(co(grouped, "number").cast("double")).alias("as_float"), co(F.col("o_custkey").cast("string"), "integer").cast("long").alias("as_int"), (co(yes, "boolean") == "true").alias("as_bool"), co(odd, "integer").isNotNull().alias("strict_ok"))
+
+
+@query("""select o_orderkey, true as us, true as eu, true as spaced, false as off, true as symbol from orders""")
+def ground_numbers(spark, d):
+    c = cents(F.col("o_totalprice"))
+    whole = (c / 100).cast("long").cast("string")
+    frac = F.lpad((c % 100).cast("string"), 2, "0")
+    sep = lambda s: F.regexp_replace(whole, r"(\d)(?=(\d{3})+$)", "$1" + s)
+    v = F.concat(whole, F.lit("."), frac)
+    has = lambda t: numbers.value_in_text(v, t)
+    wrap = lambda t: F.concat(F.lit("Amount: "), t, F.lit(" due"))
+    return table(spark, d, "orders").select(
+        "o_orderkey", has(wrap(F.concat(sep(","), F.lit("."), frac))).alias("us"), has(wrap(F.concat(sep("."), F.lit(","), frac))).alias("eu"), has(wrap(F.concat(sep(" "), F.lit(","), frac))).alias("spaced"),
+        has(wrap(F.concat(F.lit("9"), v))).alias("off"), has(wrap(F.concat(F.lit("$"), v))).alias("symbol"),
+    )
+
+
+def _pairs(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text").crossJoin(F.broadcast(table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")).where("item_id < 40")))
+
+
+_LOW = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
+
+
+@query(f"select d.doc_id, b.item_id from documents d, benchmark b where b.item_id < 40 and contains({_LOW.format('d.text')}, {_LOW.format('b.text')})")
+def ground_passages(spark, d):
+    """The test passages (a fixed table) are broadcast; each text is normalised once."""
+    n = table(spark, d, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("t"))
+    b = table(spark, d, "benchmark").where("item_id < 40").select("item_id", text.normalize_text(F.col("text")).alias("p"))
+    return n.join(F.broadcast(b), F.contains("t", F.col("p"))).select("doc_id", "item_id")
+
+
+@query("""with v as (select item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 2) as v from benchmark),
+  t as (select doc_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda t: length(t) > 2) as t from documents)
+  select doc_id, item_id, round(len(list_filter(v, lambda x: list_contains(t, x)))::double / len(v), 9) as recall from t, v where item_id = doc_id % 40 and len(v) >= 2""")
+def token_recall(spark, d):
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+    j = table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % 40).join(b, "item_id")
+    return j.select("doc_id", "item_id", F.round(text.token_recall(F.col("passage"), F.col("text")), 9).alias("recall")).where("recall is not null")
+
+
+@query("""select o_orderkey, true as num, false as num_off, true as str, true as bool, o_custkey % 2 = 0 as int_ from orders""")
+def values_match(spark, d):
+    o = table(spark, d, "orders")
+    v = money(cents(F.col("o_totalprice")))
+    m = coercion.values_match
+    return o.select(
+        "o_orderkey", m(F.concat(F.lit("$ "), v), v, "number").alias("num"), m(F.concat(F.lit("1"), v), v, "number").alias("num_off"), m(F.upper("o_orderpriority"), F.regexp_replace("o_orderpriority", "-", " - "), "string").alias("str"),
+        m(F.lit(" YES"), F.lit("1"), "boolean").alias("bool"), m(F.concat(F.col("o_custkey").cast("string"), F.lit(".0")), (F.col("o_custkey") + F.col("o_custkey") % 2).cast("string"), "integer").alias("int_"),
+    )
+
+
+@query("""select event_type, round(quantile_disc(value, 0.5), 9) as p50, round(quantile_disc(value, 0.95), 9) as p95 from events group by 1""")
+def percentiles(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.round(misc.percentile_nearest("value", 0.5), 9).alias("p50"), F.round(misc.percentile_nearest("value", 0.95), 9).alias("p95"))
+
+
+@query("""select p_partkey, case p_partkey % 4 when 0 then 'image/jpeg' when 1 then 'image/png' when 2 then 'image/tiff' else 'image/webp' end as mime,
+  greatest(1.0, least(greatest(2.0, p_retailprice / (p_size + 1)), 4000.0 / greatest(p_size + 1, 300.0))) as scale from part""")
+def figure_mime_scale(spark, d):
+    ext = F.element_at(F.array(*[F.lit(x) for x in (".jpg", "PNG", "tiff", ".webp")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    w = (F.col("p_size") + 1).cast("double")
+    return table(spark, d, "part").select("p_partkey", misc.mime_of_extension(ext).alias("mime"), misc.render_scale(w, F.lit(300.0), F.col("p_retailprice")).alias("scale"))
+
+
+@query(r"""select doc_id, nullif(regexp_extract(text, '\d+(?:\.\d+)?', 0), '') as number,
+  coalesce(upper(nullif(regexp_extract(text, '(?i)\b(USD|EUR|GBP|JPY|MYR|CNY|SGD|AUD|CAD|CHF|INR|KRW|THB|VND|NZD|HKD|TWD|PHP|IDR)\b', 0), '')),
+    case regexp_extract(text, '\$|€|£|¥|₩|₹|RM', 0) when '$' then 'USD' when '€' then 'EUR' when '£' then 'GBP' when '¥' then 'JPY' when '₩' then 'KRW' when '₹' then 'INR' when 'RM' then 'MYR' end) as currency,
+  strftime(ts, '%d.%m.%Y') as date, nullif(regexp_extract(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', 0), '') as email
+  from documents join (select event_id, ts from events) on event_id = doc_id""")
+def hybrid_first_match(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.date_format("ts", "dd.MM.yyyy").alias("day"))
+    docs = table(spark, d, "documents").join(e, "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "day")
+    rules = {"number": {"matcher": "number"}, "currency": {"matcher": "currency"}, "email": {"matcher": "email"}}
+    schema = TargetSchema.of("number", "currency", "date", "email")
+    out = extract.hybrid(docs, schema, rules, F.col("text")).drop("rule_fields", "model_fields")
+    dates = extract.hybrid(docs, schema, {"date": {"matcher": "date"}}, F.concat(F.lit("on 1/2 or "), "day")).select("doc_id", F.col("values")["date"]["s"].alias("date"))
+    v = lambda n: F.col("values")[n]["s"].alias(n)
+    return out.join(dates, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), v("number"), v("currency"), "date", v("email"))
+
+
+# --- tables, validation, normalisation ------------------------------------------------------------------------------
+
+RETAIL = TargetSchema.of("name*", "price:number", "size:integer")
+
+
+def part_pages(spark, d) -> DataFrame:
+    """A tab-separated page for each brand, with a blank row and columns no field wants."""
+    price = F.concat(F.lit(" "), money(cents(F.col("p_retailprice"))))
+    row = F.concat_ws("\t", F.concat("p_name", F.lit("  ")), F.col("p_partkey").cast("string"), price, F.col("p_size").cast("string"))
+    g = table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))).alias("r"))
+    t = F.concat(F.lit("Na me\tKey\tPRICE\tSize\n \t \t\n"), F.array_join(F.transform("r", lambda x: x["r"]), "\n"))
+    return g.select(F.col("p_brand").alias("doc_id"), F.lit("p.txt").alias("path"), F.lit(None).cast("string").alias("mime"), one_page(t).alias("pages"), F.lit(None).cast("string").alias("markdown"), F.lit(None).cast("string").alias("error_class"), F.lit(None).cast("string").alias("error"))
+
+
+@query("""with x as (select p_brand as doc_id, p_name as name, round(p_retailprice * 100)::bigint as cents, p_size as size from part) select distinct doc_id, name, cents, size::bigint as size from x""")
+def table_extract_validate(spark, d):
+    """The flagship: pages to records, validated, normalised and without repeats, by a declared pipeline."""
+    config = {"schema": {"fields": [{"name": "name", "required": True}, {"name": "price", "type": "number"}, {"name": "size", "type": "integer"}]}, "pipeline": ["ingest.default", "parse.default", "extract.table", "validate.default", "normalize.default"]}
+    out = build(config).run(Dataset(part_pages(spark, d)))
+    v = F.col("values")
+    return out.records.select("doc_id", v["name"]["s"].alias("name"), cents(v["price"]["s"].cast("double")).alias("cents"), v["size"]["s"].cast("long").alias("size"))
+
+
+@query("select p_brand as doc_id, count(*)::bigint as valid, 0::bigint as invalid from part group by 1")
+def validation_counts(spark, d):
+    r = quality.validate(extract.extract_tables(part_pages(spark, d), RETAIL), RETAIL)
+    return quality.validation_summary(r).select("doc_id", "valid", "invalid")
+
+
+@query("""select o_orderkey % 50 as doc_id, sum(case when o_orderkey % 3 > 0 then 1 else 0 end)::bigint as valid, sum(case when o_orderkey % 3 = 0 then 1 else 0 end)::bigint as invalid from orders group by 1""")
+def validation_errors(spark, d):
+    bad = F.when(F.col("o_orderkey") % 3 == 0, F.lit("n/a")).otherwise(F.col("o_custkey").cast("string"))
+    r = as_records(table(spark, d, "orders").select((F.col("o_orderkey") % 50).alias("doc_id"), F.col("o_orderkey").alias("record_ix"), bad.alias("q")), {"q": tagged("string", F.col("q"))})
+    s = quality.validation_summary(quality.validate(r, TargetSchema.of("q*:integer")))
+    return s.select(F.col("doc_id").cast("long").alias("doc_id"), "valid", "invalid")
+
+
+@query(r"""select source as doc_id, count(distinct trim(regexp_replace(text, '\s+', ' ', 'g'))) as kept, count(*) - count(distinct trim(regexp_replace(text, '\s+', ' ', 'g'))) as deduped from documents group by 1""")
+def normalize_dedup(spark, d):
+    pad = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("  "), "text", F.lit("\n"))).otherwise(F.col("text"))
+    before = as_records(table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("record_ix"), pad.alias("t")), {"t": tagged("string", F.col("t"))})
+    after = quality.normalize(before)
+    return after.groupBy("doc_id").agg(F.count("*").alias("kept")).join(quality.deduped(before, after), "doc_id")
+
+
+# --- rules ----------------------------------------------------------------------------------------------------------
+
+
+def order_records(spark, d) -> DataFrame:
+    """Net, tax and total in hundredths of each order's lines; every seventh total is off by one unit, every eleventh tax is no number."""
+    li = table(spark, d, "lineitem")
+    net = F.sum(cents(F.col("l_extendedprice"))).alias("net")
+    tax = F.sum(F.floor(cents(F.col("l_extendedprice")) * 7 / 100)).cast("long").alias("tax")
+    o = li.groupBy("l_orderkey").agg(net, tax)
+    total = F.col("net") + F.col("tax") + F.when(F.col("l_orderkey") % 7 == 0, 100).otherwise(0)
+    o = o.withColumn("total", total)
+    s = lambda c: tagged("string", money(F.col(c)))
+    tax_ = F.when(F.col("doc_id") % 11 == 0, tagged("string", F.lit("n/a"))).otherwise(s("tax"))
+    return as_records(o.withColumnRenamed("l_orderkey", "doc_id"), {"net": s("net"), "tax": tax_, "total": s("total")}, record_ix=None)
+
+
+@query("""select l_orderkey as doc_id, case when l_orderkey % 11 = 0 then 'cannot_evaluate' when l_orderkey % 7 = 0 then 'violation' else 'ok' end as status from lineitem group by 1""")
+def rules_sum_equals(spark, d):
+    r = quality.apply_rules(order_records(spark, d), quality.compile_rules([{"rule": "sum_equals", "fields": ["net", "tax"], "target": "total"}]))
+    return r.select(F.col("doc_id").cast("long").alias("doc_id"), "status")
+
+
+def customers(spark, d) -> DataFrame:
+    c = table(spark, d, "customer")
+    seg = F.when(F.col("c_custkey") % 13 == 0, F.lit(None)).otherwise(F.concat(F.lit(" "), F.lower("c_mktsegment")))
+    return as_records(c.withColumn("seg", seg), {"bal": tagged("float", F.col("c_acctbal").cast("decimal(18,2)").cast("string")), "seg": tagged("string", F.col("seg"))}, "c_custkey", None)
+
+
+@query("""select c_custkey as doc_id, case when c_acctbal < 0 then 'violation' when c_acctbal > 5000 then 'violation' else 'ok' end as status from customer""")
+def rules_range(spark, d):
+    r = quality.apply_rules(customers(spark, d), quality.compile_rules([{"rule": "range", "field": "bal", "min": 0, "max": 5000}]))
+    return r.select(F.col("doc_id").cast("long").alias("doc_id"), "status")
+
+
+@query("select c_custkey as doc_id, case when c_custkey % 13 = 0 then 'cannot_evaluate' when c_mktsegment in ('BUILDING', 'MACHINERY') then 'ok' else 'violation' end as status from customer")
+def rules_in_set(spark, d):
+    r = quality.apply_rules(customers(spark, d), quality.compile_rules([{"rule": "in_set", "field": "seg", "allowed": ["Building ", "machinery"]}]))
+    return r.select(F.col("doc_id").cast("long").alias("doc_id"), "status")
+
+
+@query("select c_nationkey as nation, count(*) as checked, sum((c_acctbal < 0)::int)::bigint as violations, 0::bigint as cannot_evaluate from customer group by 1")
+def rules_non_negative(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("k"), "c_nationkey")
+    r = quality.apply_rules(customers(spark, d), quality.compile_rules([{"rule": "non_negative", "field": "bal"}]))
+    s = quality.rule_summary(r).join(c, F.col("doc_id") == F.col("k"))
+    return s.groupBy(F.col("c_nationkey").alias("nation")).agg(F.sum("checked").alias("checked"), F.sum("violations").alias("violations"), F.sum("cannot_evaluate").alias("cannot_evaluate"))
+
+
+# --- verification ---------------------------------------------------------------------------------------------------
+
+
+def receipts(spark, d) -> DataFrame:
+    """Orders as two lines, net and gross; the evidence is, by key, the gross, the net, nothing, or a made-up amount."""
+    c = cents(F.col("o_totalprice"))
+    net, gross = money(c), money(c + F.floor(c / 10).cast("long"))
+    t = F.concat(F.lit("Receipt\nTotal net worth "), net, F.lit("\nTotal gross worth "), gross, F.lit("\nItems "), F.col("o_orderkey").cast("string"), F.lit(" listed"))
+    k = F.col("o_orderkey") % 5
+    e = F.when(k == 0, gross).when(k == 1, F.concat(F.lit("net worth "), net)).when(k == 2, "").when(k == 3, "Grand total -1").otherwise(F.concat("o_orderkey", F.lit(" listed")))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), t.alias("text"), e.alias("e"), gross.alias("gross"))
+    r = as_records(o, {"total": tagged("string", F.col("gross"))}, record_ix=None)
+    o = o.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "e")
+    return r.join(o, "doc_id").withColumn("evidence", F.create_map(F.lit("total"), F.col("e")))
+
+
+@query("select o_orderkey as doc_id, case o_orderkey % 5 when 0 then 'verified' when 1 then 'label_mismatch' when 2 then 'no_evidence' when 3 then 'unlocated' else 'no_label' end as status from orders")
+def label_verify(spark, d):
+    r = verify.verify_labels(receipts(spark, d))
+    return r.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label_status")["total"].alias("status"))
+
+
+@query("""select sum((o_orderkey % 5 = 1)::int)::bigint as label_mismatch, sum((o_orderkey % 5 = 2)::int)::bigint as no_evidence, sum((o_orderkey % 5 = 4)::int)::bigint as no_label, sum((o_orderkey % 5 = 3)::int)::bigint as unlocated, sum((o_orderkey % 5 = 0)::int)::bigint as verified from orders""")
+def label_status_counts(spark, d):
+    s = verify.status_counts(verify.verify_labels(receipts(spark, d)))
+    return s.agg(*[F.sum(c).alias(c) for c in verify.LABEL_STATUSES])
+
+
+@query("""with f as (select l_orderkey, round(l_extendedprice * 100)::bigint as net, floor(round(l_extendedprice * 100) * 7 / 100)::bigint as vat, l_linenumber from lineitem),
+  a as (select *, net + vat as gross, min(l_linenumber) over (partition by l_orderkey) = l_linenumber as is_first from f),
+  v as (select l_orderkey, case l_orderkey % 3 when 0 then net + vat when 1 then net else -500 end as x from a where is_first),
+  h as (select v.l_orderkey, max((abs(a.gross - x) <= 1)::int) as g, max((abs(a.net - x) <= 1)::int) as n, max((abs(a.vat - x) <= 1)::int) as t, max((abs(a.l_linenumber * 100 - x) <= 1)::int) as no from v join a using (l_orderkey) group by 1)
+  select l_orderkey as doc_id, case when g = 1 then 'column_verified' when n = 1 or t = 1 then 'column_mismatch' when no = 1 then 'column_no_label' else 'value_not_in_table' end as status from h""")
+def column_verify(spark, d):
+    k = F.col("l_orderkey") % 3
+    x = F.when(k == 0, money(F.col("net") + F.col("vat"))).when(k == 1, money(F.col("net"))).otherwise("-5.00")
+    i = invoice(spark, d).withColumn("x", x)
+    r = as_records(i.withColumnRenamed("l_orderkey", "doc_id"), {"total": tagged("string", F.col("x"))}, record_ix=None)
+    r = r.join(i.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.col("md").alias("text")), "doc_id")
+    return verify.verify_columns(r).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("column_status")["total"].alias("status"))
+
+
+@query("""select o_orderkey, case when o_orderkey % 6 = 0 and 800 <= length(repeat('x', 790)) + 11 then 'mixed' when o_orderkey % 6 = 1 then 'visual' when o_orderkey % 6 = 2 then 'hierarchical' when o_orderkey % 6 = 3 then 'tabular' when o_orderkey % 6 = 4 then 'hierarchical' else 'flat' end as archetype from orders""")
+def archetypes(spark, d):
+    k = F.col("o_orderkey") % 6
+    t = F.when(k == 0, F.concat(F.lit("some words\n"), F.repeat(F.lit("x"), F.lit(790)))).when(k == 2, F.repeat(F.lit("## Head\nword\n| a |\n"), F.lit(5))).when(k == 3, "# One\n| a | b |\n|---|---|\n| 1 | 2 |").when(k == 4, "# One\n\nx\n ### Two\n#no").otherwise("short text")
+    o = table(spark, d, "orders").select("o_orderkey", t.alias("t"), k.isin(0, 1).alias("fig"))
+    return verify.classify(o, F.col("t"), F.col("fig")).select("o_orderkey", "archetype")
+
+
+# --- confidence, provenance, review, policy, repair -----------------------------------------------------------------
+
+SCORED = TargetSchema.of("total*:number", "who:string")
+
+
+def scored(spark, d) -> DataFrame:
+    """Receipts whose total is, by key, grounded, ungrounded, no number, or missing, with label status."""
+    r = receipts(spark, d)
+    k = F.col("doc_id").cast("long") % 5
+    total = F.when(k == 1, tagged("string", F.lit("77777777.25"))).when(k == 2, tagged("string", F.lit("n/a"))).when(k == 3, tagged("null", F.lit(None).cast("string"))).otherwise(F.col("values")["total"])
+    e = F.when(k == 4, F.concat(F.lit("Total net worth "), F.regexp_extract("text", r"net worth (\S+)", 1))).otherwise(F.col("e"))
+    r = r.withColumn("values", F.create_map(F.lit("total"), total, F.lit("who"), tagged("string", F.lit("receipt")))).withColumn("evidence", F.create_map(F.lit("total"), e))
+    return quality.score_confidence(verify.verify_labels(r), SCORED)
+
+
+@query("""select o_orderkey as doc_id, case o_orderkey % 5 when 0 then 0.9 when 1 then 0.2 when 2 then 0.3 when 3 then 0.0 else 0.2 end::double as confidence,
+  case o_orderkey % 5 when 0 then null when 1 then 'verification_mismatch' when 2 then 'type_mismatch' when 3 then 'missing' else 'verification_mismatch' end as reason from orders""")
+def confidence(spark, d):
+    r = scored(spark, d)
+    return r.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("confidence")["total"].alias("confidence"), F.get("low_confidence", F.lit(0))["reason"].alias("reason"))
+
+
+@query("""select o_orderkey as doc_id, 'total' as field, case o_orderkey % 5 when 1 then ['label_mismatch', 'verification_mismatch'] when 2 then ['type_mismatch'] when 3 then ['missing'] else ['label_mismatch', 'verification_mismatch'] end as reasons from orders where o_orderkey % 5 > 0""")
+def review_queue(spark, d):
+    return quality.review_queue(scored(spark, d)).select(F.col("doc_id").cast("long").alias("doc_id"), "field", "reasons")
+
+
+@query("select o_orderkey as doc_id, ['total'] as failed from orders where o_orderkey % 5 > 0")
+def repair_candidates(spark, d):
+    r = scored(spark, d).select(F.col("doc_id").cast("long").alias("doc_id"), quality.failed_fields(SCORED).alias("failed"))
+    return r.where(F.size("failed") > 0)
+
+
+@query("""select o_orderkey as doc_id, case when o_orderkey % 5 = 0 then null else (o_orderkey::varchar || '.00') end as repaired, case when o_orderkey % 5 = 0 then 0 else 1 end::int as rounds from orders""")
+def repair_round(spark, d):
+    """Failed totals asked again; the stand-in for an engine reads the number of items from the prompt's document."""
+    def answer(p):
+        n = F.regexp_extract("prompt", r"Items (\d+) listed", 1)
+        return p.select("prompt_sha", F.create_map(F.lit("total"), tagged("string", F.concat(n, F.lit(".00"))), F.lit("other"), tagged("string", F.lit("x"))).alias("values"))
+
+    r = quality.repair(scored(spark, d), SCORED, answer, max_rounds=2)
+    k = F.col("doc_id").cast("long") % 5
+    return r.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(k > 0, F.col("values")["total"]["s"]).alias("repaired"), F.size("repair_log").alias("rounds"))
+
+
+@query("""select o_orderkey as doc_id, o_orderkey % 5 > 0 as review, case when o_totalprice > 300000 and o_orderkey % 5 <> 3 then ['costly'] else []::varchar[] end as tags, o_orderkey % 5 = 3 as halted from orders""")
+def policy_apply(spark, d):
+    r = scored(spark, d)
+    m = observe.document_metrics(r, records=r)
+    usd = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("doc_id"), F.col("o_totalprice").alias("total_usd"))
+    p = [{"when": {"min_confidence": 0.5}, "action": "flag_review"}, {"when": {"min_confidence": 0.1}, "action": "halt"}, {"when": {"max_total_usd": 300000}, "action": "tag", "tag": "costly"}, {"when": {"has_rule_violations": True}, "action": "halt"}]
+    out = quality.apply_policies(m.join(usd, "doc_id"), p)
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "policy.review", "policy.tags", "policy.halted")
+
+
+@query(r"""with e as (select conv_id, array_to_string(string_split(text, ' ')[1:3], ' ') as q from conversations where turn = 1),
+  n as (select conv_id, trim(regexp_replace(lower(q), '\s+', ' ', 'g')) as q from e where not contains(q, chr(10)) and q <> ''),
+  c as (select c.conv_id, turn, n.q, ' ' || trim(regexp_replace(lower(text), '\s+', ' ', 'g')) || ' ' as t from conversations c join n using (conv_id)),
+  p as (select conv_id, turn, t, q, unnest(range(1, length(t) - length(q) + 2)) as i from c where contains(t, q)),
+  s as (select conv_id, turn, substr(t, i - 1, 1) as l, substr(t, i + length(q), 1) as r from p where i > 1 and substr(t, i, length(q)) = q)
+  select conv_id, min(turn)::int as page from s where not regexp_matches(l, '[\p{L}\p{N}]') and not regexp_matches(r, '[\p{L}\p{N}]') group by 1""")
+def provenance_locate(spark, d):
+    c = chats(spark, d)
+    q = F.array_join(F.slice(F.split(F.get(F.transform(F.filter("pages", lambda p: p["index"] == 1), lambda p: p["text"]), F.lit(0)), " "), 1, 3), " ")
+    r = c.withColumn("q", q).where("q is not null and not contains(q, '\n')").select(F.col("doc_id").alias("conv_id"), quality.locate_evidence(F.col("q"), F.col("pages"))["page"].alias("page"))
+    return r.where("page is not null")
+
+
+@query("""with p as (select round(0.4 + (doc_id % 3) * 0.25, 3) as raw, quality as y from labels) select round(sum(abs(raw - e) * n) / sum(n), 9) as ece from (select raw, avg(y) as e, count(*) as n from p group by 1)""")
+def calibration_ece(spark, d):
+    p = table(spark, d, "labels").select((F.lit(0.4) + (F.col("doc_id") % 3) * 0.25).alias("confidence"), (F.col("quality") == 1).alias("correct"))
+    return evaluate.calibration_error(evaluate.calibration_table(p)).select(F.round("ece", 9).alias("ece"))
+
+
+# --- replies, ensembles ---------------------------------------------------------------------------------------------
+
+
+@query("""select event_id, (props->>'k')::varchar as k, 'int' as kind, event_type as t from events""")
+def json_envelope(spark, d):
+    """Each reply in another wrapping: bare envelope, fenced, in prose, bare list, single object."""
+    rec = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "t": "'), F.col("event_type"), F.lit('", "_evidence": {"k": "x"}}'))
+    m = F.col("event_id") % 5
+    env = F.concat(F.lit('{"records": ['), rec, F.lit("]}"))
+    reply = F.when(m == 0, env).when(m == 1, F.concat(F.lit("```json\n"), env, F.lit("\n```"))).when(m == 2, F.concat(F.lit("Here: "), env, F.lit(" as asked."))).when(m == 3, F.concat(F.lit("["), rec, F.lit("]"))).otherwise(rec)
+    r = extract.parse_replies(table(spark, d, "events").select(F.col("event_id").alias("doc_id"), reply.alias("reply")))
+    return r.select(F.col("doc_id").cast("long").alias("event_id"), F.col("values")["k"]["s"].alias("k"), F.col("values")["k"]["kind"].alias("kind"), F.col("values")["t"]["s"].alias("t"))
+
+
+@query("""select o_orderkey as doc_id, case when o_orderkey % 5 = 0 then o_orderstatus || 'X' else o_orderstatus end as status,
+  case when o_orderkey % 15 = 0 then 0.333 when o_orderkey % 5 = 0 or o_orderkey % 3 = 0 then 0.667 else 1.0 end::double as agree from orders""")
+def ensemble_consensus(spark, d):
+    """Three clients: at multiples of five the second disagrees with the others; at multiples of three the third is silent."""
+    o = table(spark, d, "orders")
+    five, three = F.col("o_orderkey") % 5 == 0, F.col("o_orderkey") % 3 == 0
+    status = F.col("o_orderstatus")
+    said = [F.when(five, F.concat(status, F.lit("X"))).otherwise(status), F.when(five, F.lit("else")).otherwise(F.lower(status)), F.when(three, F.lit(None)).when(five, F.concat(F.lower(status), F.lit(" x"))).otherwise(status)]
+    rows = None
+    for i, s in enumerate(said):
+        part = o.select(F.col("o_orderkey").alias("doc_id"), F.lit(i).alias("client_ix"), F.create_map(F.lit("s"), tagged("string", s)).alias("values"))
+        rows = part if rows is None else rows.unionByName(part)
+    r, _ = extract.ensemble(rows, TargetSchema.of("s"))
+    return r.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("values")["s"]["s"].alias("status"), F.round(F.col("confidence")["s"], 3).alias("agree"))
+
+
+@query("""select p_brand, min(p_partkey) as first_key, p_size from part group by 1, 3""")
+def record_dedup(spark, d):
+    """Numbers that are equal are one record, whatever their kind and the order of the fields."""
+    n = tagged("int", F.col("p_size").cast("string"))
+    f = tagged("float", F.concat(F.col("p_size").cast("string"), F.lit(".0")))
+    a = F.create_map(F.lit("b"), tagged("string", F.col("p_brand")), F.lit("n"), n)
+    b = F.create_map(F.lit("n"), f, F.lit("b"), tagged("string", F.col("p_brand")))
+    p = table(spark, d, "part")
+    r = with_sides(p.select(F.lit("all").alias("doc_id"), F.col("p_partkey").alias("record_ix"), F.when(F.col("p_partkey") % 2 == 0, a).otherwise(b).alias("values"), "p_brand", "p_size"))
+    return extract.dedup_records(r).select("p_brand", F.col("record_ix").alias("first_key"), "p_size")
+
+
+_HEAD = "'" + extract.prompt_head(RETAIL).replace("'", "''") + "'"
+
+
+@query(f"select doc_id::varchar as doc_id, sha256(p) as prompt_sha, greatest(1, length(p) // 4)::bigint as tokens_in, case when length(p) // 4 > 1500 then 'input_too_large' end as error_class from (select doc_id, {_HEAD} || text as p from documents)")
+def prompt_requests(spark, d):
+    return extract.requests(table(spark, d, "documents"), RETAIL, F.col("text"), max_input_tokens=1500).select("doc_id", "prompt_sha", "tokens_in", "error_class")
+
+
+@query("select doc_id::varchar as doc_id, 'reply ' || doc_id as said from documents where doc_id % 2 = 0")
+def replay_completions(spark, d):
+    """Completions joined by the prompt's digest: half of them are in the replay table."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat("text", F.lit(" #"), "doc_id").alias("text"))
+    asked = extract.requests(docs, RETAIL, F.col("text"))
+    reply = F.concat(F.lit('{"records": [{"name": "reply '), "doc_id", F.lit('"}]}'))
+    known = asked.where(F.col("doc_id").cast("long") % 2 == 0).select("prompt_sha", F.lit("m").alias("model"), reply.alias("text"), F.lit(1).alias("prompt_tokens"), F.lit(1).alias("completion_tokens"), F.lit(1).alias("attempts"))
+    r, _ = extract.extract(docs, RETAIL, known, F.col("text"))
+    return r.select("doc_id", F.col("values")["name"]["s"].alias("said"))
+
+
+# --- cost -----------------------------------------------------------------------------------------------------------
+
+_MODELS = ["openai/gpt-4o-mini-2024", "gpt-4o", "bedrock/eu.anthropic.claude-3-5-sonnet-v2", "nobody"]
+
+
+def calls(spark, d) -> DataFrame:
+    m = F.element_at(F.array(*[F.lit(x) for x in _MODELS]), (F.col("doc_id") % 4 + 1).cast("int"))
+    t = table(spark, d, "documents")
+    return t.select(F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("seq"), m.alias("model"), F.when(F.col("doc_id") % 10 == 9, F.lit(None)).otherwise(text.count_tokens(F.col("text"))).alias("tokens_in"), (F.col("doc_id") % 100).alias("tokens_out"))
+
+
+_CALLS = """(select source as doc_id, doc_id as seq, doc_id % 4 as m, doc_id % 10 = 9 as unmetered, case when doc_id % 10 = 9 then 0 else greatest(1, length(text) // 4) end as ti, doc_id % 100 as t_o,
+  case when doc_id % 10 = 9 or doc_id % 4 = 3 then null else (case when doc_id % 10 = 9 then 0 else greatest(1, length(text) // 4) end) / 1000.0::double * [0.00015, 0.0025, 0.003][doc_id % 4 + 1] + (doc_id % 100) / 1000.0::double * [0.0006, 0.01, 0.015][doc_id % 4 + 1] end as usd from documents)"""
+
+
+@query(f"select doc_id, count(*) as calls, sum(ti)::bigint as tokens_in, sum(t_o)::bigint as tokens_out, round(coalesce(sum(usd), 0), 9) as total_usd, bool_or(m = 3 and not unmetered) as unpriced, bool_or(unmetered) as unmetered from {_CALLS} group by 1")
+def cost_ledger(spark, d):
+    return cascade.ledger(cascade.cost_entries(calls(spark, d), "extract")).select("doc_id", "calls", "tokens_in", "tokens_out", F.round("total_usd", 9).alias("total_usd"), "unpriced", "unmetered")
+
+
+@query(f"select ['gpt-4o-mini', 'gpt-4o', 'anthropic.claude-3-5-sonnet', null][m + 1] as price_key, count(*) as calls, round(coalesce(sum(usd), 0), 6) as usd from {_CALLS} group by 1")
+def cost_by_model(spark, d):
+    e = cascade.cost_entries(calls(spark, d), "extract")
+    k = cascade.price_key(F.col("model"), [p[0] for p in cascade.PRICES])
+    return e.groupBy(k.alias("price_key")).agg(F.count("*").alias("calls"), F.round(F.coalesce(F.sum("usd"), F.lit(0.0)), 6).alias("usd"))
+
+
+@query(f"""with r as (select doc_id, seq, sum(coalesce(usd, 0)) over (partition by doc_id order by seq) as spent from {_CALLS}) select doc_id, min(seq)::int as seq from r where spent > 0.01 group by 1""")
+def budget_stop(spark, d):
+    return cascade.over_budget(cascade.cost_entries(calls(spark, d), "extract"), 0.01).select("doc_id", "seq")
+
+
+# --- evaluation -----------------------------------------------------------------------------------------------------
+
+ORDERS = TargetSchema.of("k:integer", "status", "total:number")
+
+
+def _eval_sides(spark, d):
+    o = table(spark, d, "orders").withColumn("case_id", F.col("o_custkey") % 10)
+    row = lambda s, t: F.create_map(F.lit("k"), F.col("o_orderkey").cast("string"), F.lit("status"), s, F.lit("total"), t)
+    c = cents(F.col("o_totalprice"))
+    e = o.where("o_orderkey % 11 > 0").select("case_id", F.col("o_orderkey").alias("row_ix"), row(F.col("o_orderstatus"), money(c)).alias("fields"))
+    s = F.when(F.col("o_orderkey") % 4 == 0, "Z").otherwise(F.lower("o_orderstatus"))
+    p = o.where("o_orderkey % 7 > 0").select("case_id", (-F.col("o_orderkey")).alias("row_ix"), row(s, F.concat(F.lit("$"), money(c + F.when(F.col("o_orderkey") % 5 == 0, 100).otherwise(0)))).alias("fields"))
+    return p, e
+
+
+_SIDES = "(select o_custkey % 10 as case_id, o_orderkey as k, o_orderkey % 7 > 0 as p, o_orderkey % 11 > 0 as e from orders where o_orderkey % 7 > 0 or o_orderkey % 11 > 0)"
+
+
+@query(f"select case_id, k::varchar as key, p as has_predicted, e as has_expected from {_SIDES}")
+def eval_align_key(spark, d):
+    a = evaluate.align_by_key(*_eval_sides(spark, d), "k")
+    return a.select("case_id", "key", F.col("predicted").isNotNull().alias("has_predicted"), F.col("expected").isNotNull().alias("has_expected"))
+
+
+@query("select o_custkey % 10 as case_id, o_orderkey as row_ix, o_orderkey % 7 > 0 as has_predicted, o_orderkey % 11 > 0 as has_expected from orders where o_orderkey % 7 > 0 or o_orderkey % 11 > 0")
+def eval_align_index(spark, d):
+    p, e = _eval_sides(spark, d)
+    a = evaluate.align_by_index(p.withColumn("row_ix", -F.col("row_ix")), e)
+    return a.select("case_id", "row_ix", F.col("predicted").isNotNull().alias("has_predicted"), F.col("expected").isNotNull().alias("has_expected"))
+
+
+_HITS = f"(select *, (p and e)::int as hk, (p and e and k % 4 > 0)::int as hs, (p and e and k % 5 > 0)::int as ht from {_SIDES})"
+
+
+@query(f"""with h as {_HITS}, u as (select 'k' as field, sum(hk) as c, count(*) as t from h union all select 'status', sum(hs), count(*) from h union all select 'total', sum(ht), count(*) from h)
+  select field, c::bigint as correct, t::bigint as total, c / t as accuracy from u union all select null, sum(c)::bigint, sum(t)::bigint, sum(c) / sum(t) from u""")
+def field_metrics(spark, d):
+    return evaluate.field_metrics(evaluate.align_by_key(*_eval_sides(spark, d), "k"), ORDERS)
+
+
+@query(f"select sum(hk + hs + ht) / (count(*) * 3) as overall_field_accuracy, sum(p::int)::bigint as record_count_predicted, sum(e::int)::bigint as record_count_expected, sum((hk + hs + ht = 3)::int) / count(*) as exact_record_match_ratio from {_HITS}")
+def record_metrics(spark, d):
+    return evaluate.record_metrics(evaluate.align_by_key(*_eval_sides(spark, d), "k"), ORDERS)
+
+
+@query(f"""with c as (select case_id, sum(hk + hs + ht) / (count(*) * 3) as a from {_HITS} group by 1)
+  select count(*) as case_count, round(avg(a), 9) as overall_field_accuracy, sum((case_id % 3 = 0)::int)::bigint as escalation_count, sum(case_id * 0.5)::double as total_usd, 40.0::double as latency_p50_ms, 90.0::double as latency_p95_ms, avg((case_id % 2)::double) as review_rate from c""")
+def eval_report(spark, d):
+    c = evaluate.case_metrics(evaluate.align_by_key(*_eval_sides(spark, d), "k"), ORDERS)
+    c = c.withColumn("escalated", F.col("case_id") % 3 == 0).withColumn("usd", F.col("case_id") * 0.5).withColumn("latency_ms", F.col("case_id") * 10.0).withColumn("review_flagged", F.col("case_id") % 2 == 1)
+    return evaluate.report(c).withColumn("overall_field_accuracy", F.round("overall_field_accuracy", 9))
+
+
+@query(f"""with s as (select doc_id, ({_VALIDITY} * 3 + {_ENOUGH}) / 4 as score from documents), t as (select unnest([0.0, 0.6, 0.8, 0.9, 1.01])::double as threshold)
+  select threshold, round(avg(case when score < threshold then 0.9 else 0.8 end), 9) as accuracy, round(sum(0.001 + case when score < threshold then 0.01 else 0 end)::double, 6) as total_usd, sum((score < threshold)::int)::bigint as escalations from s, t group by 1""")
+def threshold_sweep(spark, d):
+    s = _composite()(F.col("text"), F.lit(None).cast("array<map<string,struct<kind:string,s:string>>>"))
+    c = table(spark, d, "documents").select(s.alias("score"), F.lit(0.8).alias("primary_accuracy"), F.lit(0.9).alias("fallback_accuracy"), F.lit(0.001).alias("primary_usd"), F.lit(0.01).alias("fallback_usd"))
+    out = evaluate.sweep(c, [0.0, 0.6, 0.8, 0.9, 1.01])
+    return out.select("threshold", F.round("accuracy", 9).alias("accuracy"), F.round("total_usd", 6).alias("total_usd"), "escalations")
+
+
+@query("""select 'key' as field, 1.0::double as exact_recall, null::double as token_recall from customer having count(*) > 0
+  union all select 'name', avg((c_custkey % 4 > 0)::int), round(avg(case when c_custkey % 4 > 0 then 1.0 else 0.5 end), 9) from customer""")
+def ocr_recall_report(spark, d):
+    """Names read whole, or only half of them; keys always."""
+    name = F.regexp_replace("c_name", "[#]", " ")
+    half = F.when(F.col("c_custkey") % 4 == 0, F.regexp_extract(name, r"^(\w+)", 1)).otherwise(name)
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("sample_id"), F.concat(F.lit("no "), F.col("c_custkey").cast("string"), F.lit("\n"), half).alias("text"), F.create_map(F.lit("name"), name, F.lit("key"), F.col("c_custkey").cast("string")).alias("fields"))
+    f, _ = evaluate.ocr_recall(evaluate.sample_recall(c))
+    return f.select("field", "exact_recall", F.round("token_recall", 9).alias("token_recall"))
+
+
+@query("""with n as (select conv_id, turn, trim(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g')) as t from conversations where role <> 'system'),
+  p as (select a.conv_id, a.turn, a.t as gold, b.t as pred from n a join n b on a.conv_id = b.conv_id and b.turn = a.turn + 1)
+  select conv_id, turn, gold = pred or (gold <> '' and contains(pred, gold)) as same, gold[1:5] = '' or contains(pred, trim(gold[1:5])) as head from p""")
+def qa_relaxed_match(spark, d):
+    c = table(spark, d, "conversations").where("role <> 'system'")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("pred"))
+    j = c.join(nxt, ["conv_id", "turn"])
+    head = F.substring(text.relaxed_answer(F.col("text")), 1, 5)
+    return j.select("conv_id", "turn", text.relaxed_match(F.col("pred"), F.array("text")).alias("same"), ((head == "") | text.relaxed_match(F.col("pred"), F.array(head))).alias("head"))
+
+
+# --- observability --------------------------------------------------------------------------------------------------
+
+
+def event_metrics(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    trace = e.select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("stage"), F.col("value").alias("duration_ms"), (F.col("event_id") % 9 > 0).alias("ok"))
+    docs = e.select(F.col("user_id").alias("doc_id")).distinct()
+    fix = lambda t: t.withColumn("doc_id", F.col("doc_id").cast("string"))
+    rules = fix(e.where("event_id % 4 = 0").select(F.col("user_id").alias("doc_id"), F.lit("violation").alias("status")))
+    router = fix(e.select(F.col("user_id").alias("doc_id"), F.when(F.col("event_id") % 6 == 0, "fallback").otherwise("primary").alias("tier")))
+    costs = fix(e.select(F.col("user_id").alias("doc_id"), F.lit(10).cast("long").alias("tokens_in"), F.lit(1).cast("long").alias("tokens_out"), F.lit(0.25).alias("usd")))
+    return observe.document_metrics(docs, fix(trace), None, rules, router, costs)
+
+
+@query("""select user_id::varchar as doc_id, round(sum(value), 6) as total_latency_ms, sum((event_id % 9 > 0)::int)::bigint as stages_ok, sum((event_id % 9 = 0)::int)::bigint as stages_failed, sum((event_id % 4 = 0)::int)::bigint as rule_violations,
+  bool_or(event_id % 6 = 0) as escalated, count(*) * 10 as tokens_in, count(*) * 0.25::double as cost_usd from events group by 1""")
+def document_metrics(spark, d):
+    return event_metrics(spark, d).select("doc_id", F.round("total_latency_ms", 6).alias("total_latency_ms"), "stages_ok", "stages_failed", "rule_violations", "escalated", "tokens_in", "cost_usd")
+
+
+@query("""with u as (select user_id, bool_or(event_id % 6 = 0) as esc, sum((event_id % 4 = 0)::int) as v, count(*) as n from events group by 1)
+  select count(*) as n_documents, avg(esc::int) as escalation_rate, avg((v >= 1)::int) as violation_rate, 0.0::double as low_confidence_rate, sum(n) * 0.25::double as total_cost_usd, avg(n * 11) as mean_tokens from u""")
+def metrics_aggregate(spark, d):
+    return observe.aggregate_metrics(event_metrics(spark, d))
+
+
+@query("""with s as (select user_id, event_type as stage, sum(value) as ms from events group by 1, 2) select stage, round(avg(ms), 6) as mean, round(quantile_disc(ms, 0.95), 6) as p95 from s group by 1""")
+def stage_latencies(spark, d):
+    return observe.stage_latencies(event_metrics(spark, d)).select("stage", F.round("mean", 6).alias("mean"), F.round("p95", 6).alias("p95"))
+
+
+# --- figures --------------------------------------------------------------------------------------------------------
+
+
+def part_figures(spark, d) -> DataFrame:
+    """Figures of conversations: one for each turn that is a multiple of two, two for turn 1."""
+    c = table(spark, d, "conversations").where("turn % 2 = 0 or turn = 1")
+    two = F.when(F.col("turn") == 1, F.sequence(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page"), F.explode(two).alias("seq"), F.lit(10).alias("width"), F.lit(20).alias("height"), F.lit("image/png").alias("mime"))
+
+
+@query("""with f as (select conv_id as doc_id, turn, unnest(case when turn = 1 then [0, 1] else [0] end) as n from conversations where turn % 2 = 0 or turn = 1)
+  select doc_id, 'fig_' || turn || '_' || n as id, '[figure fig_' || turn || '_' || n || ': 10x20 image/png]' as result from f""")
+def figure_ids(spark, d):
+    return figures.stub_result(figures.assign_ids(part_figures(spark, d))).select("doc_id", "id", "result")
+
+
+_SECTION = """case when turn % 2 = 0 or turn = 1 then regexp_replace('## Page ' || turn || case when text <> '' then chr(10) || chr(10) || text else '' end, '\\s+$', '') || {} else '## Page ' || turn || case when text <> '' then chr(10) || chr(10) || text else '' end end"""
+
+
+@query("select conv_id as doc_id, string_agg(" + _SECTION.format("chr(10) || '[[FIGURE:fig_' || turn || '_0]]' || case when turn = 1 then chr(10) || '[[FIGURE:fig_1_1]]' else '' end") + ", chr(10) || chr(10) order by turn) as markdown from conversations group by 1")
+def figure_placeholders(spark, d):
+    docs = parse.passthrough(chats(spark, d)).withColumn("path", F.lit("a.pdf")).withColumn("mime", F.lit(None).cast("string"))
+    return figures.place_tokens(docs, figures.assign_ids(part_figures(spark, d))).select("doc_id", "markdown")
+
+
+@query("select conv_id as doc_id, string_agg(" + _SECTION.format("chr(10) || '[figure fig_' || turn || '_0: 10x20 image/png]' || case when turn = 1 then chr(10) || '[unprocessed figure fig_1_1]' else '' end") + ", chr(10) || chr(10) order by turn) as markdown from conversations group by 1")
+def figure_merge(spark, d):
+    named = figures.assign_ids(part_figures(spark, d))
+    docs = parse.passthrough(chats(spark, d)).withColumn("path", F.lit("a.pdf")).withColumn("mime", F.lit(None).cast("string"))
+    placed = figures.place_tokens(docs, named)
+    return figures.merge_figures(placed, figures.stub_result(named).where("id <> 'fig_1_1'")).select("doc_id", "markdown")
+
+
+@query("""select p_partkey, case p_partkey % 4 when 0 then p_name || ' <!-- image --> b <!-- image -->' when 1 then p_name || ' [[FIGURE:x]] b <!-- image -->' when 2 then p_name || ' [[FIGURE:x]] b [[FIGURE:y]]' else p_name || ' [[FIGURE:x]] b [[FIGURE:y]]' || chr(10) || '[[FIGURE:z]]' end as md from part""")
+def image_markers(spark, d):
+    ids = F.slice(F.array(F.lit("x"), F.lit("y"), F.lit("z")), F.lit(1), (F.col("p_partkey") % 4).cast("int"))
+    return table(spark, d, "part").select("p_partkey", figures.replace_markers(F.concat("p_name", F.lit(" <!-- image --> b <!-- image -->")), ids).alias("md"))
+
+
+@query("select p_partkey as doc_id, 0::int as page, 100.0::double as x0, 100.0::double as y0, (160 + p_size)::double as x1, 180.0::double as y1, 3::int as members from part")
+def vector_regions(spark, d):
+    """Each part is a page with a drawing of three boxes, a rule across the page, and a lone box far off."""
+    x = F.col("p_size").cast("double")
+    b = lambda *v: F.struct(*[(F.lit(float(a)) if not isinstance(a, Column) else a).alias(n) for a, n in zip(v, ("x0", "y0", "x1", "y1"))])
+    boxes = F.array(b(100, 100, 140, 120), b(110, 130, x + 160, 150), b(100, 160, 150, 180), b(10, 50, 590, 50), b(500, 700, 550, 760))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("page"), F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"), F.explode(boxes).alias("box"))
+    return figures.vector_regions(p)
+
+
+# --- sinks, resuming, streaming -------------------------------------------------------------------------------------
+
+
+@query("""select c_custkey, '{"bal":' || case when c_custkey % 2 = 0 then c_custkey || '.0' else c_custkey::varchar end || ',"seg":"' || c_mktsegment || '","ok":' || case when c_custkey % 3 = 0 then 'true' else 'false' end || ',"no":null}' as j,
+  case when c_custkey % 2 = 0 then c_custkey || '.0' else c_custkey::varchar end as cell, case when c_custkey % 3 = 0 then 'True' else 'False' end as flag, '' as gone from customer""")
+def record_rendering(spark, d):
+    k = F.col("c_custkey").cast("string")
+    n = F.when(F.col("c_custkey") % 2 == 0, tagged("float", F.concat(k, F.lit(".0")))).otherwise(tagged("int", k))
+    b = tagged("bool", F.when(F.col("c_custkey") % 3 == 0, "true").otherwise("false"))
+    no = tagged("null", F.lit(None).cast("string"))
+    v = F.create_map(F.lit("bal"), n, F.lit("seg"), tagged("string", F.col("c_mktsegment")), F.lit("ok"), b, F.lit("no"), no)
+    return table(spark, d, "customer").select("c_custkey", sinks.record_json(v).alias("j"), sinks.cell(n).alias("cell"), sinks.cell(b).alias("flag"), sinks.cell(no).alias("gone"))
+
+
+@query("select p_brand as doc_id, p_name as name, p_retailprice::decimal(18,2)::varchar as price, p_size::varchar as size from (select *, row_number() over (partition by p_brand order by p_partkey) as n from part)")
+def wide_records(spark, d):
+    w = sinks.wide(extract.extract_tables(part_pages(spark, d), RETAIL), RETAIL)
+    return w.select("doc_id", F.trim("name").alias("name"), F.trim("price").alias("price"), "size")
+
+
+@query("select doc_id from documents where doc_id not in (select doc_id from labels)")
+def resume_antijoin(spark, d):
+    return sinks.todo(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
+
+
+@query("select date_trunc('hour', ts) as window_start, event_type as stage, count(*) as n, round(avg(value), 6) as mean, max(value) as worst from events group by 1, 2")
+def metrics_windowed(spark, d):
+    from leafmill.streaming.stream import windowed_metrics
+
+    out = windowed_metrics(table(spark, d, "events"), "ts", "event_type", "value")
+    return out.withColumn("mean", F.round("mean", 6))
+
+
+@query("select event_type as stage, count(*) as n, max(value) as worst from events group by 1")
+def metrics_streamed(spark, d):
+    """The events read as a stream, to the end, through a watermark and windows; then summed."""
+    import uuid
+
+    from leafmill.streaming.stream import windowed_metrics
+
+    name = "m" + uuid.uuid4().hex
+    source = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    q = windowed_metrics(source, "ts", "event_type", "value").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).groupBy("stage").agg(F.sum("n").alias("n"), F.max("worst").alias("worst"))

@@ -39,12 +39,13 @@ def extract_stream(files: DataFrame, pipeline: Pipeline, out: str, checkpoint: s
 
 def dedup_stream(docs: DataFrame, key: list[str], time: str, delay: str = "1 hour") -> DataFrame:
     """First of rows with an equal key within the watermark."""
-    return docs.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
+    return docs.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
 
 
 def windowed_metrics(events: DataFrame, time: str, stage: str, latency: str, window: str = "1 hour", delay: str = "1 hour", slide: str | None = None) -> DataFrame:
     """(window_start, stage, n, mean, worst) in event time; the same on a batch."""
-    df = events.withWatermark(time, delay) if events.isStreaming else events
+    # watermarks want a timestamp with a time zone
+    df = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay) if events.isStreaming else events
     g = df.groupBy(F.window(time, window, slide) if slide else F.window(time, window), F.col(stage).alias("stage"))
     out = g.agg(F.count("*").alias("n"), F.avg(latency).alias("mean"), F.max(latency).alias("worst"))
     return out.select(F.col("window.start").alias("window_start"), "stage", "n", "mean", "worst")
