@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine, distance-weighted votes, evidence.
 
 Examples are labelled documents, at most about ``max_examples`` (chosen by hash of doc_id). Terms are words that
-occur in at least ``min_df`` toxic examples and lean to them by a log ratio of at least ``min_z`` standard
-errors; weights are (1 + ln tf) * idf over the examples, and vectors have length one. The examples with any
+occur in at least ``min_df`` toxic examples and whose share of them is at least ``min_lean`` times their share of
+clean ones, by ``min_z`` standard errors of the log ratio; weights are (1 + ln tf) * idf over the examples, and vectors have length one. The examples with any
 term form an inverted index whose postings lie in blocks of ``BLOCK`` examples, each term with its largest
 weight in each block. A document's blocks are read in order of their upper bound until that falls below the
 k-th best cosine, so the k nearest are exact; equal cosines go by smaller doc_id. Votes weigh
@@ -27,6 +27,7 @@ BLOCK = 64
 MAX_EXAMPLES = 20_000
 MIN_DF = 3
 MIN_Z = 3.5
+MIN_LEAN = 3.0
 NEIGHBOURS = 15
 THRESHOLD = 0.5
 SOFT = 0.1
@@ -51,10 +52,14 @@ def _terms(batches):
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors, grouped by block and term, with each term's largest weight in each block."""
+    """Postings of unit vectors, grouped by block and term, with each term's largest weight in each block.
+
+    Examples are laid out by their heaviest terms, so that a block's examples are alike and its bounds are tight.
+    """
 
     def __init__(self, ids: np.ndarray, toxic: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        order = np.argsort(ids, kind="stable")
+        lead = [tuple(t[np.lexsort((t, -w))][:3].tolist()) for t, w in vectors]
+        order = np.array(sorted(range(len(ids)), key=lambda i: (lead[i], ids[i])), np.int64)
         self.ids, self.toxic = ids[order], toxic[order]
         row = np.concatenate([np.full(len(vectors[o][0]), i) for i, o in enumerate(order)] or [np.zeros(0)]).astype(np.int64)
         term = np.concatenate([vectors[o][0] for o in order] or [np.zeros(0)]).astype(np.int64)
@@ -76,7 +81,7 @@ class BlockMaxIndex:
         best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
         step, at = 2, 0
         while at < len(order):
-            if len(best_s) == k and bound[order[at]] < best_s[-1] - 1e-12:
+            if len(best_s) == k and bound[order[at]] < best_s[-1] - 1e-11:
                 break
             take = order[at : at + step]
             at += step
@@ -91,7 +96,7 @@ class BlockMaxIndex:
                 ok = self.ids[rows] != leave
                 rows, cos = rows[ok], cos[ok]
             best_i, best_s = np.append(best_i, rows), np.append(best_s, cos)
-            keep = np.lexsort((best_i, -best_s))[:k]
+            keep = np.lexsort((self.ids[best_i], -best_s))[:k]
             best_i, best_s = best_i[keep], best_s[keep]
         return best_i, best_s
 
@@ -119,7 +124,7 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Terms, their idf, the index and the calibration: all bounded by ``max_examples``."""
 
-    def __init__(self, ids, toxic, terms, tfs, min_df, min_z, k):
+    def __init__(self, ids, toxic, terms, tfs, min_df, min_z, min_lean, k):
         self.k = k
         toxic = np.asarray(toxic, np.int64)
         n, pos = len(ids), int(toxic.sum())
@@ -132,7 +137,7 @@ class Model:
         a = (bad + 0.5) / (pos + 1)
         b = (df - bad + 0.5) / (n - pos + 1)
         z = np.log(a / b) / np.sqrt(1 / (bad + 0.5) + 1 / (df - bad + 0.5))
-        keep = (bad >= min_df) & (z >= min_z) & (0 < pos < n)
+        keep = (bad >= min_df) & (z >= min_z) & (a >= min_lean * b) & (0 < pos < n)
         self.vocab = vocab[keep]
         self.idf = np.log((n + 1) / (df[keep] + 1)) + 0.0
         vec = [self.vector(t, f) for t, f in zip(terms, tfs)]
@@ -167,7 +172,7 @@ class Model:
         return (self.base if v < 0 else float(np.interp(v, *self.knots))), self.index.ids[rows], cos
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, min_df: int = MIN_DF, min_z: float = MIN_Z, k: int = NEIGHBOURS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, min_df: int = MIN_DF, min_z: float = MIN_Z, min_lean: float = MIN_LEAN, k: int = NEIGHBOURS) -> Model:
     """Fit on labelled documents; about ``max_examples`` of them reach the driver."""
     lab = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = lab.count()
@@ -180,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, mi
     seen = np.unique(got["doc_id"].to_numpy(), return_index=True)[1]
     got = got.take(pa.array(seen))
     lists = [[np.asarray(x) for x in got[c].combine_chunks().to_numpy(zero_copy_only=False)] for c in ("terms", "tf")]
-    return Model(got["doc_id"].to_numpy(), got["toxic"].to_numpy(), [t.astype(np.int64).view(np.uint64) for t in lists[0]], lists[1], min_df, min_z, k)
+    return Model(got["doc_id"].to_numpy(), got["toxic"].to_numpy(), [t.astype(np.int64).view(np.uint64) for t in lists[0]], lists[1], min_df, min_z, min_lean, k)
 
 
 def _score_rows(m, data, offs):
