@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import materialise, release, steps, words, words_text
+from leafmill.llm.common import fresh, materialise, release, steps, words, words_text
 
 PHRASE = 13
 MIN_ITEM = 5
@@ -224,5 +224,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE, co
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """``docs`` without the documents that match an item; rows with a null doc_id stay."""
-    bad = contaminated(docs, benchmark, **params).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    (name,) = fresh(docs, "_bad")
+    bad = contaminated(docs, benchmark, **params).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, docs["doc_id"] == bad[name], "left_anti")

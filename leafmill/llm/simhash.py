@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import materialise, mix, release, steps, words, words_text
+from leafmill.llm.common import fresh, materialise, mix, release, steps, words, words_text
 
 BITS = 128
 KEY_BITS = 32
@@ -296,11 +296,12 @@ def simhash_groups(docs: DataFrame, radius: int = 22, recall: float = 0.9, leaf:
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 22, recall: float = 0.9, leaf: int = 64) -> DataFrame:
     """``docs`` with one document of each group left, that with the smallest doc_id; of rows that repeat a doc_id one stays. Rows with a null doc_id stay."""
-    lost = near_duplicates(docs, radius, recall, leaf).select(F.col("doc_id").alias("_lost")).withColumn("_hit", F.lit(True))
-    kept = docs.join(lost, F.col("doc_id") == F.col("_lost"), "left").where("_hit is null").drop("_lost", "_hit")
-    twice = materialise(docs.groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1 and _twice is not null").select("_twice"), "repeated")
+    lost_, twice_ = fresh(docs, "_lost", "_twice")
+    lost = near_duplicates(docs, radius, recall, leaf).select(F.col("doc_id").alias(lost_))
+    kept = docs.join(lost, F.col("doc_id") == F.col(lost_), "left_anti")
+    twice = materialise(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(twice_)).count().where("count > 1").select(twice_), "repeated")
     if twice.isEmpty():
         return kept
-    single = kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti")
-    again = kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"])
+    single = kept.join(twice, F.col("doc_id") == F.col(twice_), "left_anti")
+    again = kept.join(twice, F.col("doc_id") == F.col(twice_), "left_semi").dropDuplicates(["doc_id"])
     return single.unionByName(again)

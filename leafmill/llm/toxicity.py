@@ -2,7 +2,7 @@
 
 Examples are labelled documents, at most about ``max_examples`` (chosen by hash of doc_id). Terms are words that
 occur in at least ``min_df`` toxic examples and whose share of them is at least ``min_lean`` times their share of
-clean ones, by ``min_z`` standard errors of the log ratio; weights are (1 + ln tf) * idf over the examples, and vectors have length one. The examples with any
+clean ones, with a log-likelihood ratio of at least ``min_z`` squared; weights are (1 + ln tf) * idf over the examples, and vectors have length one. The examples with any
 term form an inverted index whose postings lie in blocks of ``BLOCK`` examples, each term with its largest
 weight in each block. A document's blocks are read in order of their upper bound until that falls below the
 k-th best cosine, so the k nearest are exact; equal cosines go by smaller doc_id. Votes weigh
@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import steps, words, words_text
+from leafmill.llm.common import fresh, materialise, release, steps, words, words_text
 
 BLOCK = 64
 MAX_EXAMPLES = 20_000
 MIN_DF = 3
-MIN_Z = 3.5
+MIN_Z = 5.0
 MIN_LEAN = 3.0
 NEIGHBOURS = 15
 THRESHOLD = 0.5
@@ -122,35 +122,29 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Terms, their idf, the index and the calibration: all bounded by ``max_examples``."""
+    """Terms, their idf, the index and the calibration: all bounded by ``max_examples``.
 
-    def __init__(self, ids, toxic, terms, tfs, min_df, min_z, min_lean, k):
+    ``examples``: (doc_id, toxic, terms, tf) of the examples with any of the terms; ``n`` and ``pos`` count all of them.
+    """
+
+    def __init__(self, vocab: np.ndarray, df: np.ndarray, examples: list[tuple], n: int, pos: int, k: int):
         self.k = k
-        toxic = np.asarray(toxic, np.int64)
-        n, pos = len(ids), int(toxic.sum())
-        size = [len(t) for t in terms]
-        flat = np.concatenate(terms) if n else np.zeros(0, np.uint64)
-        y = np.repeat(toxic, size)
-        vocab, inv = np.unique(flat, return_inverse=True)
-        df = np.bincount(inv, minlength=len(vocab))
-        bad = np.bincount(inv, y, len(vocab))
-        a = (bad + 0.5) / (pos + 1)
-        b = (df - bad + 0.5) / (n - pos + 1)
-        z = np.log(a / b) / np.sqrt(1 / (bad + 0.5) + 1 / (df - bad + 0.5))
-        keep = (bad >= min_df) & (z >= min_z) & (a >= min_lean * b) & (0 < pos < n)
-        self.vocab = vocab[keep]
-        self.idf = np.log((n + 1) / (df[keep] + 1)) + 0.0
-        vec = [self.vector(t, f) for t, f in zip(terms, tfs)]
-        some = [i for i, v in enumerate(vec) if len(v[0])]
-        ids = np.asarray(ids, np.int64)
-        self.index = BlockMaxIndex(ids[some], toxic[some], [vec[i] for i in some], len(self.vocab))
-        votes = np.full(n, -1.0)
-        for i in some:
-            votes[i] = self.index.vote(*self.index.nearest(*vec[i], k, int(ids[i])))
         self.usable = 0 < pos < n
+        order = np.argsort(vocab)
+        self.vocab = vocab[order]
+        self.idf = np.log((n + 1) / (df[order] + 1.0))
+        vec = [self.vector(t, f) for _, _, t, f in examples]
+        some = [i for i, v in enumerate(vec) if len(v[0])]
+        ids = np.array([examples[i][0] for i in some], np.int64)
+        toxic = np.array([examples[i][1] for i in some], np.int64)
+        vec = [vec[i] for i in some]
+        self.index = BlockMaxIndex(ids, toxic, vec, len(self.vocab))
+        votes = np.array([self.index.vote(*self.index.nearest(*v, k, int(i))) for v, i in zip(vec, ids)])
         if self.usable:
+            lone = n - len(some) + int((votes < 0).sum())
+            bad = pos - int(toxic.sum()) + int(toxic[votes < 0].sum())
+            self.base = bad / lone if lone else pos / n
             voted = votes >= 0
-            self.base = float(toxic[~voted].mean()) if (~voted).any() else pos / n
             self.knots = isotonic(votes[voted], toxic[voted]) if voted.any() else (np.zeros(1), np.full(1, self.base))
 
     def vector(self, terms: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,20 +166,53 @@ class Model:
         return (self.base if v < 0 else float(np.interp(v, *self.knots))), self.index.ids[rows], cos
 
 
+def _likelihood(n: int, pos: int):
+    """Log-likelihood ratio of a term's counts (df, bad) against equal shares; 0 log 0 is 0."""
+    share = pos / n
+    part = lambda k, p: F.when(k > 0, k * F.log(k / (F.col("df") * F.lit(p)))).otherwise(0.0)
+    return 2 * (part(F.col("bad"), share) + part(F.col("df") - F.col("bad"), 1 - share))
+
+
+def _pick(shared):
+    def run(batches):
+        vocab = shared.value
+        for batch in batches:
+            ids, toxic = (batch.column(i).to_pylist() for i in range(2))
+            out = []
+            for i, y, terms, tf in zip(ids, toxic, *(batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))):
+                terms = terms.view(np.uint64)
+                ok = np.isin(terms, vocab)
+                if ok.any():
+                    out.append((i, y, terms[ok].view(np.int64), tf[ok]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], k) for c, k in enumerate((pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())))], names=["doc_id", "toxic", "terms", "tf"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, min_df: int = MIN_DF, min_z: float = MIN_Z, min_lean: float = MIN_LEAN, k: int = NEIGHBOURS) -> Model:
-    """Fit on labelled documents; about ``max_examples`` of them reach the driver."""
+    """Fit on labelled documents. The terms chosen, and the examples' share of them, reach the driver: both bounded by ``max_examples``."""
+    sc = docs.sparkSession.sparkContext
     lab = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = lab.count()
     if n > max_examples:
         unit = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30))
         lab = lab.where(unit < int(max_examples / n * (1 << 30)))
     text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words_text(F.col("text")).alias("t"))
-    rows = text.join(lab, "doc_id").select("doc_id", "toxic", "t")
-    got = rows.mapInArrow(_terms, "doc_id long, toxic int, terms array<long>, tf array<int>").toArrow().sort_by([("doc_id", "ascending")])
-    seen = np.unique(got["doc_id"].to_numpy(), return_index=True)[1]
-    got = got.take(pa.array(seen))
-    lists = [[np.asarray(x) for x in got[c].combine_chunks().to_numpy(zero_copy_only=False)] for c in ("terms", "tf")]
-    return Model(got["doc_id"].to_numpy(), got["toxic"].to_numpy(), [t.astype(np.int64).view(np.uint64) for t in lists[0]], lists[1], min_df, min_z, min_lean, k)
+    kind = "doc_id long, toxic int, terms array<long>, tf array<int>"
+    rows = text.join(lab, "doc_id").select("doc_id", "toxic", "t").mapInArrow(_terms, kind)
+    rows = materialise(rows.groupBy("doc_id").agg(F.min(F.struct("toxic", "terms", "tf")).alias("x")).select("doc_id", "x.*"), "examples")
+    n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < pos < n:
+        release(rows)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), [], n, pos, k)
+    df = rows.select("toxic", F.explode("terms").alias("h")).groupBy("h").agg(F.count("*").alias("df"), F.sum("toxic").alias("bad"))
+    lean = F.col("bad") / pos >= min_lean * (F.col("df") - F.col("bad")) / (n - pos)
+    terms = df.where((F.col("bad") >= min_df) & lean & (_likelihood(n, pos) >= min_z * min_z)).select("h", "df").toPandas()
+    vocab = terms["h"].to_numpy(np.int64).view(np.uint64)
+    got = rows.mapInArrow(_pick(sc.broadcast(vocab)), kind).toPandas().sort_values("doc_id")
+    release(rows)
+    examples = [(i, y, np.asarray(t, np.int64).view(np.uint64), np.asarray(f)) for i, y, t, f in got.itertuples(index=False)]
+    return Model(vocab, terms["df"].to_numpy(np.float64), examples, n, pos, k)
 
 
 def _score_rows(m, data, offs):
@@ -245,4 +272,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
                 s = np.concatenate([_score_rows(m, data, offs)[0] for _, _, data, offs in steps(part, "t")])
                 yield pa.RecordBatch.from_arrays(batch.columns[1:], names=names).filter(pa.array(s < threshold))
 
-    return docs.select(words_text(F.col("text")).alias("_t"), *[F.col(f"`{c}`") for c in names]).mapInArrow(run, docs.schema)
+    return docs.select(words_text(F.col("text")).alias(fresh(docs, "_t")[0]), *[F.col(f"`{c}`") for c in names]).mapInArrow(run, docs.schema)
