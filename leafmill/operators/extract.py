@@ -27,7 +27,7 @@ def header_key(x: Column) -> Column:
 def table_records(text: Column, schema: TargetSchema) -> Column:
     """Records of one page of tab-separated lines, the first of which is the header; none when no header names a field."""
     all_lines = lines(F.coalesce(text, F.lit("")))
-    header = F.transform(F.split(F.element_at(all_lines, 1), "\t", -1), header_key)
+    header = F.transform(F.split(F.get(all_lines, F.lit(0)), "\t", -1), header_key)
     column = {n: F.size(header) - F.array_position(F.reverse(header), header_key(F.lit(n))) for n in schema.names()}
     has = {n: F.array_contains(header, header_key(F.lit(n))) for n in schema.names()}
     rows = F.filter(F.slice(all_lines, 2, F.greatest(F.size(all_lines) - 1, F.lit(0))), lambda x: strip(x) != "")

@@ -1,7 +1,8 @@
 """Documents from files: text, workbooks, office files, HTML, images, PDFs by an engine.
 
 Files are scanned as ``binaryFile``; each loader is a function (path, content) -> pages that runs in Python workers, a
-batch at a time. A file that a loader cannot read gives a row with ``error_class`` instead of an exception.
+batch at a time. A file that a loader cannot read gives a row with ``error_class`` instead of an exception. Spark's file
+scan passes over files of no bytes; rows that come with empty content from elsewhere are loaded as they are.
 """
 
 from __future__ import annotations

@@ -49,7 +49,7 @@ def test_chunks(spark):
 
 REPLIES = [
     ('{"records": [{"a": 1}, {"a": 2}]}', [{"a": "1"}, {"a": "2"}]), ('```json\n{"records": [{"a": 1}, {"a": 2}]}\n```', [{"a": "1"}, {"a": "2"}]), ('Sure: {"records": [{"a": 1}, {"a": 2}]} done', [{"a": "1"}, {"a": "2"}]),
-    ('[{"a": 1}, {"a": 2}]', [{"a": "1"}, {"a": "2"}]), ('{"a": 1.0, "b": null, "c": [1]}', [{"a": "1.0", "b": None, "c": "[1]"}]), ("no json", None), ("[1, 2]", None), ('{"records": []}', []),
+    ('[{"a": 1}, {"a": 2}]', [{"a": "1"}, {"a": "2"}]), ('{"a": 1.0, "b": null, "c": {"x": 1}}', [{"a": "1.0", "b": None, "c": '{"x":1}'}]), ('{"a": [1]}', None), ("no json", None), ("[1, 2]", None), ('{"records": []}', []),
 ]
 
 
@@ -234,7 +234,7 @@ def test_loaders(spark, tmp_path):
     assert load.load_xlsx("a", workbook())[0]["text"] == "name\tprice\n\t2.5"
     assert load.image_size(png(3, 4)) == ("png", 3, 4)
     assert load.load_html("a", b"<html><head><title>t</title></head><body><h1>H</h1><p>a <b>b</b></p><img src=x><table><tr><th>x</th></tr><tr><td>1</td></tr></table></body></html>")[0]["text"] == "# H\n\na b\n\n<!-- image -->\n\n| x |\n| --- |\n| 1 |"
-    files = {"a.txt": b"hi \xff", "b.xlsx": workbook(), "c.png": png(1, 1), "d.pdf": b"%PDF", "e.zzz": b"", "f.xlsx": b"no zip", "g.MD": b"# x"}
+    files = {"a.txt": b"hi \xff", "b.xlsx": workbook(), "c.png": png(1, 1), "d.pdf": b"%PDF", "e.zzz": b"?", "f.xlsx": b"no zip", "g.MD": b"# x"}
     for n, c in files.items():
         (tmp_path / n).write_bytes(c)
     got = {r["path"].rsplit("/", 1)[1]: r for r in load.read_documents(spark, str(tmp_path)).collect()}
