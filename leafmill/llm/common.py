@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -84,6 +85,12 @@ def steps(batch: pa.RecordBatch, name: str):
         lo = hi
 
 
+def let_go(spark: SparkSession) -> None:
+    """Ask the driver to forget plans no longer used, so that executors may delete the shuffle files of tables already written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _POW = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 

@@ -15,12 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import materialise, words_text
+from leafmill.llm.common import let_go, materialise, release, words_text
 
 K = 5
 KEEP = 1
 CONTAINED = 0.5
 MIN_HASHES = 4
+#: Parts in which hashes that several entries have are numbered.
+BUCKETS = 4096
 
 
 def sketch(text: Column, k: int = K, keep: int = KEEP) -> Column:
@@ -57,20 +59,33 @@ def contained(sketched: DataFrame, at_least: float = CONTAINED, min_hashes: int
     """(a_docs, b_docs, a_size, b_size, shared, containment of a in b) for all pairs of entries with at least ``at_least``.
 
     Exact on the sketches, by prefix filtering: of n hashes of a, a container shares one of the n - ceil(at_least n) + 1
-    that fewest entries have, so only these are looked up, and hashes that one entry alone has are dropped first.
+    that fewest entries have, so only these are looked up, and hashes that one entry alone has are dropped first. The
+    others are numbered, so that the lists which meet in a pair are short.
     """
-    entry = materialise(sketched.where(F.size("sketch") > 0).groupBy("sketch").agg(F.array_sort(F.collect_list("doc_id")).alias("docs")).select(F.col("docs")[0].alias("id"), "docs", "sketch"), "sketches")
-    hashes = entry.select("id", F.explode("sketch").alias("h"))
-    shared = materialise(hashes.withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1"), "postings")
-    size = F.size("sketch")
-    need = size - F.ceil(F.lit(at_least) * size) + 1
-    rare = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("common"))
-    rare = entry.where(size >= min_hashes).select("id", need.alias("need"), size.alias("size")).join(rare, "id")
-    prefix = F.slice("common", F.lit(1), F.greatest(F.lit(0), F.col("need") - (F.col("size") - F.size("common"))).cast("int"))
-    start = rare.select(F.col("id").alias("a"), F.explode(prefix).alias("p")).select("a", F.col("p.h").alias("h"))
-    pairs = start.join(shared.select("h", F.col("id").alias("b")), "h").where("a <> b").select("a", "b").distinct()
-    left = entry.select(F.col("id").alias("a"), F.col("docs").alias("a_docs"), F.col("sketch").alias("x"))
-    right = entry.select(F.col("id").alias("b"), F.col("docs").alias("b_docs"), F.col("sketch").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
-    both = both.select("a_docs", "b_docs", F.size("x").alias("a_size"), F.size("y").alias("b_size"), "shared", (F.col("shared") / F.size("x")).alias("containment"))
-    return both.where(F.col("containment") >= at_least)
+    spark = sketched.sparkSession
+    grouped = sketched.where(F.size("sketch") > 0).groupBy("sketch").agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))
+    entry = materialise(grouped.select(F.col("docs")[0].alias("id"), "docs", F.size("sketch").alias("n"), "sketch"), "sketches")
+    let_go(spark)
+    hashes = entry.select("id", "n", F.explode("sketch").alias("h")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("h")) - 1
+    counted = hashes.withColumn("place", rank).withColumn("df", F.count("*").over(Window.partitionBy("bucket", "h"))).where("df > 1")
+    shared = materialise(counted.select("id", "n", (F.col("place").cast("long") * BUCKETS + F.col("bucket")).alias("h"), "df"), "postings")
+    let_go(spark)
+    kind = "int" if (shared.agg(F.max("h")).first()[0] or 0) < 1 << 31 else "bigint"
+    common = shared.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", F.col("h").cast(kind).alias("h")))).alias("c"))
+    first = F.col("n") - F.ceil(F.lit(at_least) * F.col("n")) + 1 - (F.col("n") - F.size("c"))
+    lists = materialise(common.select("id", "n", F.greatest(F.lit(0), first).cast("int").alias("first"), F.transform("c", lambda x: x["h"]).alias("hs")), "lists")
+    start = lists.where(F.col("n") >= min_hashes).select(F.col("id").alias("a"), F.explode(F.slice("hs", F.lit(1), F.col("first"))).alias("h"))
+    # a pair may be found from both sides; its lists meet once
+    pairs = start.join(shared.select(F.col("h").cast(kind).alias("h"), F.col("id").alias("b")), "h").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = lists.select(F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("hs").alias("x"))
+    right = lists.select(F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("hs").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_n", "b_n", F.size(F.array_intersect("x", "y")).alias("shared"))
+    met = materialise(both.where(F.col("shared") >= F.lit(at_least) * F.least("a_n", "b_n")), "pairs")
+    release(shared, lists)
+    let_go(spark)
+    side = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(f"{a}_n").alias("a_size"), F.col(f"{b}_n").alias("b_size"))
+    out = met.select("shared", F.explode(F.array(side("a", "b"), side("b", "a"))).alias("s")).select("s.*", "shared", (F.col("shared") / F.col("s.a_size")).alias("containment"))
+    out = out.where((F.col("containment") >= at_least) & (F.col("a_size") >= min_hashes))
+    ids = lambda c: entry.select(F.col("id").alias(c), F.col("docs").alias(f"{c}_docs"))
+    return out.join(ids("a"), "a").join(ids("b"), "b").select("a_docs", "b_docs", "a_size", "b_size", "shared", "containment")
