@@ -44,7 +44,7 @@ def sentence(rng, n, vocab):
 VOCAB = ["".join(p) for p in itertools.product(["ka", "lo", "mi", "tu", "ser", "van"], ["ran", "dol", "pit", "nes"], ["a", "o", "um", "ix"])]
 
 
-# --- shared pieces --------------------------------------------------------------------------------------------------
+# --- shared pieces
 
 
 def test_word_hashes():
@@ -65,7 +65,7 @@ def test_materialise(spark):
         spark.read.parquet(m._leafmill_path).count()
 
 
-# --- 1 toxicity -----------------------------------------------------------------------------------------------------
+# --- 1 toxicity
 
 
 def toxic_corpus(n=240, seed=1):
@@ -130,7 +130,7 @@ def test_toxicity_awkward(spark):
     assert toxicity.score(docs.where("false"), some).count() == 0
 
 
-# --- 2 simhash ------------------------------------------------------------------------------------------------------
+# --- 2 simhash
 
 
 def near_corpus(seed=2, n=400):
@@ -233,7 +233,7 @@ def test_simhash_awkward(spark):
     assert simhash.simhash_groups(docs.where("false")).count() == 0 and simhash.drop_near_duplicates(docs.where("false")).count() == 0
 
 
-# --- 3 decontamination ----------------------------------------------------------------------------------------------
+# --- 3 decontamination
 
 
 def brute_phrase(item, doc, phrase):
@@ -318,7 +318,7 @@ def test_decontamination_slices_and_awkward(spark):
     assert decontam.contaminated(docs.where("false"), items).count() == 0 and decontam.contaminated(docs, items.where("false")).count() == 0
 
 
-# --- 4 language -----------------------------------------------------------------------------------------------------
+# --- 4 language
 
 
 def profile(t, size):
@@ -393,7 +393,7 @@ def test_language_awkward(spark):
         assert langid.identify(none).where("not rejected").count() == 0 and langid.keep_identified(none).count() == 0
 
 
-# --- 5 warc ---------------------------------------------------------------------------------------------------------
+# --- 5 warc
 
 
 def test_warc_round_trip_at_any_split(spark, tmp_path):
@@ -423,7 +423,7 @@ def test_warc_damage(spark, tmp_path):
     assert warc.read_warc(spark, [str(tmp_path / "none")]).count() == 0
 
 
-# --- 6 chat ---------------------------------------------------------------------------------------------------------
+# --- 6 chat
 
 
 def test_chat_machine(spark):
@@ -441,7 +441,7 @@ def test_chat_machine(spark):
     assert {x["conv_id"] for x in r if x["valid"]} == {1, 8, 11} and chat.format_chats(df.where("false")).count() == 0
 
 
-# --- 7 packing ------------------------------------------------------------------------------------------------------
+# --- 7 packing
 
 
 def check_packing(given, rows, window):
@@ -511,7 +511,7 @@ def test_packing_awkward(spark):
     assert packing.pack(docs.where("false")).count() == 0
 
 
-# --- 8 licences -----------------------------------------------------------------------------------------------------
+# --- 8 licences
 
 
 def test_licences(spark):
@@ -525,7 +525,7 @@ def test_licences(spark):
     assert licenses.scan(docs.where("false")).count() == 0 and licenses.scan(docs, [("x", "...")]).count() == 0
 
 
-# --- 9 urls ---------------------------------------------------------------------------------------------------------
+# --- 9 urls
 
 
 def test_url_tokens(spark):
@@ -559,7 +559,7 @@ def test_url_rules(spark):
     assert urls.filter_urls(pages, labels.where("false")).where("flagged").count() == 0 and urls.filter_urls(pages.where("false"), labels).count() == 0
 
 
-# --- 10 fingerprints ------------------------------------------------------------------------------------------------
+# --- 10 fingerprints
 
 
 def brute_sketch(t, k=5, keep=1):
