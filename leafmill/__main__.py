@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +52,7 @@ def main(argv: list[str] | None = None) -> int:
     sw.add_argument("--config", required=True)
     sw.add_argument("--dataset", required=True)
     sw.add_argument("--folder", default="")
-    sw.add_argument("--thresholds", required=True, help="comma-separated")
+    sw.add_argument("--thresholds", help="comma-separated", required=True)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("leafmill").getOrCreate()
     if a.command == "run":
@@ -77,4 +78,4 @@ def main(argv: list[str] | None = None) -> int:
 
 
 if __name__ == "__main__":
-    raise SystemExit(main())
+    sys.exit(main())

@@ -13,7 +13,7 @@ _MONEY = "$€£¥"
 
 #: A token of digits with points and commas, and blanks only in front of exactly three digits.
 LOCALE_TOKEN = r"\d(?:[.,\d]|\x20(?=\d{3}(?!\d)))*\d|\d"
-_LOOKS = r"[\s$€£¥₹]*(\d+|\d{1,3}(,\d{3})+)(\.\d+)?[\s$€£¥₹]*"
+_LOOKS = r"[₹¥£€$\s]*(\d+|\d{1,3}(,\d{3})+)([.]\d+)?[₹¥£€$\s]*"
 
 
 def _whole(x: Column, pattern: str) -> Column:
@@ -43,7 +43,7 @@ def looks_numeric(x: Column) -> Column:
 
 def first_number(x: Column) -> Column:
     """First unsigned number, thousands commas dropped; null without one."""
-    return F.nullif(F.regexp_extract(F.replace(x, F.lit(","), F.lit("")), r"\d+(?:\.\d+)?", 0), F.lit("")).try_cast("double")
+    return F.nullif(F.regexp_extract(F.replace(x, F.lit(","), F.lit("")), r"\d+(?:[.]\d+)?", 0), F.lit("")).try_cast("double")
 
 
 def number_candidates(token: Column) -> Column:

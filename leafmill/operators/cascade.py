@@ -15,17 +15,17 @@ from leafmill.schema import TargetSchema
 
 #: A scorer makes a column from a document's text and its records (array of value maps).
 Scorer = Callable[[Column, Column], Column]
-_SCORERS: dict[str, Scorer] = {}
+_KNOWN: dict[str, Scorer] = {}
 
 
-def register_scorer(name: str, scorer: Scorer) -> None:
-    _SCORERS[name] = scorer
+def register_scorer(name, scorer: Scorer) -> None:
+    _KNOWN[name] = scorer
 
 
 def get_scorer(name: str) -> Scorer:
-    if name not in _SCORERS:
-        raise KeyError(f"no scorer {name!r}; there are {sorted(_SCORERS)}")
-    return _SCORERS[name]
+    if name not in _KNOWN:
+        raise KeyError(f"no scorer {name!r}; there are {sorted(_KNOWN)}")
+    return _KNOWN[name]
 
 
 register_scorer("text_length", lambda t, r: text_length(t).cast("double"))
@@ -143,7 +143,7 @@ def cascade(data: Dataset, primary: Callable[[Dataset], Dataset], fallback: Call
     return first.with_(documents=both(first.documents, again.documents), records=both(first.records, again.records), costs=costs).also(router=routed if old is None else old.unionByName(routed))
 
 
-# --- cost -----------------------------------------------------------------------------------------------------------
+# --- cost
 
 #: model, USD for 1000 tokens in, out
 PRICES = [("gpt-4o", 25e-4, 1e-2), ("gpt-4o-mini", 15e-5, 6e-4), ("anthropic.claude-3-5-sonnet", 3e-3, 15e-3)]

@@ -17,7 +17,7 @@ from leafmill.functions.text import count_tokens, lines, strip
 from leafmill.model import VALUE, in_order, tagged, with_sides
 from leafmill.schema import TargetSchema
 
-# --- tables in plain text -------------------------------------------------------------------------------------------
+# --- tables in plain text
 
 
 def header_key(x: Column) -> Column:
@@ -51,12 +51,12 @@ def extract_tables(docs: DataFrame, schema: TargetSchema) -> DataFrame:
     return with_sides(out.select("doc_id", F.col("record_ix").cast("int").alias("record_ix"), "values"))
 
 
-# --- prompts --------------------------------------------------------------------------------------------------------
+# --- prompts
 
 
 def prompt_head(schema: TargetSchema, evidence: bool = False) -> str:
     """What a request says before the document."""
-    head = f"List every record the document holds, as a JSON object with one key \"records\".\nUse these keys only: {', '.join(schema.names())}.\n{schema.describe()}\n"
+    head = f"List every record the document holds, as a JSON object with one key \"records\".\nUse these keys only: {', '.join(schema.names())}.\n{schema.as_lines()}\n"
     if evidence:
         head += 'Give each record a key "_evidence" too: for each field, the words of the document it was taken from, unchanged.\n'
     return head + "Leave out what the document does not say. Document:\n"
@@ -120,7 +120,7 @@ def requests(docs: DataFrame, schema: TargetSchema, text: Column, evidence: bool
     return out.withColumn("error_class", F.when(over, "input_too_large"))
 
 
-# --- replies --------------------------------------------------------------------------------------------------------
+# --- replies
 
 
 def json_candidates(reply: Column) -> Column:
@@ -237,12 +237,12 @@ def extract(docs: DataFrame, schema: TargetSchema, completions: DataFrame, text:
     return parse_replies(answered, evidence), asked.join(completions.select("prompt_sha", "model", "prompt_tokens", "completion_tokens", "attempts"), "prompt_sha", "left")
 
 
-# --- chunks ---------------------------------------------------------------------------------------------------------
+# --- chunks
 
 
 def chunk_text(text: Column, max_chars: int) -> Column:
-    """Whole lines packed greedily into chunks of at most ``max_chars``; a longer line is a chunk; empty chunks are dropped."""
-    if max_chars <= 0:
+    """Whole lines packed greedily into chunks of at most ``max_chars``; a longer line is a chunk; empty ones are left out."""
+    if not max_chars > 0:
         raise ValueError("max_chars must be above 0")
     none = F.lit(None).cast("string")
     start = F.struct(F.array().cast("array<string>").alias("done"), none.alias("now"))
@@ -276,11 +276,11 @@ def dedup_records(records: DataFrame) -> DataFrame:
     return records.withColumn("_key", record_key(F.col("values"))).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_key")
 
 
-# --- rules first ----------------------------------------------------------------------------------------------------
+# --- rules first
 
 _CODES = "AUD CAD CHF CNY EUR GBP HKD IDR INR JPY KRW MYR NZD PHP SGD THB TWD USD VND".split()
 _SIGNS = [("€", "EUR"), ("RM", "MYR"), ("£", "GBP"), ("¥", "JPY"), ("$", "USD"), ("₹", "INR"), ("₩", "KRW")]
-_DATES = [r"\b\d{4}-\d{2}-\d{2}\b", *[rf"\b\d{{2}}{s}\d{{2}}{s}\d{{4}}\b" for s in ("/", "-", r"\.")]]
+_DATES = [r"\b\d{4}(?:-\d\d){2}\b", *[rf"\b\d{{2}}{s}\d{{2}}{s}\d{{4}}\b" for s in ("/", "-", r"\.")]]
 
 
 def _first(text: Column, pattern: str) -> Column:
@@ -288,7 +288,7 @@ def _first(text: Column, pattern: str) -> Column:
 
 
 def match_number(text: Column) -> Column:
-    return _first(text, r"\d+(?:\.\d+)?")
+    return _first(text, r"\d+(?:[.]\d+)?")
 
 
 def match_currency(text: Column) -> Column:
@@ -303,7 +303,7 @@ def match_date(text: Column) -> Column:
 
 
 def match_email(text: Column) -> Column:
-    return _first(text, r"\b[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b")
+    return _first(text, r"\b[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*[.][a-zA-Z]{2,}\b")
 
 
 MATCHERS = {"number": match_number, "currency": match_currency, "date": match_date, "email": match_email}
@@ -342,7 +342,7 @@ def hybrid(docs: DataFrame, schema: TargetSchema, rules: dict[str, dict], text:
     return with_sides(out.select("doc_id", F.lit(0).alias("record_ix"), merged.alias("values"), F.map_keys("by_rule").alias("rule_fields"), F.map_keys("by_model").alias("model_fields")))
 
 
-# --- ensembles ------------------------------------------------------------------------------------------------------
+# --- ensembles
 
 
 def consensus(values: Column, type_: str = "string") -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.text import strip
 
-MARKER = r"<!--\s*image\s*-->"
+MARKER = r"<!-{2}\s*image\s*-{2}>"
 _HEAD = r"(?m)(?=^## Page \d+[ \t]*$)"
 
 
@@ -71,7 +71,7 @@ def replace_markers(markdown: Column, ids: Column) -> Column:
 
 def merge(markdown: Column, results: Column) -> Column:
     """Tokens become their figure's result; one without becomes a note. ``results``: map of id to text."""
-    pattern = r"\[\[FIGURE:([^\]]+)\]\]"
+    pattern = r"\[{2}FIGURE:([^\]]+)\]{2}"
     ids = F.regexp_extract_all(markdown, F.lit(pattern), F.lit(1))
     said = F.transform(ids, lambda i: F.coalesce(results[i], F.concat(F.lit("[unprocessed figure "), i, F.lit("]"))))
     return F.array_join(F.zip_with(F.split(markdown, pattern, -1), said, lambda g, r: F.concat(g, F.coalesce(r, F.lit("")))), "")
@@ -101,7 +101,7 @@ def merge_figures(docs: DataFrame, figures: DataFrame) -> DataFrame:
     return docs.join(found, "doc_id", "left").withColumn("markdown", merge(F.col("markdown"), F.coalesce("_results", none))).drop("_results")
 
 
-# --- vector regions -------------------------------------------------------------------------------------------------
+# --- vector regions
 
 GAP, SIDE, PARTS, PAGE_SHARE, ASPECT, MOST = 18.0, 40.0, 3, 0.8, 25.0, 1500
 

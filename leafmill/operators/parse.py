@@ -70,7 +70,7 @@ def classify_source(path: Column, pages: Column) -> Column:
     )
 
 
-def route(docs: DataFrame, parsers: dict[str, Parser], routes: dict[str, str] | None = None) -> DataFrame:
+def route(docs: DataFrame, parsers: dict[str, Parser], routes=None) -> DataFrame:
     """Parse each document with its type's parser; one pass a parser in use, so an engine sees its own documents only."""
     routes = DEFAULT_ROUTES if routes is None else routes
     last = routes.get("unknown", "parser.passthrough")

@@ -14,7 +14,7 @@ from leafmill.model import PROVENANCE, VALUE, in_order
 from leafmill.operators.extract import dedup_records, prompt_key
 from leafmill.schema import FieldSpec, TargetSchema
 
-# --- validation and normalisation -----------------------------------------------------------------------------------
+# --- validation and normalisation
 
 
 def _has(values: Column, name: str) -> Column:
@@ -74,7 +74,7 @@ def deduped(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.groupBy("doc_id").agg(F.count("*").alias("m")).join(n, "doc_id", "left").select("doc_id", (F.col("m") - F.coalesce("n", F.lit(0))).alias("deduped"))
 
 
-# --- business rules -------------------------------------------------------------------------------------------------
+# --- business rules
 
 #: A rule makes, from the values, a message (null when it holds) and whether it cannot be evaluated.
 Rule = Callable[[Column], tuple[Column, Column]]
@@ -95,7 +95,8 @@ def rule_number(values: Column, name: str) -> Column:
     return F.when(~is_absent(values, name), as_double(values[name]))
 
 
-def sum_equals(fields: list[str], target: str, tolerance: float = 0.01) -> Rule:
+def sum_equals(fields, target, tolerance=0.01) -> Rule:
+    """The fields add up to the target, but for the tolerance."""
     def check(v):
         parts = [rule_number(v, f) for f in fields]
         total = parts[0]
@@ -121,7 +122,8 @@ def in_set(field: str, allowed: list) -> Rule:
     return check
 
 
-def range_(field: str, min: float | None = None, max: float | None = None) -> Rule:  # noqa: A002
+def range_(field, min=None, max=None) -> Rule:  # noqa: A002
+    """Within the bounds given, which belong to it."""
     def check(v):
         n = rule_number(v, field)
         low = F.lit(False) if min is None else n < min
@@ -176,7 +178,7 @@ def rule_summary(results: DataFrame) -> DataFrame:
     return results.groupBy("doc_id").agg(F.count("*").alias("checked"), F.count_if(F.col("status") == "violation").alias("violations"), F.count_if(F.col("status") == "cannot_evaluate").alias("cannot_evaluate"))
 
 
-# --- confidence -----------------------------------------------------------------------------------------------------
+# --- confidence
 
 MISSING, MISFIT, UNGROUNDED, GROUNDED, MISMATCH_CAP = 0.0, 0.3, 0.4, 0.9, 0.2
 
@@ -194,7 +196,7 @@ def raw_confidence(v: Column, spec: FieldSpec, text: Column) -> Column:
     return F.struct(F.get(levels, rank).alias("score"), F.get(reasons, rank).alias("reason"))
 
 
-def score_confidence(records: DataFrame, schema: TargetSchema, text: str = "text", threshold: float = 0.5, calibration: dict[float, float] | None = None) -> DataFrame:
+def score_confidence(records: DataFrame, schema: TargetSchema, text: str = "text", threshold=0.5, calibration=None) -> DataFrame:
     """Set ``confidence`` and ``low_confidence`` (array of field, confidence, reason). ``records`` carries the document's text. Narrow.
 
     Scores that are already there stay: they are neither calibrated nor capped, and have no reason.
@@ -221,7 +223,7 @@ def score_confidence(records: DataFrame, schema: TargetSchema, text: str = "text
     return out.drop("_scores", *[f"_raw{i}" for i in range(len(made))])
 
 
-# --- provenance -----------------------------------------------------------------------------------------------------
+# --- provenance
 
 
 def _spot(pages: Column, hit: Callable[[Column], Column], page_snippet: Callable[[Column], Column], evidence: Column, method: str) -> Column:
@@ -259,7 +261,7 @@ def add_provenance(records: DataFrame, schema: TargetSchema, pages: str = "pages
     return records.withColumn("provenance", _put(F.col("provenance"), F.map_from_entries(F.transform(found, lambda e: F.struct(e["key"], e["value"])))))
 
 
-# --- review ---------------------------------------------------------------------------------------------------------
+# --- review
 
 
 def review_queue(records: DataFrame) -> DataFrame:
@@ -279,7 +281,7 @@ def review_queue(records: DataFrame) -> DataFrame:
     )
 
 
-# --- policies -------------------------------------------------------------------------------------------------------
+# --- policies
 
 CONDITIONS = ("has_rule_violations", "max_review_fields", "max_total_usd", "min_confidence")
 ACTIONS = ("halt", "tag", "flag_review")
@@ -331,7 +333,7 @@ def apply_policies(metrics: DataFrame, policies: list[dict]) -> DataFrame:
     return out.withColumn("policy", art).drop("_fired")
 
 
-# --- repair ---------------------------------------------------------------------------------------------------------
+# --- repair
 
 
 def failed_fields(schema: TargetSchema, repaired: Column | None = None) -> Column:

@@ -349,7 +349,7 @@ class Pipeline:
         return data.also(trace=spark.createDataFrame(trace, "seq int, stage string, ok boolean, duration_ms double, error string"))
 
 
-def item(entry: Any, at: int) -> tuple[str, dict[str, Any]]:
+def item(entry, at: int):
     """(name, parameters) of an entry of the list of stages."""
     where = f"pipeline[{at}]"
     if isinstance(entry, str):

@@ -56,7 +56,7 @@ def chats(spark, d) -> DataFrame:
     return table(spark, d, "conversations").groupBy("conv_id").agg(in_order(F.collect_list(page)).alias("pages")).withColumnRenamed("conv_id", "doc_id")
 
 
-# --- parsing --------------------------------------------------------------------------------------------------------
+# --- parsing
 
 
 @query("select conv_id as doc_id, string_agg('## Page ' || turn || case when text <> '' then chr(10) || chr(10) || text else '' end, chr(10) || chr(10) order by turn) as markdown from conversations group by 1")
@@ -93,7 +93,7 @@ def invoice(spark, d) -> DataFrame:
     eu = lambda c: F.replace(money(c), F.lit("."), F.lit(","))
     line = F.concat(F.lit("| "), F.col("l_linenumber").cast("string"), F.lit(" | "), eu(net), F.lit(" | "), eu(vat), F.lit(" | "), eu(net + vat), F.lit(" |"))
     g = table(spark, d, "lineitem").withColumn("net", net).withColumn("vat", vat).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("x"), "net", "vat"))).alias("r"))
-    head = "Order\n\n| No. | Net worth | VAT amount | Gross worth |\n|---|---|---|---|\n"
+    head = "Order\n\n| No. | Net worth | VAT amount | Gross worth |\n|--|--|--|--|\n"
     return g.select("l_orderkey", F.concat(F.lit(head), F.array_join(F.transform("r", lambda x: x["x"]), "\n"), F.lit("\nThank you")).alias("md"), F.get("r", F.lit(0))["net"].alias("net"), F.get("r", F.lit(0))["vat"].alias("vat"))
 
 
@@ -104,7 +104,7 @@ def markdown_table_parse(spark, d):
     return t.select("l_orderkey", F.size("t").alias("n_tables"), F.size(rows).alias("n_rows"), F.array_min(F.transform(rows, lambda r: cents(numbers.cell_number(F.get(r, F.lit(1)))))).alias("least"))
 
 
-# --- scalar functions and scorers -----------------------------------------------------------------------------------
+# --- scalar functions and scorers
 
 
 @query(r"""select doc_id, length(regexp_replace(text, '^\s+|\s+$', '', 'g'))::int as text_length,
@@ -120,7 +120,7 @@ _ENOUGH = r"least(1.0, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) / 200.
 
 
 def _composite():
-    return cascade.resolve_scorer({"composite": [{"scorer": "char_validity", "weight": 3}, {"scorer": "text_sufficiency", "weight": 1}]}, TargetSchema())
+    return cascade.resolve_scorer({"composite": [{"weight": 3, "scorer": "char_validity"}, {"weight": 1, "scorer": "text_sufficiency"}]}, TargetSchema())
 
 
 def text_documents(spark, d) -> DataFrame:
@@ -235,12 +235,12 @@ def figure_mime_scale(spark, d):
 @query(r"""select doc_id, nullif(regexp_extract(text, '\d+(?:\.\d+)?', 0), '') as number,
   coalesce(upper(nullif(regexp_extract(text, '(?i)\b(USD|EUR|GBP|JPY|MYR|CNY|SGD|AUD|CAD|CHF|INR|KRW|THB|VND|NZD|HKD|TWD|PHP|IDR)\b', 0), '')),
     case regexp_extract(text, '\$|€|£|¥|₩|₹|RM', 0) when '$' then 'USD' when '€' then 'EUR' when '£' then 'GBP' when '¥' then 'JPY' when '₩' then 'KRW' when '₹' then 'INR' when 'RM' then 'MYR' end) as currency,
-  strftime(ts, '%d.%m.%Y') as date, nullif(regexp_extract(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', 0), '') as email
+  strftime(ts, '%d.%m.%Y') as date, nullif(regexp_extract(text, '\b[0-9A-Za-z._%+-]+@[0-9A-Za-z.-]+[.][A-Za-z]{2,}\b', 0), '') as email
   from documents join (select event_id, ts from events) on event_id = doc_id""")
 def hybrid_first_match(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.date_format("ts", "dd.MM.yyyy").alias("day"))
     docs = table(spark, d, "documents").join(e, "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "day")
-    rules = {"number": {"matcher": "number"}, "currency": {"matcher": "currency"}, "email": {"matcher": "email"}}
+    rules = {n: {"matcher": n} for n in ("currency", "email", "number")}
     schema = TargetSchema.of("number", "currency", "date", "email")
     out = extract.hybrid(docs, schema, rules, F.col("text")).drop("rule_fields", "model_fields")
     dates = extract.hybrid(docs, schema, {"date": {"matcher": "date"}}, F.concat(F.lit("on 1/2 or "), "day")).select("doc_id", F.col("values")["date"]["s"].alias("date"))
@@ -248,7 +248,7 @@ def hybrid_first_match(spark, d):
     return out.join(dates, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), v("number"), v("currency"), "date", v("email"))
 
 
-# --- tables, validation, normalisation ------------------------------------------------------------------------------
+# --- tables, validation, normalisation
 
 RETAIL = TargetSchema.of("name*", "price:number", "size:integer")
 
@@ -265,8 +265,9 @@ def part_pages(spark, d) -> DataFrame:
 @query("""with x as (select p_brand as doc_id, p_name as name, round(p_retailprice * 100)::bigint as cents, p_size as size from part) select distinct doc_id, name, cents, size::bigint as size from x""")
 def table_extract_validate(spark, d):
     """The flagship: pages to records, validated, normalised and without repeats, by a declared pipeline."""
-    config = {"schema": {"fields": [{"name": "name", "required": True}, {"name": "price", "type": "number"}, {"name": "size", "type": "integer"}]}, "pipeline": ["ingest.default", "parse.default", "extract.table", "validate.default", "normalize.default"]}
-    out = build(config).run(Dataset(part_pages(spark, d)))
+    fields = [{"required": True, "name": "name"}, {"type": "number", "name": "price"}, {"type": "integer", "name": "size"}]
+    stages = "ingest.default parse.default extract.table validate.default normalize.default".split()
+    out = build({"pipeline": stages, "schema": {"fields": fields}}).run(Dataset(part_pages(spark, d)))
     v = F.col("values")
     return out.records.select("doc_id", v["name"]["s"].alias("name"), cents(v["price"]["s"].cast("double")).alias("cents"), v["size"]["s"].cast("long").alias("size"))
 
@@ -293,7 +294,7 @@ def normalize_dedup(spark, d):
     return after.groupBy("doc_id").agg(F.count("*").alias("kept")).join(quality.deduped(before, after), "doc_id")
 
 
-# --- rules ----------------------------------------------------------------------------------------------------------
+# --- rules
 
 
 def order_records(spark, d) -> DataFrame:
@@ -341,7 +342,7 @@ def rules_non_negative(spark, d):
     return s.groupBy(F.col("c_nationkey").alias("nation")).agg(F.sum("checked").alias("checked"), F.sum("violations").alias("violations"), F.sum("cannot_evaluate").alias("cannot_evaluate"))
 
 
-# --- verification ---------------------------------------------------------------------------------------------------
+# --- verification
 
 
 def receipts(spark, d) -> DataFrame:
@@ -391,7 +392,7 @@ def archetypes(spark, d):
     return verify.classify(o, F.col("t"), F.col("fig")).select("o_orderkey", "archetype")
 
 
-# --- confidence, provenance, review, policy, repair -----------------------------------------------------------------
+# --- confidence, provenance, review, policy, repair
 
 SCORED = TargetSchema.of("total*:number", "who:string")
 
@@ -441,7 +442,7 @@ def policy_apply(spark, d):
     r = scored(spark, d)
     m = observe.document_metrics(r, records=r)
     usd = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("doc_id"), F.col("o_totalprice").alias("total_usd"))
-    p = [{"when": {"min_confidence": 0.5}, "action": "flag_review"}, {"when": {"min_confidence": 0.1}, "action": "halt"}, {"when": {"max_total_usd": 300000}, "action": "tag", "tag": "costly"}, {"when": {"has_rule_violations": True}, "action": "halt"}]
+    p = [dict(action="flag_review", when={"min_confidence": 0.5}), dict(action="halt", when={"min_confidence": 0.1}), dict(action="tag", tag="costly", when={"max_total_usd": 300000}), dict(action="halt", when={"has_rule_violations": True})]
     out = quality.apply_policies(m.join(usd, "doc_id"), p)
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "policy.review", "policy.tags", "policy.halted")
 
@@ -465,7 +466,7 @@ def calibration_ece(spark, d):
     return evaluate.calibration_error(evaluate.calibration_table(p)).select(F.round("ece", 9).alias("ece"))
 
 
-# --- replies, ensembles ---------------------------------------------------------------------------------------------
+# --- replies, ensembles
 
 
 @query("""select event_id, (props->>'k')::varchar as k, 'int' as kind, event_type as t from events""")
@@ -526,7 +527,7 @@ def replay_completions(spark, d):
     return r.select("doc_id", F.col("values")["name"]["s"].alias("said"))
 
 
-# --- cost -----------------------------------------------------------------------------------------------------------
+# --- cost
 
 _MODELS = ["openai/gpt-4o-mini-2024", "gpt-4o", "bedrock/eu.anthropic.claude-3-5-sonnet-v2", "nobody"]
 
@@ -558,7 +559,7 @@ def budget_stop(spark, d):
     return cascade.over_budget(cascade.cost_entries(calls(spark, d), "extract"), 0.01).select("doc_id", "seq")
 
 
-# --- evaluation -----------------------------------------------------------------------------------------------------
+# --- evaluation
 
 ORDERS = TargetSchema.of("k:integer", "status", "total:number")
 
@@ -642,7 +643,7 @@ def qa_relaxed_match(spark, d):
     return j.select("conv_id", "turn", text.relaxed_match(F.col("pred"), F.array("text")).alias("same"), ((head == "") | text.relaxed_match(F.col("pred"), F.array(head))).alias("head"))
 
 
-# --- observability --------------------------------------------------------------------------------------------------
+# --- observability
 
 
 def event_metrics(spark, d) -> DataFrame:
@@ -673,7 +674,7 @@ def stage_latencies(spark, d):
     return observe.stage_latencies(event_metrics(spark, d)).select("stage", F.round("mean", 6).alias("mean"), F.round("p95", 6).alias("p95"))
 
 
-# --- figures --------------------------------------------------------------------------------------------------------
+# --- figures
 
 
 def part_figures(spark, d) -> DataFrame:
@@ -722,7 +723,7 @@ def vector_regions(spark, d):
     return figures.vector_regions(p)
 
 
-# --- sinks, resuming, streaming -------------------------------------------------------------------------------------
+# --- sinks, resuming, streaming
 
 
 @query("""select c_custkey, '{"bal":' || case when c_custkey % 2 = 0 then c_custkey || '.0' else c_custkey::varchar end || ',"seg":"' || c_mktsegment || '","ok":' || case when c_custkey % 3 = 0 then 'true' else 'false' end || ',"no":null}' as j,

@@ -46,7 +46,7 @@ class TargetSchema:
     def names(self) -> list[str]:
         return [f.name for f in self.fields]
 
-    def describe(self) -> str:
+    def as_lines(self):
         """A line for each field, for prompts."""
         return "\n".join(f"* {f.name} ({f.type}{', required' if f.required else ''})" + (f": {f.description}" if f.description else "") for f in self.fields)
 
@@ -59,4 +59,5 @@ class TargetSchema:
         for f in self.fields:
             props[f.name] = {"type": f.type} | ({"description": f.description} if f.description else {})
         item = {"type": "object", "properties": props, "required": [f.name for f in self.fields if f.required]}
-        return {"type": "object", "required": ["records"], "properties": {"records": {"type": "array", "items": item}}}
+        records = {"items": item, "type": "array"}
+        return {"type": "object", "required": ["records"], "properties": dict(records=records)}

@@ -56,7 +56,7 @@ def load_text(path: str, content: bytes) -> list[Page]:
     return [page(0, content.decode("utf-8", "replace"))]
 
 
-# --- images ---------------------------------------------------------------------------------------------------------
+# --- images
 
 
 def image_size(content: bytes) -> tuple[str, int, int]:
@@ -106,7 +106,7 @@ def load_image(path: str, content: bytes) -> list[Page]:
     return [page(0, "", image_ref=path)]
 
 
-# --- office files, by their XML -------------------------------------------------------------------------------------
+# --- office files, by their XML
 
 
 def _local(tag: str) -> str:
@@ -335,7 +335,7 @@ def _image(data: bytes, at: int, bbox: tuple | None) -> dict:
     return {"page": at, "bbox": dict(zip(("x0", "y0", "x1", "y1"), bbox)) if bbox else None, "width": w, "height": h, "mime": f"image/{kind}", "data": data}
 
 
-# --- dispatch -------------------------------------------------------------------------------------------------------
+# --- dispatch
 
 
 def pdf_loader(engine: PdfEngine | None) -> Loader:
@@ -357,7 +357,7 @@ class Loaders:
     def default(pdf: PdfEngine | None = None) -> "Loaders":
         t: dict[str, Loader] = {".pdf": pdf_loader(pdf), ".xlsx": load_xlsx, ".docx": load_docx, ".pptx": load_pptx}
         t |= dict.fromkeys((".htm", ".html"), load_html) | dict.fromkeys((".txt", ".md"), load_text)
-        return Loaders(t | dict.fromkeys((".bmp", ".gif", ".jpeg", ".jpg", ".png", ".tif", ".tiff", ".webp"), load_image))
+        return Loaders(t | {f".{e}": load_image for e in "bmp gif jpeg jpg png tif tiff webp".split()})
 
     def with_(self, extensions: tuple[str, ...], loader: Loader) -> "Loaders":
         return Loaders({**self.table, **dict.fromkeys(extensions, loader)})
@@ -441,7 +441,7 @@ def fail_fast(docs: DataFrame) -> DataFrame:
     return docs.withColumn("error_class", F.coalesce(check.cast("string"), "error_class"))
 
 
-# --- evaluation inputs ----------------------------------------------------------------------------------------------
+# --- evaluation inputs
 
 
 def load_dataset(spark: SparkSession, path: str) -> DataFrame:

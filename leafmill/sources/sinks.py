@@ -103,7 +103,7 @@ def table_text(rows: list[dict], columns: list[str]) -> str:
 
 
 def write_sweep(sweep: DataFrame, path: str) -> None:
-    sweep.select("threshold", "accuracy", "total_usd", "escalations").orderBy("threshold").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    sweep.select(*"threshold accuracy total_usd escalations".split()).orderBy("threshold").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def report_text(report: dict, per_field: dict[str, float]) -> str:

@@ -16,7 +16,7 @@ def col(spark, rows, names, expr):
 
 
 IN_TEXT = [
-    ("12.5", "total 12.50 paid", True), ("12.5", "invoice 1250 subtotal 99.00", False), ("105.00", "x total 105.00", True), ("BOOK TA.K SDN BHD", "Company:  book   ta.k  sdn bhd", True),
+    ("12.5", "total 12.50 paid", True), ("12.5", "invoice 1250 subtotal 99.00", False), ("105.00", "x total 105.00", True), ("BOOK TA.K SDN BHD", "by  book   ta.k  sdn bhd", True),
     ("MISSING CORP", "Company: ACME", False), ("8.25", "total 8,25 gross", True), ("544.46", "$544,46", True), ("1767.34", "sum 1.767,34", True), ("57483.07", "57 483,07", True),
     ("1234.56", "1,234.56", True), ("125", "amount 1250", False), ("", "anything", False), ("-5", "a -5 b", True), ("7", "", False),
 ]
@@ -57,7 +57,7 @@ def test_coercion(spark):
 
 MATCH = [
     ("12.5", "12.50", "number", True), ("USD", "usd ", "string", True), ("7", "7", "integer", True), ("yes", "true", "boolean", True), ("12.5", "13.0", "number", False), ("7", "8", "integer", False),
-    ("yes", "false", "boolean", False), ("BOOK TA .K (TAMAN DAYA) SDN BHD", "BOOK TAK(TAMAN DAYA)SDN BHD", "string", True), ("18 Main St", "19 Main St", "string", False), (None, "x", "string", False), ("7.0", "7", "integer", True),
+    ("yes", "false", "boolean", False), ("BOOK TA .K (HILL) SDN", "BOOK TAK(HILL)SDN", "string", True), ("18 Main St", "19 Main St", "string", False), (None, "x", "string", False), ("7.0", "7", "integer", True),
 ]
 
 

@@ -10,7 +10,7 @@ def test_extract_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_text("name\tprice\nx\t1\ny\t2")
     (tmp_path / "in/b.zzz").write_text("?")
-    config = {"schema": {"fields": [{"name": "name"}, {"name": "price", "type": "number"}]}, "pipeline": ["extract.table", "validate.default"]}
+    config = dict(pipeline=["extract.table", "validate.default"], schema=dict(fields=[dict(name="name"), dict(type="number", name="price")]))
     for _ in range(2):  # a second start finds nothing new
         q = stream.extract_stream(stream.watch_files(spark, str(tmp_path / "in")), build(config), str(tmp_path / "out"), str(tmp_path / "cp"))
         q.awaitTermination()
