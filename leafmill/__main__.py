@@ -53,6 +53,8 @@ def main(argv: list[str] | None = None) -> int:
     sw.add_argument("--dataset", required=True)
     sw.add_argument("--folder", default="")
     sw.add_argument("--thresholds", help="comma-separated", required=True)
+    be = sub.add_parser("bench", help="run a self-contained benchmark file")
+    be.add_argument("spec")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("leafmill").getOrCreate()
     if a.command == "run":
@@ -65,6 +67,9 @@ def main(argv: list[str] | None = None) -> int:
         if not (a.out or a.csv):
             w = sinks.wide(out.records, pipeline.context.schema).drop("doc_id", "record_ix")
             print(sinks.table_text([r.asDict() for r in w.take(100)], w.columns))
+    elif a.command == "bench":
+        spec = load.load_spec(a.spec)
+        print(spec["name"], evaluate_cases(spark, build(spec), spec["dataset"], spec.get("folder", "")))
     elif a.command == "eval":
         print(evaluate_cases(spark, load_pipeline(a.config), a.dataset, a.folder))
     else:

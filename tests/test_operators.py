@@ -333,3 +333,22 @@ def test_sinks(spark, tmp_path):
 def test_as_records(spark):
     r = as_records(spark.range(1).selectExpr("id as doc_id", "'x' as t"), {"t": tagged("string", F.col("t"))}, record_ix=None).first()
     assert values(r) == {"t": "x"} and r["confidence"] == {}
+
+
+def test_command_line_functions(spark, tmp_path):
+    from leafmill.__main__ import evaluate_cases, extract as run_files
+
+    (tmp_path / "a.txt").write_text("name\tprice\nx\t1.50\ny\t2")
+    cases = {"key_field": "name", "cases": [{"input_path": "a.txt", "expected": [{"name": "x", "price": "1.5"}, {"name": "y", "price": "3"}]}]}
+    (tmp_path / "cases.json").write_text(json.dumps(cases))
+    assert run_files(spark, build({"pipeline": ["parse.default"]}), str(tmp_path / "a.txt")).documents.count() == 1
+    p = build(dict(pipeline=["parse.default", "extract.table", "validate.default"], schema=dict(fields=[dict(name="name"), dict(type="number", name="price")])))
+    got = evaluate_cases(spark, p, str(tmp_path / "cases.json"), str(tmp_path))
+    assert got["overall_field_accuracy"] == 0.75 and got["fields"] == {"name": 1.0, "price": 0.5} and got["exact_record_match_ratio"] == 0.5
+    (tmp_path / "spec.yaml").write_text("name: n\npipeline: []\n")
+    with pytest.raises(ValueError):
+        load.load_spec(str(tmp_path / "spec.yaml"))
+    (tmp_path / "m.json").write_text(json.dumps([{"image": "x.png", "fields": {"a": "1"}}]))
+    assert load.load_manifest(spark, str(tmp_path / "m.json")).first()["image"] == f"{tmp_path}/x.png"
+    reply = '{"Blocks": [{"BlockType": "PAGE"}, {"BlockType": "LINE", "Text": "a"}, {"BlockType": "LINE", "Text": "b"}]}'
+    assert spark.createDataFrame([(reply,)], "r string").select(load.ocr_text(F.col("r"))).first()[0] == "a b"
