@@ -352,3 +352,36 @@ def test_command_line_functions(spark, tmp_path):
     assert load.load_manifest(spark, str(tmp_path / "m.json")).first()["image"] == f"{tmp_path}/x.png"
     reply = '{"Blocks": [{"BlockType": "PAGE"}, {"BlockType": "LINE", "Text": "a"}, {"BlockType": "LINE", "Text": "b"}]}'
     assert spark.createDataFrame([(reply,)], "r string").select(load.ocr_text(F.col("r"))).first()[0] == "a b"
+
+
+def office(kind):
+    out = io.BytesIO()
+    ns = 'xmlns:a="http://a" xmlns:r="http://r" xmlns:p="http://p" xmlns:w="http://w"'
+    with zipfile.ZipFile(out, "w") as z:
+        if kind == "pptx":
+            z.writestr("ppt/presentation.xml", f'<p:presentation {ns}><p:sldIdLst><p:sldId id="1" r:id="rId2"/><p:sldId id="2" r:id="rId1"/></p:sldIdLst></p:presentation>')
+            z.writestr("ppt/_rels/presentation.xml.rels", '<Relationships><Relationship Id="rId1" Target="slides/slide1.xml"/><Relationship Id="rId2" Target="slides/slide2.xml"/></Relationships>')
+            pic = lambda rid, cx: f'<p:pic><p:blipFill><a:blip r:embed="{rid}"/></p:blipFill><p:spPr><a:xfrm><a:off x="12700" y="0"/><a:ext cx="{cx}" cy="254000"/></a:xfrm></p:spPr></p:pic>'
+            for n, inner in ((1, pic("rId1", 254000)), (2, f'<a:p><a:r><a:t>First</a:t></a:r></a:p><p:grpSp>{pic("rId1", 508000)}</p:grpSp>{pic("rId1", 12700)}')):
+                z.writestr(f"ppt/slides/slide{n}.xml", f"<p:sld {ns}>{inner}</p:sld>")
+                z.writestr(f"ppt/slides/_rels/slide{n}.xml.rels", '<Relationships><Relationship Id="rId1" Target="../media/i.png"/></Relationships>')
+            z.writestr("ppt/media/i.png", png(7, 8))
+        else:
+            z.writestr("word/document.xml", f'<w:document {ns}><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p><w:p><w:r><w:t>text</w:t></w:r><a:blip r:embed="rId1"/></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc></w:tr><w:tr><w:tc><w:p><w:r><w:t>1</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>')
+            z.writestr("word/_rels/document.xml.rels", '<Relationships><Relationship Id="rId1" Target="media/i.png"/></Relationships>')
+            z.writestr("word/media/i.png", png(5, 6))
+    return out.getvalue()
+
+
+def test_office_files(spark, tmp_path):
+    assert load.load_docx("a", office("docx"))[0]["text"] == "## Head\n\ntext\n\n" + MARK + "\n\n| a |\n| --- |\n| 1 |"
+    assert load.load_pptx("a", office("pptx"))[0]["text"].split("\n\n") == ["First", MARK, MARK, MARK]
+    images = load.pptx_images(office("pptx"))
+    assert [(i["page"], i["width"], i["bbox"]["x1"]) for i in images] == [(0, 7, 41.0), (1, 7, 21.0)]
+    for k in ("docx", "pptx"):
+        (tmp_path / f"f.{k}").write_bytes(office(k))
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    figs = load.figures_of(files)
+    d = build({"pipeline": ["ingest.default", "parse.default", "figures.extract", "figures.process", "figures.merge"]}).run(Dataset(files.select("path", "content"), figures=figs))
+    got = {r["path"][-4:]: r["markdown"] for r in d.documents.collect()}
+    assert "[figure fig_0_0: 5x6 image/png]" in got["docx"] and got["pptx"].count("[figure ") == 2 and got["pptx"].count(MARK) == 1
