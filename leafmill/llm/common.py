@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -23,13 +24,25 @@ def words_text(col: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(F.coalesce(col, F.lit("")), r"[^\p{L}\p{M}\p{N}]+", " ")))
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """A temporary folder, one a session."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_leafmill_dir"):
+        sc._leafmill_dir = "file://" + tempfile.mkdtemp(prefix="leafmill-")
+    return sc._leafmill_dir
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme; a plain one is on the default file system."""
+    if "://" not in path:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        path = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="leafmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    return qualified(spark, spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -45,10 +58,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as Parquet under the shared folder and read it back: cuts lineage, survives lost executors. Deleted when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/leafmill/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._leafmill_path = path
     return out
