@@ -31,6 +31,8 @@ KEY_BITS = 32
 MIN_BYTES = 4
 #: Share of equal bits of unrelated texts of one language, measured; sets how deep tries grow.
 UNRELATED = 0.53
+#: Ids up to which they are broadcast, so that texts stay where they are; more are joined by shuffle.
+SMALL = 1_000_000
 
 SIG = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
 
@@ -297,8 +299,8 @@ def simhash_groups(docs: DataFrame, radius: int = 22, recall: float = 0.9, leaf:
 def drop_near_duplicates(docs: DataFrame, radius: int = 22, recall: float = 0.9, leaf: int = 64) -> DataFrame:
     """``docs`` with one document of each group left, that with the smallest doc_id; of rows that repeat a doc_id one stays. Rows with a null doc_id stay."""
     lost_, twice_ = fresh(docs, "_lost", "_twice")
-    lost = near_duplicates(docs, radius, recall, leaf).select(F.col("doc_id").alias(lost_))
-    kept = docs.join(lost, F.col("doc_id") == F.col(lost_), "left_anti")
+    lost = materialise(near_duplicates(docs, radius, recall, leaf).select(F.col("doc_id").alias(lost_)), "lost")
+    kept = docs.join(F.broadcast(lost) if lost.count() <= SMALL else lost, F.col("doc_id") == F.col(lost_), "left_anti")
     twice = materialise(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(twice_)).count().where("count > 1").select(twice_), "repeated")
     if twice.isEmpty():
         return kept
