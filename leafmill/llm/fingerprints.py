@@ -66,13 +66,13 @@ def contained(sketched: DataFrame, at_least: float = CONTAINED, min_hashes: int
     grouped = sketched.where(F.size("sketch") > 0).groupBy("sketch").agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))
     entry = materialise(grouped.select(F.col("docs")[0].alias("id"), "docs", F.size("sketch").alias("n"), "sketch"), "sketches")
     let_go(spark)
-    hashes = entry.select("id", "n", F.explode("sketch").alias("h")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+    hashes = entry.select("id", F.explode("sketch").alias("h")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
     rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("h")) - 1
     counted = hashes.withColumn("place", rank).withColumn("df", F.count("*").over(Window.partitionBy("bucket", "h"))).where("df > 1")
-    shared = materialise(counted.select("id", "n", (F.col("place").cast("long") * BUCKETS + F.col("bucket")).alias("h"), "df"), "postings")
+    shared = materialise(counted.select("id", (F.col("place").cast("long") * BUCKETS + F.col("bucket")).alias("h"), "df"), "postings")
     let_go(spark)
     kind = "int" if (shared.agg(F.max("h")).first()[0] or 0) < 1 << 31 else "bigint"
-    common = shared.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", F.col("h").cast(kind).alias("h")))).alias("c"))
+    common = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", F.col("h").cast(kind).alias("h")))).alias("c")).join(entry.select("id", "n"), "id")
     first = F.col("n") - F.ceil(F.lit(at_least) * F.col("n")) + 1 - (F.col("n") - F.size("c"))
     lists = materialise(common.select("id", "n", F.greatest(F.lit(0), first).cast("int").alias("first"), F.transform("c", lambda x: x["h"]).alias("hs")), "lists")
     start = lists.where(F.col("n") >= min_hashes).select(F.col("id").alias("a"), F.explode(F.slice("hs", F.lit(1), F.col("first"))).alias("h"))
