@@ -12,6 +12,8 @@ several equal lines give a row each; rows that repeat a doc_id are scanned each;
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,25 +76,52 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def _raw_forms(word: str) -> set[str]:
+    """All lower-case strings that the literal rules can turn into ``word``, and itself."""
+    out, new = set(), {word}
+    while new:
+        out |= new
+        new = {w[:i] + a + w[i + len(b) :] for w in new for a, b in RULES if not set(a) & set("[(?\\") for i in range(len(w)) if b and w.startswith(b, i)} - out
+    return out
+
+
+def anchors(texts: list[str]) -> str:
+    """A pattern that the lower-cased text has wherever its canonical form is one of ``texts``: words that together occur in all of them.
+
+    Words are never joined by the rules, so a word of a canonical text stands in the text in one of its raw forms. Long words are
+    preferred, as they are rare elsewhere.
+    """
+    left = [set(t.split()) for t in texts if t]
+    chosen: list[str] = []
+    while left:
+        words = sorted({w for t in left for w in t})
+        best = max(words, key=lambda w: (len(w) >= 6, sum(w in t for t in left), len(w), w))
+        chosen.append(best)
+        left = [t for t in left if best not in t]
+    return "|".join(re.escape(f) for w in chosen for f in sorted(_raw_forms(w)))
+
+
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(digest, license_id); of several licences with one digest the first by name."""
+    """(digest, license_id, canonical); of several licences with one digest the first by name."""
     d = spark.createDataFrame(known or KNOWN, "license_id string, text string")
-    return d.where(canonical(F.col("text")) != "").groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"), F.min(F.length(canonical(F.col("text")))).alias("chars"))
+    return d.where(canonical(F.col("text")) != "").groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"), F.min(canonical(F.col("text"))).alias("canonical"))
 
 
 def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """(doc_id, part, line, license_id): part 'text' with line -1, or part 'line' with the line's number from 0."""
     table = known_digests(docs.sparkSession, known)
-    bounds = table.agg(F.min("chars"), F.count("*")).first()
-    if not bounds[1]:
+    texts = [r["canonical"] for r in table.select("canonical").toLocalIterator()]  # known texts are a parameter
+    if not texts:
         return docs.sparkSession.createDataFrame([], "doc_id long, part string, line int, license_id string")
-    known_ = F.broadcast(table) if bounds[1] <= SMALL else table
+    known_ = table.select("digest", "license_id")
+    known_ = F.broadcast(known_) if len(texts) <= SMALL else known_
     given = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     lines = F.split("text", "\n")
     whole = F.array(F.struct(F.lit(-1).alias("line"), F.col("text").alias("s")))
     each = F.when(F.size(lines) > 1, F.transform(lines, lambda s, i: F.struct(i.alias("line"), s.alias("s")))).otherwise(F.array().cast("array<struct<line:int,s:string>>"))
-    # canonical text is never longer than the text (lower-casing may add a mark to a few capitals, which then falls away)
-    parts = given.select("doc_id", F.explode(F.concat(whole, each)).alias("p")).where(F.length("p.s") >= bounds[0])
+    # what lacks all anchors can match nothing, so its canonical form is not made
+    may = F.regexp_like(F.lower("p.s"), F.lit(anchors(texts)))
+    parts = given.select("doc_id", F.explode(F.concat(whole, each)).alias("p")).where(may)
     found = parts.select("doc_id", F.col("p.line").alias("line"), digest(F.col("p.s")).alias("digest")).join(known_, "digest")
     return found.select("doc_id", F.when(F.col("line") < 0, "text").otherwise("line").alias("part"), "line", "license_id")
 
