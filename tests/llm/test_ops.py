@@ -160,9 +160,9 @@ def brute_pairs(sig, radius):
 def test_signature_bits():
     t = b"alpha beta gamma alpha of"
     fp, sig = simhash.sign_step(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
-    feats = [np.uint64(word_hash(w)) for w in ("alpha", "beta", "gamma")]
+    feats = np.array([word_hash(w) for w in ("alpha", "beta", "gamma")], np.uint64)
     for part in range(2):
-        rows = [np.unpackbits(simhash.mix(np.array([f + np.uint64((part + 1) * 0x632BE59BD9B4E019 & (2**64 - 1))])).view(np.uint8)) for f in feats]
+        rows = np.unpackbits(simhash.mix(feats + np.uint64((part + 1) * 0x632BE59BD9B4E019 & (2**64 - 1))).view(np.uint8).reshape(-1, 8), axis=1)
         assert np.unpackbits(sig[0, part : part + 1].view(np.uint8)).tolist() == (np.sum(rows, 0) * 2 > 3).astype(int).tolist()
     assert fp[0] != 0
 
@@ -525,6 +525,14 @@ def test_licences(spark):
     assert licenses.scan(docs.where("false")).count() == 0 and licenses.scan(docs, [("x", "...")]).count() == 0
 
 
+def test_licence_anchors(spark):
+    texts = [r["canonical"] for r in licenses.known_digests(spark).collect()]
+    found = re.compile(licenses.anchors(texts))
+    raw = [t for _, t in licenses.KNOWN] + [t.replace("icense", "icence") for _, t in licenses.KNOWN] + [t.upper() for _, t in licenses.KNOWN]
+    assert all(found.search(t.lower()) for t in raw) and not found.search("the and attion to thanedble the, anea.")
+    assert licenses._raw_forms("license") == {"license", "licence"} and "sub-licence" in licenses._raw_forms("sublicense")
+
+
 # --- 9 urls
 
 
@@ -608,3 +616,13 @@ def test_pyarrow_column_order():
 
     (lo, hi, data, offs), = steps(batch.slice(1), "t")
     assert (lo, hi, bytes(data), offs.tolist()) == (0, 2, b"bc", [0, 0, 2]) and re.match("b", "bc")
+
+
+def test_shared_dir(spark, tmp_path):
+    from leafmill.llm import common
+
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    want = common.qualified(spark, given) if given else common._own_dir(spark)
+    assert common.shared_dir(spark) == want and materialise(spark.range(2), "here")._leafmill_path.startswith(f"{want}/leafmill/here-")
+    assert common.qualified(spark, str(tmp_path)) == f"file://{tmp_path}" and common.qualified(spark, "file:///x") == "file:///x"
+    assert common._own_dir(spark) == common._own_dir(spark)
