@@ -32,6 +32,7 @@ COVERAGE = 0.6
 SLOP = 8
 SLICE_WORDS = 2_000_000
 GAP = 64
+SEGMENT_BYTES = 2 << 20
 
 SEGMENT = "doc_ids array<long>, doc_starts array<int>, terms array<long>, bounds array<int>, positions array<int>"
 
@@ -49,7 +50,7 @@ def _segments(shared, gap):
         vocab = shared.value
         for batch in batches:
             ids = batch.column(0)
-            for lo, hi, data, offs in steps(batch, "t"):
+            for lo, hi, data, offs in steps(batch, "t", SEGMENT_BYTES):
                 h, _, begin, of = words(data, offs)
                 at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
                 ok = np.flatnonzero(vocab[at] == h)
@@ -89,32 +90,29 @@ class Item:
 
 
 def search_segment(items, terms, bounds, positions, doc_ids, doc_starts, slop):
-    """Yield (item, doc_id, longest run, its start in the item, its start in the document, best coverage)."""
-    terms = terms.view(np.uint64)
-
-    def lists(term):
-        k = np.searchsorted(terms, term)
-        return positions[bounds[k] : bounds[k + 1]].astype(np.int64) if k < len(terms) and terms[k] == term else None
-
-    for item_id, it in items:
-        have: dict[int, np.ndarray | None] = {}
-
-        def post(o, it=it, have=have):
-            t = int(it.terms[o])
-            if t not in have:
-                have[t] = lists(it.terms[o])
-            return have[t]
+    """Yield (item, doc_id, longest run, its start in the item, its start in the document, best coverage).
 
-        found: dict[int, list] = {}
+    ``items``: (item_id, item, whether a phrase is possible here, whether proximity is).
+    """
+    terms = terms.view(np.uint64)
+    # all postings as one sorted list of (term, position), so that an item's terms are looked up together
+    keys = (np.repeat(np.arange(len(terms), dtype=np.int64), np.diff(bounds)) << 32) | positions.astype(np.int64)
+    ends = np.append(doc_starts[1:] - 1, (1 << 31) - 1)
+    for item_id, it, phrase, close in items:
         n = len(it.terms)
-        seeds = [p - o for o in it.exact if (p := post(o)) is not None]
+        place = np.minimum(np.searchsorted(terms, it.terms), len(terms) - 1)
+        here = terms[place] == it.terms
+        base = place.astype(np.int64) << 32
+        offset = np.arange(n)
+        posts = lambda o: positions[bounds[place[o]] : bounds[place[o] + 1]].astype(np.int64)  # noqa: B023, E731
+        found: dict[int, list] = {}
+        seeds = [posts(o) - o for o in it.exact if here[o]] if phrase else []
         if seeds:
             at = np.unique(np.concatenate(seeds))
-            hit = np.zeros((len(at), n + 1), bool)
-            for o in range(n):
-                if (p := post(o)) is not None:
-                    k = np.minimum(np.searchsorted(p, at + o), len(p) - 1)
-                    hit[:, o] = p[k] == at + o
+            want = at[:, None] + offset
+            key = base + np.maximum(want, 0)
+            k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = here & (keys[k] == key) & (want >= 0)
             run = np.zeros(len(at), np.int64)
             best = np.zeros(len(at), np.int64)
             end = np.zeros(len(at), np.int64)
@@ -130,25 +128,25 @@ def search_segment(items, terms, bounds, positions, doc_ids, doc_starts, slop):
                 old = found.setdefault(d, [0, 0, 0, 0.0])
                 if best[i] > old[0]:
                     old[:3] = [int(best[i]), a, p - int(doc_starts[d])]
-        seeds = [np.stack([p - o, p]) for o in it.near if (p := post(o)) is not None] if it.possible else []
-        if seeds and sum(it.weight[o] for o in range(n) if post(o) is not None) >= it.need:
+        seeds = [np.stack([p - o, p]) for o in it.near if here[o] for p in (posts(o),)] if close else []
+        if seeds:
             s = np.concatenate(seeds, 1)
             at, first = np.unique(s[0], return_index=True)
             doc = np.searchsorted(doc_starts, s[1][first], "right") - 1
-            sure = np.zeros(len(at))
-            for o in range(n):
-                if (p := post(o)) is not None:
-                    a = np.maximum(at + o - slop, doc_starts[doc])
-                    top = np.append(doc_starts[1:] - 1, np.iinfo(np.int32).max)[doc]
-                    b = np.minimum(at + o + slop, top)
-                    sure += it.weight[o] * (np.searchsorted(p, b, "right") > np.searchsorted(p, a))
-            for i in np.flatnonzero(sure >= it.need - 1e-9):
-                old = found.setdefault(int(doc[i]), [0, 0, 0, 0.0])
-                cover = float(sure[i] / it.weight.sum())
-                if cover > old[3]:
-                    old[3] = cover
-                    if not old[0]:
-                        old[2] = max(0, int(at[i] - doc_starts[doc[i]]))
+            for c in range(0, len(at), 4096):
+                mid = at[c : c + 4096, None] + offset
+                own = doc[c : c + 4096]
+                low = np.searchsorted(keys, base + np.maximum(mid - slop, doc_starts[own][:, None]))
+                high = np.searchsorted(keys, base + np.minimum(mid + slop, ends[own][:, None]), "right")
+                sure = (here & (high > low)) @ it.weight
+                for i in np.flatnonzero(sure >= it.need - 1e-9):
+                    d = int(own[i])
+                    old = found.setdefault(d, [0, 0, 0, 0.0])
+                    cover = float(sure[i] / it.weight.sum())
+                    if cover > old[3]:
+                        old[3] = cover
+                        if not old[0]:
+                            old[2] = max(0, int(at[c + i] - doc_starts[d]))
         for d, (run_, a, p, cover) in found.items():
             yield item_id, int(doc_ids[d]), run_, a, p, cover
 
@@ -156,16 +154,38 @@ def search_segment(items, terms, bounds, positions, doc_ids, doc_starts, slop):
 OUT = "item_id long, doc_id long, phrase_words int, item_start int, doc_start int, coverage double"
 
 
+class Batch:
+    """Items, with their terms end to end, so that a segment tells at once which of them it can match."""
+
+    def __init__(self, items: list[tuple[int, Item]]):
+        self.items = items
+        size = [len(it.terms) for _, it in items]
+        self.start = np.append(0, np.cumsum(size))[:-1]
+        self.terms = np.concatenate([it.terms for _, it in items])
+        self.weight = np.concatenate([it.weight for _, it in items])
+        self.need = np.array([it.need if it.possible else np.inf for _, it in items])
+        self.root = np.zeros(len(self.terms), bool)
+        for s, (_, it) in zip(self.start, items):
+            self.root[s + np.array(it.exact, np.int64)] = True
+
+    def possible(self, terms: np.ndarray):
+        """(item_id, item, phrase possible, proximity possible) of items that a segment with these terms may match."""
+        at = np.minimum(np.searchsorted(terms, self.terms), len(terms) - 1)
+        here = terms[at] == self.terms
+        phrase = np.logical_or.reduceat(here & self.root, self.start)
+        close = np.add.reduceat(np.where(here, self.weight, 0.0), self.start) >= self.need - 1e-9
+        return [(*self.items[i], bool(phrase[i]), bool(close[i])) for i in np.flatnonzero(phrase | close)]
+
+
 def _search(shared, slop):
     def run(batches):
-        items, roots = shared.value
+        known = shared.value
         for batch in batches:
             rows = []
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             for doc_ids, doc_starts, terms, bounds, positions in zip(*cols):
-                here = np.isin(roots[0], terms.view(np.uint64), assume_unique=False)
-                some = np.unique(roots[1][here])
-                rows += search_segment([items[i] for i in some], terms, bounds, positions, doc_ids, doc_starts.astype(np.int64), slop)
+                if len(terms):
+                    rows += search_segment(known.possible(terms.view(np.uint64)), terms, bounds, positions, doc_ids, doc_starts.astype(np.int64), slop)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 6, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()))], names=["item_id", "doc_id", "phrase_words", "item_start", "doc_start", "coverage"])
 
     return run
@@ -207,9 +227,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE, co
             counts[np.searchsorted(vocab, known["term"].to_numpy(np.int64).view(np.uint64))] = known["n"].to_numpy()
         total = int(counts.sum())
         items = [(i, Item(t, counts[np.searchsorted(vocab, t)], total, phrase, coverage)) for i, t in part]
-        roots = [(it.terms[o], k) for k, (_, it) in enumerate(items) for o in sorted({*it.exact, *(it.near if it.possible else [])})]
-        roots = (np.array([r[0] for r in roots], np.uint64), np.array([r[1] for r in roots], np.int64))
-        shared = spark.sparkContext.broadcast((items, roots))
+        shared = spark.sparkContext.broadcast(Batch(items))
         found = index.mapInArrow(_search(shared, slop), OUT)
         w = Window.partitionBy("item_id", "doc_id").orderBy(F.desc("phrase_words"), F.desc("coverage"), "item_start", "doc_start")
         best = found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
