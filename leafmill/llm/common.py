@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -79,8 +79,8 @@ def release(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def steps(batch: pa.RecordBatch, name: str):
-    """Yield (first row, last row + 1, bytes, offsets) over about ``STEP_BYTES`` of a non-null string column."""
+def steps(batch: pa.RecordBatch, name: str, limit: int = STEP_BYTES):
+    """Yield (first row, last row + 1, bytes, offsets) over about ``limit`` bytes of a non-null string column."""
     col = batch.column(batch.schema.get_field_index(name))
     if pa.types.is_large_string(col.type):
         kind = np.int64
@@ -94,7 +94,7 @@ def steps(batch: pa.RecordBatch, name: str):
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
-        hi = int(np.searchsorted(offs, offs[lo] + STEP_BYTES, "right")) - 1
+        hi = int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1
         hi = min(n, max(lo + 1, hi))
         yield lo, hi, raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
