@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.coercion import match_key, values_match
-from leafmill.functions.text import count_tokens, lines, strip
+from leafmill.functions.text import bind, count_tokens, lines, strip
 from leafmill.model import VALUE, in_order, tagged, with_sides
 from leafmill.schema import TargetSchema
 
@@ -26,20 +26,29 @@ def header_key(x: Column) -> Column:
 
 def table_records(text: Column, schema: TargetSchema) -> Column:
     """Records of one page of tab-separated lines, the first of which is the header; none when no header names a field."""
-    all_lines = lines(F.coalesce(text, F.lit("")))
-    header = F.transform(F.split(F.get(all_lines, F.lit(0)), "\t", -1), header_key)
-    column = {n: F.size(header) - F.array_position(F.reverse(header), header_key(F.lit(n))) for n in schema.names()}
-    has = {n: F.array_contains(header, header_key(F.lit(n))) for n in schema.names()}
-    rows = F.filter(F.slice(all_lines, 2, F.greatest(F.size(all_lines) - 1, F.lit(0))), lambda x: strip(x) != "")
-
-    def record(row):
-        cells = F.split(row, "\t", -1)
-        entries = [F.struct(F.lit(n).alias("key"), F.struct(F.lit("string").alias("kind"), F.coalesce(F.get(cells, column[n]), F.lit("")).alias("s")).alias("value"), has[n].alias("ok")) for n in schema.names()]
-        kept = F.filter(F.array(*entries), lambda e: e["ok"])
-        return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"], e["value"])))
-
-    any_ = F.array_contains(F.array(*[F.coalesce(h, F.lit(False)) for h in has.values()]), True) if has else F.lit(False)
-    return F.when(any_ & (F.size(all_lines) > 0), F.transform(rows, record)).otherwise(F.array().cast(f"array<map<string,{VALUE}>>"))
+    names = schema.names()
+    none = F.array().cast(f"array<map<string,{VALUE}>>")
+    entry = f"array<struct<key:string,value:{VALUE},ok:boolean>>"
+
+    def of_lines(all_lines):
+        # the last column whose header names a field, counted from 0; -1 for none
+        header = F.reverse(F.transform(F.split(F.get(all_lines, F.lit(0)), "\t", -1), header_key))
+        at = F.array(*[F.when(F.array_contains(header, header_key(F.lit(n))), F.size(header) - F.array_position(header, header_key(F.lit(n)))).otherwise(-1).cast("int") for n in names])
+        rows = F.filter(F.slice(all_lines, 2, F.greatest(F.size(all_lines) - 1, F.lit(0))), lambda x: strip(x) != "")
+
+        def of_columns(column):
+            def record(row):
+                def of_cells(cells):
+                    made = [F.struct(F.lit(n).alias("key"), F.struct(F.lit("string").alias("kind"), F.coalesce(F.get(cells, column[i]), F.lit("")).alias("s")).alias("value"), (column[i] >= 0).alias("ok")) for i, n in enumerate(names)]
+                    return F.map_from_entries(F.transform(F.filter(F.array(*made).cast(entry), lambda e: e["ok"]), lambda e: F.struct(e["key"], e["value"])))
+
+                return bind(F.split(row, "\t", -1), of_cells)
+
+            return F.when(F.array_max(column) >= 0, F.transform(rows, record)).otherwise(none)
+
+        return F.when(F.size(all_lines) > 0, bind(at, of_columns)).otherwise(none)
+
+    return bind(lines(F.coalesce(text, F.lit(""))), of_lines)
 
 
 def extract_tables(docs: DataFrame, schema: TargetSchema) -> DataFrame:
