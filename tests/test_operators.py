@@ -382,6 +382,6 @@ def test_office_files(spark, tmp_path):
         (tmp_path / f"f.{k}").write_bytes(office(k))
     files = spark.read.format("binaryFile").load(str(tmp_path))
     figs = load.figures_of(files)
-    d = build({"pipeline": ["ingest.default", "parse.default", "figures.extract", "figures.process", "figures.merge"]}).run(Dataset(files.select("path", "content"), figures=figs))
+    d = build({"pipeline": "ingest.default parse.default figures.extract figures.process figures.merge".split()}).run(Dataset(files.select("path", "content"), figures=figs))
     got = {r["path"][-4:]: r["markdown"] for r in d.documents.collect()}
     assert "[figure fig_0_0: 5x6 image/png]" in got["docx"] and got["pptx"].count("[figure ") == 2 and got["pptx"].count(MARK) == 1
