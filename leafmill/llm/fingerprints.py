@@ -7,7 +7,7 @@ kept hashes that b also has estimates how much of a is contained in b, also wher
 
 Defined results: null and empty texts and texts none of whose hashes is kept have an empty sketch and no partner;
 rows with a null doc_id are left out; rows that repeat a doc_id are merged; documents with equal sketches are one
-entry, reported by all their ids.
+entry, reported by all their ids: ``contained`` gives pairs of different entries, ``copies`` the entries of several documents.
 """
 
 from __future__ import annotations
@@ -89,3 +89,10 @@ def contained(sketched: DataFrame, at_least: float = CONTAINED, min_hashes: int
     out = out.where((F.col("containment") >= at_least) & (F.col("a_size") >= min_hashes))
     ids = lambda c: entry.select(F.col("id").alias(c), F.col("docs").alias(f"{c}_docs"))
     return out.join(ids("a"), "a").join(ids("b"), "b").select("a_docs", "b_docs", "a_size", "b_size", "shared", "containment")
+
+
+def copies(sketched: DataFrame) -> DataFrame:
+    """Entries of two or more documents in the columns of ``contained``: a_docs and b_docs are all their ids, the containment is 1."""
+    many = sketched.where(F.size("sketch") > 0).groupBy("sketch").agg(F.array_sort(F.collect_list("doc_id")).alias("docs")).where(F.size("docs") > 1)
+    n = F.size("sketch")
+    return many.select(F.col("docs").alias("a_docs"), F.col("docs").alias("b_docs"), n.alias("a_size"), n.alias("b_size"), n.alias("shared"), F.lit(1.0).alias("containment"))

@@ -79,5 +79,15 @@ c as (select a.docs as a_docs, b.docs as b_docs, a.n as a_size, b.n as b_size, c
 select a_docs, b_docs, cast(a_size as int) as a_size, cast(b_size as int) as b_size, cast(shared as int) as shared, shared / a_size as containment
 from c where shared / a_size >= 0.5"""
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_decontamination, op4_language, op5_warc, op6_chat, op7_packing, op8_licenses, op9_urls, op10_fingerprints)}
-ORACLES = {"op5_warc": OP5, "op6_chat": chat.ORACLE, "op8_licenses": licenses.oracle(), "op10_fingerprints": OP10}
+
+def op10_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with equal sketches, which ``op10_fingerprints`` holds for one entry."""
+    return fingerprints.copies(fingerprints.sketches(_t(spark, sf_dir, "documents")))
+
+
+OP10_COPIES = OP10.split("\np as")[0].rstrip(",") + """
+select docs as a_docs, docs as b_docs, cast(len(sk) as int) as a_size, cast(len(sk) as int) as b_size, cast(len(sk) as int) as shared, 1.0::double as containment
+from e where len(docs) > 1"""
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_decontamination, op4_language, op5_warc, op6_chat, op7_packing, op8_licenses, op9_urls, op10_fingerprints, op10_copies)}
+ORACLES = {"op5_warc": OP5, "op6_chat": chat.ORACLE, "op8_licenses": licenses.oracle(), "op10_fingerprints": OP10, "op10_copies": OP10_COPIES}

@@ -610,6 +610,14 @@ def test_fingerprints_awkward(spark):
     assert fingerprints.contained(fingerprints.sketches(docs.where("false"))).count() == 0
 
 
+def test_exact_copies_alone(spark):
+    t = sentence(random.Random(16), 300, VOCAB)
+    docs = table(spark, [(1, t), (2, t.upper()), (3, sentence(random.Random(17), 300, VOCAB)), (4, "")])
+    r, = fingerprints.copies(fingerprints.sketches(docs)).collect()
+    n = len(brute_sketch(t))
+    assert tuple(r) == ([1, 2], [1, 2], n, n, n, 1.0)
+
+
 def test_pyarrow_column_order():
     batch = pa.RecordBatch.from_arrays([pa.array(["a", "", "bc"])], names=["t"])
     from leafmill.llm.common import steps
