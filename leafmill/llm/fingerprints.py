@@ -8,14 +8,18 @@ kept hashes that b also has estimates how much of a is contained in b, also wher
 Defined results: null and empty texts and texts none of whose hashes is kept have an empty sketch and no partner;
 rows with a null doc_id are left out; rows that repeat a doc_id are merged; documents with equal sketches are one
 entry, reported by all their ids: ``contained`` gives pairs of different entries, ``copies`` the entries of several documents.
+``contained`` looks for containers of entries with ``min_hashes`` kept hashes or more; ``short_contained`` does so for all
+other documents, by all their shingles.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import let_go, materialise, release, words_text
+from leafmill.llm.common import let_go, materialise, mix, release, steps, words, words_text
 
 K = 5
 KEEP = 1
@@ -23,6 +27,8 @@ CONTAINED = 0.5
 MIN_HASHES = 4
 #: Parts in which hashes that several entries have are numbered.
 BUCKETS = 4096
+#: Bits of the table of shingles that ``short_contained`` broadcasts, and of its parts, as powers of two.
+TABLE, PART = 27, 20
 
 
 def sketch(text: Column, k: int = K, keep: int = KEEP) -> Column:
@@ -96,3 +102,82 @@ def copies(sketched: DataFrame) -> DataFrame:
     many = sketched.where(F.size("sketch") > 0).groupBy("sketch").agg(F.array_sort(F.collect_list("doc_id")).alias("docs")).where(F.size("docs") > 1)
     n = F.size("sketch")
     return many.select(F.col("docs").alias("a_docs"), F.col("docs").alias("b_docs"), n.alias("a_size"), n.alias("b_size"), n.alias("shared"), F.lit(1.0).alias("containment"))
+
+
+def _shingles(k: int):
+    """Distinct shingles (64-bit hashes) of each text."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0)
+            for lo, hi, data, offs in steps(batch, "t"):
+                h, _, begin, of = words(data, offs)
+                n = np.minimum(np.diff(begin), k)
+                at = np.flatnonzero(np.arange(len(h)) + n[of] <= begin[of + 1])
+                of = of[at]
+                x = np.zeros(len(at), np.uint64)
+                for j in range(k):
+                    live = np.flatnonzero(n[of] > j)
+                    x[live] = mix(x[live] + np.uint64(j + 1)) + h[at[live] + j]
+                x = mix(x).view(np.int64)
+                order = np.lexsort((x, of))
+                x, of = x[order], of[order]
+                new = np.append(True, (x[1:] != x[:-1]) | (of[1:] != of[:-1]))[: len(x)]
+                bounds = np.searchsorted(of[new], np.arange(hi - lo + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.ListArray.from_arrays(pa.array(bounds), pa.array(x[new]))], names=["doc_id", "hs"])
+
+    return run
+
+
+def _place(x: np.ndarray) -> np.ndarray:
+    return (x.view(np.uint64) >> np.uint64(64 - TABLE)).astype(np.int64)
+
+
+def _bits(batches):
+    for batch in batches:
+        for part, hs in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)):
+            at = np.zeros(1 << PART, bool)
+            at[_place(np.asarray(hs, np.int64)) & ((1 << PART) - 1)] = True
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(at).tobytes()], pa.binary())], names=["part", "bits"])
+
+
+def _among(shared, k: int):
+    """(doc_id, h) of the shingles that the table may hold."""
+
+    def run(batches):
+        table = np.frombuffer(shared.value, np.uint8)
+        for batch in _shingles(k)(batches):
+            hs = batch.column(1)
+            x = hs.flatten().to_numpy()
+            doc = np.repeat(batch.column(0).to_numpy(), np.diff(hs.offsets.to_numpy()))
+            p = _place(x)
+            ok = (table[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([pa.array(doc[ok]), pa.array(x[ok])], names=["doc_id", "h"])
+
+    return run
+
+
+def short_contained(docs: DataFrame, at_least: float = CONTAINED, min_hashes: int = MIN_HASHES, k: int = K, keep: int = KEEP) -> DataFrame:
+    """(a_docs, b_doc, a_size, shared, containment of a in b) for the documents whose sketch has fewer than ``min_hashes`` hashes.
+
+    Exact on all shingles, which are counted in a_size and shared. Documents with the same shingles are one entry a; b_doc is any
+    document, also one of several of a_docs. A table of bits, of a fixed size, spares most shingles of other documents the shuffle.
+    """
+    spark = docs.sparkSession
+    text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", words_text(F.col("text")).alias("t"))
+    one = text.select("doc_id", "t", sketch(F.col("text"), k, keep).alias("s"))
+    few = one.select("doc_id", F.when(F.size("s") < min_hashes, F.col("t")).alias("t"), F.slice("s", 1, min_hashes).alias("s")).groupBy("doc_id")
+    few = few.agg(F.size(F.array_distinct(F.flatten(F.collect_list("s")))).alias("n"), F.collect_set("t").alias("t")).where(F.col("n") < min_hashes)
+    each = few.select("doc_id", F.explode("t").alias("t")).mapInArrow(_shingles(k), "doc_id long, hs array<long>").select("doc_id", F.explode("hs").alias("h"))
+    sets = each.groupBy("doc_id").agg(F.array_sort(F.collect_set("h")).alias("hs"))
+    entry = materialise(sets.groupBy("hs").agg(F.array_sort(F.collect_list("doc_id")).alias("docs")).select(F.col("docs")[0].alias("a"), "docs", "hs"), "short")
+    own = entry.select("a", F.size("hs").alias("n"), F.explode("hs").alias("h"))
+    part = F.shiftrightunsigned("h", 64 - TABLE + PART).cast("int")
+    parts = own.groupBy(part.alias("part")).agg(F.collect_set("h").alias("hs")).mapInArrow(_bits, "part int, bits binary").collect()
+    table = np.zeros((1 << TABLE - PART, 1 << PART - 3), np.uint8)
+    for r in parts:
+        table[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    hits = text.select("doc_id", "t").mapInArrow(_among(spark.sparkContext.broadcast(table.tobytes()), k), "doc_id long, h long").distinct()
+    met = own.join(hits, "h").groupBy("a", F.col("doc_id").alias("b_doc"), "n").agg(F.count("*").cast("int").alias("shared")).where(F.col("shared") >= F.lit(at_least) * F.col("n"))
+    out = met.join(entry.select("a", F.col("docs").alias("a_docs")), "a").where((F.size("a_docs") > 1) | (F.col("a") != F.col("b_doc")))
+    return out.select("a_docs", "b_doc", F.col("n").alias("a_size"), "shared", (F.col("shared") / F.col("n")).alias("containment"))

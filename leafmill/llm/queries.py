@@ -89,5 +89,20 @@ OP10_COPIES = OP10.split("\np as")[0].rstrip(",") + """
 select docs as a_docs, docs as b_docs, cast(len(sk) as int) as a_size, cast(len(sk) as int) as b_size, cast(len(sk) as int) as shared, 1.0::double as containment
 from e where len(docs) > 1"""
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_decontamination, op4_language, op5_warc, op6_chat, op7_packing, op8_licenses, op9_urls, op10_fingerprints, op10_copies)}
-ORACLES = {"op5_warc": OP5, "op6_chat": chat.ORACLE, "op8_licenses": licenses.oracle(), "op10_fingerprints": OP10, "op10_copies": OP10_COPIES}
+
+def op10_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The containers of documents whose sketches are too small for ``op10_fingerprints``."""
+    return fingerprints.short_contained(_t(spark, sf_dir, "documents"))
+
+
+OP10_SHORT = OP10.split("\nd as")[0] + """
+u as (select distinct doc_id, m from g),
+f as (select * from u where doc_id not in (select doc_id from k group by 1 having count(*) >= 4)),
+e as (select ms, list_sort(list(doc_id)) as docs from (select doc_id, list_sort(list(m)) as ms from f group by 1) group by 1),
+p as (select docs, docs[1] as a, len(ms) as n, unnest(ms) as m from e),
+c as (select a, doc_id as b_doc, n, count(*) as shared from p join u using (m) group by all)
+select docs as a_docs, b_doc, cast(n as int) as a_size, cast(shared as int) as shared, shared / n as containment
+from c join (select docs, docs[1] as a from e) using (a) where shared / n >= 0.5 and (len(docs) > 1 or a <> b_doc)"""
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_decontamination, op4_language, op5_warc, op6_chat, op7_packing, op8_licenses, op9_urls, op10_fingerprints, op10_copies, op10_short)}
+ORACLES = {"op5_warc": OP5, "op6_chat": chat.ORACLE, "op8_licenses": licenses.oracle(), "op10_fingerprints": OP10, "op10_copies": OP10_COPIES, "op10_short": OP10_SHORT}

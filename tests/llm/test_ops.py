@@ -618,6 +618,23 @@ def test_exact_copies_alone(spark):
     assert tuple(r) == ([1, 2], [1, 2], n, n, n, 1.0)
 
 
+def test_short_documents_in_long_ones(spark):
+    rng = random.Random(18)
+    long = sentence(rng, 900, VOCAB).split()
+    texts = [" ".join(long), " ".join(long[40:60]), " ".join(long[40:60]).upper(), " ".join(long[200:212] + ["new"] * 3), "two words", sentence(rng, 30, VOCAB), "", " ".join(long[7:17] + ["odd"] * 40)]
+    docs = table(spark, list(enumerate(texts)) + [(9, "some"), (9, " ".join(long[300:320])), (9, " ".join(long)), (None, "two words")])
+    full = lambda t: {tuple(w[i : i + 5]) for w in [words_of(t)] if w for i in range(max(1, len(w) - 4))}
+    have = {i: full(t) for i, t in enumerate(texts)} | {9: full("some") | full(texts[0])}
+    short = {}
+    for i, t in enumerate(texts):
+        if t and len(brute_sketch(t)) < 4:
+            short.setdefault(frozenset(have[i]), []).append(i)
+    want = {(tuple(ids), b): (len(s), len(s & x)) for s, ids in short.items() for b, x in have.items() if len(s & x) >= len(s) / 2 and ids != [b]}
+    got = {(tuple(r["a_docs"]), r["b_doc"]): (r["a_size"], r["shared"]) for r in fingerprints.short_contained(docs).collect()}
+    assert got == want and ((1, 2), 0) in got and ((1, 2), 1) in got and ((3,), 9) in got
+    assert fingerprints.short_contained(docs.where("false")).count() == 0
+
+
 def test_pyarrow_column_order():
     batch = pa.RecordBatch.from_arrays([pa.array(["a", "", "bc"])], names=["t"])
     from leafmill.llm.common import steps
