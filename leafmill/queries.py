@@ -184,30 +184,52 @@ def ground_numbers(spark, d):
     )
 
 
-def _pairs(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text").crossJoin(F.broadcast(table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")).where("item_id < 40")))
-
-
 _LOW = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
 
 
 @query(f"select d.doc_id, b.item_id from documents d, benchmark b where b.item_id < 40 and contains({_LOW.format('d.text')}, {_LOW.format('b.text')})")
 def ground_passages(spark, d):
-    """The test passages (a fixed table) are broadcast; each text is normalised once."""
+    """The first 40 passages, as the SQL has it; ``ground_all_passages`` searches all."""
+    return _grounded(spark, d).where("item_id < 40")
+
+
+@query(f"select d.doc_id, b.item_id from documents d, benchmark b where contains({_LOW.format('d.text')}, {_LOW.format('b.text')})")
+def ground_all_passages(spark, d):
+    return _grounded(spark, d)
+
+
+def _grounded(spark, d) -> DataFrame:
+    """Every passage in every document; each text is normalised once."""
     n = table(spark, d, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("t"))
-    b = table(spark, d, "benchmark").where("item_id < 40").select("item_id", text.normalize_text(F.col("text")).alias("p"))
-    return n.join(F.broadcast(b), F.contains("t", F.col("p"))).select("doc_id", "item_id")
+    b = table(spark, d, "benchmark").select("item_id", text.normalize_text(F.col("text")).alias("p"))
+    return n.join(b, F.contains("t", F.col("p"))).select("doc_id", "item_id")
 
 
 @query("""with v as (select item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 2) as v from benchmark),
   t as (select doc_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda t: length(t) > 2) as t from documents)
   select doc_id, item_id, round(len(list_filter(v, lambda x: list_contains(t, x)))::double / len(v), 9) as recall from t, v where item_id = doc_id % 40 and len(v) >= 2""")
 def token_recall(spark, d):
+    """One item a document, as the SQL has it; ``token_recall_all`` scores all."""
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
     j = table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % 40).join(b, "item_id")
     return j.select("doc_id", "item_id", F.round(text.token_recall(F.col("passage"), F.col("text")), 9).alias("recall")).where("recall is not null")
 
 
+@query("""with v as (select item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 2) as v from benchmark),
+  t as (select doc_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda t: length(t) > 2) as t from documents),
+  n as (select item_id, t, count(*) as n from (select item_id, unnest(v) as t from v) group by all),
+  h as (select doc_id, item_id, sum(n) as h from (select doc_id, unnest(t) as t from t) join n using (t) group by all)
+  select doc_id, item_id, round(coalesce(h, 0)::double / len(v), 9) as recall from t cross join v left join h using (doc_id, item_id) where len(v) >= 2 and t is not null""")
+def token_recall_all(spark, d):
+    """Every item against every document: a row a pair."""
+    b = table(spark, d, "benchmark").select("item_id", text.significant_tokens(F.col("text")).alias("v")).where(F.size("v") >= 2)
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.array_distinct(text.significant_tokens(F.col("text"))).alias("t"))
+    counts = b.select("item_id", F.explode("v").alias("t")).groupBy("item_id", "t").agg(F.count("*").alias("n"))
+    hits = docs.select("doc_id", F.explode("t").alias("t")).join(counts, "t").groupBy("doc_id", "item_id").agg(F.sum("n").alias("h"))
+    pairs = docs.select("doc_id").crossJoin(b.select("item_id", F.size("v").alias("size")))
+    return pairs.join(hits, ["doc_id", "item_id"], "left").select("doc_id", "item_id", F.round(F.coalesce("h", F.lit(0)) / F.col("size"), 9).alias("recall"))
+
+
 @query("""select o_orderkey, true as num, false as num_off, true as str, true as bool, o_custkey % 2 = 0 as int_ from orders""")
 def values_match(spark, d):
     o = table(spark, d, "orders")
