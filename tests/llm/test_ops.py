@@ -393,6 +393,26 @@ def test_language_awkward(spark):
         assert langid.identify(none).where("not rejected").count() == 0 and langid.keep_identified(none).count() == 0
 
 
+def test_language_rejects_junk_and_unseen(spark):
+    p = "/root/testdata/sf0.001/documents.parquet"
+    try:
+        df = spark.read.parquet(p).select("doc_id", "text", "lang")
+    except Exception:
+        pytest.skip("no test tables")
+    rng = random.Random(19)
+    junk = [
+        "Hyvää huomenta, tänään on kaunis päivä ja menemme yhdessä metsään poimimaan mustikoita ja puolukoita",
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(200)),
+        "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(4000)),
+        "div span class href table tbody " * 60,
+    ]
+    more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(junk)], "doc_id long, text string, lang string")
+    r = {x["doc_id"]: x for x in langid.identify(df.unionByName(more)).collect()}
+    assert [r[-1 - i]["rejected"] for i in range(len(junk))] == [True] * len(junk), [(r[-1 - i]["distance"]) for i in range(len(junk))]
+    assert sum(x["rejected"] for i, x in r.items() if i >= 0) == 0
+    assert {x["doc_id"] for x in langid.keep_identified(df.unionByName(more)).collect()} == {i for i in r if i >= 0}
+
+
 # --- 5 warc
 
 
