@@ -63,46 +63,25 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.contained(fingerprints.sketches(_t(spark, sf_dir, "documents")))
+    return fingerprints.links(fingerprints.sketches(_t(spark, sf_dir, "documents")))
 
 
-OP10 = r"""
-with w as (select doc_id, trim(lower(regexp_replace(coalesce(text, ''), '[^\p{L}\p{M}\p{N}]+', ' ', 'g'))) as t from documents where doc_id is not null),
-s as (select doc_id, string_split(t, ' ') as a from w where t <> ''),
-g as (select doc_id, md5(array_to_string(a[i : i + 4], ' ')) as m from (select doc_id, a, unnest(range(1, greatest(len(a) - 4, 1) + 1)) as i from s)),
-k as (select distinct doc_id, cast('0x' || substr(m, 1, 15) as bigint) as h from g where substr(m, 1, 1) <= '0'),
+OP10 = rf"""
+with r as (select row_number() over () as rid, doc_id, trim(lower(regexp_replace(coalesce(text, ''), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g'))) as t from documents where doc_id is not null),
+s as (select rid, doc_id, string_split(t, ' ') as a from r where t <> ''),
+w as (select rid, doc_id, len(a) as words, unnest(a) as word, unnest(range(1, len(a) + 1)) as i from s),
+v as (select rid, doc_id, words, i, cast('0x' || substr(md5(word), 1, 15) as hugeint) as x from w),
+g as (select doc_id, words, i, ({' + '.join(f"coalesce(lead(x, {j}) over o, 0) * {fingerprints.place(j)}::hugeint" for j in range(fingerprints.K))}) % 18446744073709551616::hugeint as h
+      from v window o as (partition by rid order by i)),
+k as (select distinct doc_id, cast(h as bigint) as h from g where i <= greatest(words - {fingerprints.K - 1}, 1) and h < {fingerprints.KEEP}::hugeint * 1152921504606846976),
 d as (select doc_id, list_sort(list(h)) as sk from k group by 1),
-e as (select sk, list_sort(list(doc_id)) as docs, min(doc_id) as id from d group by 1),
-p as (select id, docs, len(sk) as n, unnest(sk) as h from e),
-c as (select a.docs as a_docs, b.docs as b_docs, a.n as a_size, b.n as b_size, count(*) as shared
-      from p a join p b on a.h = b.h and a.id <> b.id where a.n >= 4 group by all)
-select a_docs, b_docs, cast(a_size as int) as a_size, cast(b_size as int) as b_size, cast(shared as int) as shared, shared / a_size as containment
-from c where shared / a_size >= 0.5"""
-
-
-def op10_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents with equal sketches, which ``op10_fingerprints`` holds for one entry."""
-    return fingerprints.copies(fingerprints.sketches(_t(spark, sf_dir, "documents")))
-
-
-OP10_COPIES = OP10.split("\np as")[0].rstrip(",") + """
-select docs as a_docs, docs as b_docs, cast(len(sk) as int) as a_size, cast(len(sk) as int) as b_size, cast(len(sk) as int) as shared, 1.0::double as containment
-from e where len(docs) > 1"""
-
-
-def op10_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The containers of documents whose sketches are too small for ``op10_fingerprints``."""
-    return fingerprints.short_contained(_t(spark, sf_dir, "documents"))
-
-
-OP10_SHORT = OP10.split("\nd as")[0] + """
-u as (select distinct doc_id, m from g),
-f as (select * from u where doc_id not in (select doc_id from k group by 1 having count(*) >= 4)),
-e as (select ms, list_sort(list(doc_id)) as docs from (select doc_id, list_sort(list(m)) as ms from f group by 1) group by 1),
-p as (select docs, docs[1] as a, len(ms) as n, unnest(ms) as m from e),
-c as (select a, doc_id as b_doc, n, count(*) as shared from p join u using (m) group by all)
-select docs as a_docs, b_doc, cast(n as int) as a_size, cast(shared as int) as shared, shared / n as containment
-from c join (select docs, docs[1] as a from e) using (a) where shared / n >= 0.5 and (len(docs) > 1 or a <> b_doc)"""
-
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_decontamination, op4_language, op5_warc, op6_chat, op7_packing, op8_licenses, op9_urls, op10_fingerprints, op10_copies, op10_short)}
-ORACLES = {"op5_warc": OP5, "op6_chat": chat.ORACLE, "op8_licenses": licenses.oracle(), "op10_fingerprints": OP10, "op10_copies": OP10_COPIES, "op10_short": OP10_SHORT}
+e as (select sk, min(doc_id) as id, count(*) as copies, len(sk) as n from d group by sk),
+p as (select id, n, unnest(sk) as h from e),
+c as (select a.id as a, b.id as b, a.n as n, count(*) as shared from p a join p b on a.h = b.h and a.id <> b.id group by all having count(*) >= {fingerprints.CONTAINED} * a.n),
+o as (select a as id, count(*) as containers, arg_max(b, shared::double * 1e12 - b) as container, max(shared) / max(n) as containment from c group by 1),
+i as (select b as id, count(*) as contents from c group by 1)
+select q.doc_id, e.id as entry, coalesce(e.copies, 0) as copies, coalesce(e.n, 0) as hashes, coalesce(o.containers, 0) as containers, coalesce(i.contents, 0) as contents, o.container, coalesce(o.containment, 0) as containment
+from (select distinct doc_id from r) q left join d using (doc_id) left join e on d.sk = e.sk left join o on o.id = e.id left join i on i.id = e.id"""
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_decontamination, op4_language, op5_warc, op6_chat, op7_packing, op8_licenses, op9_urls, op10_fingerprints)}
+ORACLES = {"op5_warc": OP5, "op6_chat": chat.ORACLE, "op8_licenses": licenses.oracle(), "op10_fingerprints": OP10}
