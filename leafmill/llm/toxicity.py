@@ -1,12 +1,16 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine, distance-weighted votes, evidence.
 
-Examples are labelled documents, at most about ``max_examples`` (chosen by hash of doc_id). Terms are words that
-occur in at least ``min_df`` toxic examples and whose share of them is at least ``min_lean`` times their share of
-clean ones, with a log-likelihood ratio of at least ``min_z`` squared; weights are (1 + ln tf) * idf over the examples, and vectors have length one. The examples with any
-term form an inverted index whose postings lie in blocks of ``BLOCK`` examples, each term with its largest
-weight in each block. A document's blocks are read in order of their upper bound until that falls below the
-k-th best cosine, so the k nearest are exact; equal cosines go by smaller doc_id. Votes weigh
-1 / (1 - cosine + 0.1); isotonic regression of the examples' own leave-one-out votes turns votes into scores.
+Examples are labelled documents, at most about ``max_examples`` (chosen by hash of doc_id). Terms are all words that
+at least ``min_df`` examples have. A term weighs (1 + ln tf) * idf * rf in a text; idf = ln((n + 1) / (df + 1)) over
+the examples, and rf = log2(2 + toxic df / clean df) is its relevance frequency, between 1 and 1 + log2 of the
+toxic examples: no term is dropped, but words that toxic examples have more often count more. Vectors have length one.
+
+Postings lie in blocks of ``BLOCK`` examples, laid out by the leader (one of ``LEADERS`` examples) most like them, so a
+block's examples are alike; each term has its largest weight in each of its blocks. The ``DENSE`` most frequent terms
+have full lists, which are multiplied for many texts at once. Weights of examples are single, sums double precision. A block's bound is the best of its dense sums and the
+other terms' largest weights; blocks are read in order of their bounds until these fall below the k-th best cosine, so
+the k nearest are exact; equal cosines go by smaller doc_id. Votes weigh 1 / (1 - cosine + 0.1); isotonic regression
+of the examples' own leave-one-out votes turns votes into scores.
 
 Defined results: a document without any term, so also one with null or empty text, scores the rate of toxic
 examples among those without a neighbour and has no evidence; without toxic or without clean examples all
@@ -23,15 +27,18 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import fresh, materialise, release, steps, words, words_text
 
-BLOCK = 64
+BLOCK = 128
+LEADERS = 32
+DENSE = 512
+#: Texts whose dense sums are made together.
+TOGETHER = 128
 MAX_EXAMPLES = 20_000
-MIN_DF = 3
-MIN_Z = 5.0
-MIN_LEAN = 3.0
+MIN_DF = 2
 NEIGHBOURS = 15
 THRESHOLD = 0.5
 SOFT = 0.1
-
+#: More than single precision errs in a sum of ``DENSE`` terms of unit vectors.
+SLACK = 1e-4
 
 def _terms(batches):
     """Distinct words (hash, tf) of each example, one row an example."""
@@ -51,54 +58,115 @@ def _terms(batches):
             )
 
 
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 class BlockMaxIndex:
-    """Postings of unit vectors, grouped by block and term, with each term's largest weight in each block.
+    """Postings of unit vectors by term and block, with each term's largest weight in each of its blocks.
 
-    Examples are laid out by their heaviest terms, so that a block's examples are alike and its bounds are tight.
+    ``row``, ``term``, ``w``: the vectors' entries, by row and term; ``ids`` and ``toxic``: a row's document and label.
     """
 
-    def __init__(self, ids: np.ndarray, toxic: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        lead = [tuple(t[np.lexsort((t, -w))][:3].tolist()) for t, w in vectors]
-        order = np.array(sorted(range(len(ids)), key=lambda i: (lead[i], ids[i])), np.int64)
+    def __init__(self, ids: np.ndarray, toxic: np.ndarray, row: np.ndarray, term: np.ndarray, w: np.ndarray, n_terms: int):
+        n = len(ids)
+        order = self._layout(n, ids, row, term, w, n_terms)
         self.ids, self.toxic = ids[order], toxic[order]
-        row = np.concatenate([np.full(len(vectors[o][0]), i) for i, o in enumerate(order)] or [np.zeros(0)]).astype(np.int64)
-        term = np.concatenate([vectors[o][0] for o in order] or [np.zeros(0)]).astype(np.int64)
-        w = np.concatenate([vectors[o][1] for o in order] or [np.zeros(0)]).astype(np.float64)
-        self.blocks = max(1, -(-len(ids) // BLOCK))
-        s = np.lexsort((row, row // BLOCK, term))
+        self.rank = np.argsort(np.argsort(self.ids, kind="stable"), kind="stable")
+        w = w.astype(np.float32)
+        to = np.empty(n, np.int64)
+        to[order] = np.arange(n)
+        row = to[row]
+        self.blocks = max(1, -(-n // BLOCK))
+        df = np.bincount(term, minlength=n_terms)
+        often = np.sort(np.argsort(-df, kind="stable")[:DENSE])
+        self.often = np.full(n_terms, -1, np.int32)
+        self.often[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), self.blocks * BLOCK), np.float32)
+        full = self.often[term] >= 0
+        self.dense[self.often[term[full]], row[full]] = w[full]
+        row, term, w = row[~full], term[~full], w[~full]
+        s = np.lexsort((row, term))
         self.row, self.w, term = row[s], w[s], term[s]
-        self.slot = term * self.blocks + self.row // BLOCK
-        self.start = np.searchsorted(self.slot, np.arange(n_terms * self.blocks + 1))
-        top = np.zeros(n_terms * self.blocks)
-        np.maximum.at(top, self.slot, self.w)
-        self.top = top.reshape(n_terms, self.blocks)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest with a cosine above 0; ``leave`` is a doc_id to pass over."""
-        bound = weights @ self.top[terms]
+        block = self.row // BLOCK
+        new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))[: len(term)])
+        self.block = block[new].astype(np.int32)
+        self.start = np.append(new, len(term)).astype(np.int32)
+        self.top = np.maximum.reduceat(self.w, new) if len(new) else np.zeros(0)
+        self.slots = np.searchsorted(term[new], np.arange(n_terms + 1)).astype(np.int32)
+
+    @staticmethod
+    def _layout(n, ids, row, term, w, n_terms) -> np.ndarray:
+        """Rows by leader and likeness to it."""
+        by_id = np.argsort(ids, kind="stable")
+        if n <= BLOCK:
+            return by_id
+        begin = np.searchsorted(row, np.arange(n + 1))
+        best, mine = np.full(n, -1.0), np.zeros(n, np.int64)
+        for k in range(LEADERS):
+            i = by_id[k * n // LEADERS]
+            lead = np.zeros(n_terms)
+            lead[term[begin[i] : begin[i + 1]]] = w[begin[i] : begin[i + 1]]
+            like = np.bincount(row, lead[term] * w, n)
+            up = like > best
+            best[up], mine[up] = like[up], k
+        return np.lexsort((ids, -best, mine))
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, leave: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Positions and cosines of the k nearest, with a cosine above 0, of each (terms, weights); ``leave`` are positions to pass over."""
+        out = []
+        for a in range(0, len(queries), TOGETHER):
+            part = queries[a : a + TOGETHER]
+            q = np.zeros((len(part), len(self.dense)), np.float32)
+            for i, (t, w) in enumerate(part):
+                d = self.often[t]
+                q[i, d[d >= 0]] = w[d >= 0]
+            sums = q @ self.dense
+            tops = sums.reshape(len(part), -1, BLOCK).max(2)
+            for i, (t, w) in enumerate(part):
+                out.append(self._nearest(sums[i], tops[i], t, w, k, -1 if leave is None else leave[a + i]))
+        return out
+
+    def _nearest(self, sums, tops, terms, weights, k, leave):
+        d = self.often[terms]
+        full, rest = d >= 0, d < 0
+        d, wd, terms, weights = d[full], weights[full], terms[rest], weights[rest]
+        a, size = self.slots[terms], self.slots[terms + 1] - self.slots[terms]
+        slot = _spans(a, size)
+        q = np.repeat(weights, size)
+        at = self.block[slot]
+        bound = np.bincount(at, q * self.top[slot], self.blocks) + tops + SLACK
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
-        step, at = 2, 0
-        while at < len(order):
-            if len(best_s) == k and bound[order[at]] < best_s[-1] - 1e-11:
-                break
-            take = order[at : at + step]
-            at += step
-            step = min(64, step * 2)
-            slots = (terms[:, None] * self.blocks + take[None]).ravel()
-            a, b = self.start[slots], self.start[slots + 1]
-            n = b - a
-            post = np.repeat(a - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-            rows, inv = np.unique(self.row[post], return_inverse=True)
-            cos = np.round(np.bincount(inv, np.repeat(np.repeat(weights, len(take)), n) * self.w[post]), 12)
-            if leave is not None:
-                ok = self.ids[rows] != leave
-                rows, cos = rows[ok], cos[ok]
-            best_i, best_s = np.append(best_i, rows), np.append(best_s, cos)
-            keep = np.lexsort((self.ids[best_i], -best_s))[:k]
-            best_i, best_s = best_i[keep], best_s[keep]
-        return best_i, best_s
+        # single precision chooses the rows that are then compared in double
+        near_i, near_s, near_r = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        done, step = 0, 1 + k // BLOCK
+        while done < len(order):
+            take = order[done : done + step]
+            if len(near_s) > k:
+                take = take[bound[take] >= near_s.min() - SLACK]
+                if not len(take):
+                    break
+            done, step = done + step, step * 12
+            some = np.zeros(self.blocks, bool)
+            some[take] = True
+            here = np.flatnonzero(some[at])
+            s = slot[here]
+            first = self.start[s]
+            n = self.start[s + 1] - first
+            post = _spans(first, n)
+            sparse = np.bincount(self.row[post], np.repeat(q[here], n) * self.w[post], self.blocks * BLOCK)
+            rows = _spans(take * BLOCK, np.minimum(BLOCK, len(self.ids) - take * BLOCK))
+            add = sparse[rows]
+            near_i, near_s, near_r = np.append(near_i, rows), np.append(near_s, sums[rows] + add), np.append(near_r, add)
+            ok = (near_s > -SLACK) & (near_i != leave)
+            if len(near_s) > k + 1:
+                ok &= near_s >= np.partition(near_s, -k - 1)[-k - 1] - 2 * SLACK
+            near_i, near_s, near_r = near_i[ok], near_s[ok], near_r[ok]
+        c = np.round(wd @ self.dense[d[:, None], near_i].astype(np.float64) + near_r, 12)
+        keep = np.lexsort((self.rank[near_i], -c))[:k]
+        keep = keep[c[keep] > 0]
+        return near_i[keep], c[keep]
 
     def vote(self, rows: np.ndarray, cos: np.ndarray) -> float:
         w = 1 / (1 - cos + SOFT)
@@ -122,116 +190,128 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Terms, their idf, the index and the calibration: all bounded by ``max_examples``.
+    """Terms, their weights and the index of the examples: all bounded by ``max_examples``. ``calibrate`` completes it.
 
-    ``examples``: (doc_id, toxic, terms, tf) of the examples with any of the terms; ``n`` and ``pos`` count all of them.
+    ``ids``, ``toxic``: the examples; ``begin``, ``terms``, ``tf``: their terms (positions in the sorted ``vocab``).
     """
 
-    def __init__(self, vocab: np.ndarray, df: np.ndarray, examples: list[tuple], n: int, pos: int, k: int):
-        self.k = k
+    def __init__(self, vocab: np.ndarray, df: np.ndarray, bad: np.ndarray, ids: np.ndarray, toxic: np.ndarray, begin: np.ndarray, terms: np.ndarray, tf: np.ndarray, k: int):
+        n, pos = len(ids), int(toxic.sum())
+        self.k, self.vocab = k, vocab
         self.usable = 0 < pos < n
-        order = np.argsort(vocab)
-        self.vocab = vocab[order]
-        self.idf = np.log((n + 1) / (df[order] + 1.0))
-        vec = [self.vector(t, f) for _, _, t, f in examples]
-        some = [i for i, v in enumerate(vec) if len(v[0])]
-        ids = np.array([examples[i][0] for i in some], np.int64)
-        toxic = np.array([examples[i][1] for i in some], np.int64)
-        vec = [vec[i] for i in some]
-        self.index = BlockMaxIndex(ids, toxic, vec, len(self.vocab))
-        votes = np.array([self.index.vote(*self.index.nearest(*v, k, int(i))) for v, i in zip(vec, ids)])
-        if self.usable:
-            lone = n - len(some) + int((votes < 0).sum())
-            bad = pos - int(toxic.sum()) + int(toxic[votes < 0].sum())
-            self.base = bad / lone if lone else pos / n
-            voted = votes >= 0
-            self.knots = isotonic(votes[voted], toxic[voted]) if voted.any() else (np.zeros(1), np.full(1, self.base))
+        self.base, self.knots = pos / max(n, 1), None
+        self.weight = np.log((n + 1) / (df + 1.0)) * np.log2(2 + bad / np.maximum(1, df - bad))
+        row = np.repeat(np.arange(n), np.diff(begin))
+        w = (1 + np.log(tf)) * self.weight[terms]
+        norm = np.sqrt(np.bincount(row, w * w, n))
+        self.index = BlockMaxIndex(ids, toxic, row, terms, w / np.where(norm > 0, norm, 1)[row], len(vocab))
+        self.place = {int(i): p for p, i in enumerate(self.index.ids)}
 
     def vector(self, terms: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.vocab) or not len(terms):
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = np.minimum(np.searchsorted(self.vocab, terms), len(self.vocab) - 1)
-        ok = self.vocab[at] == terms
-        at = at[ok]
-        w = (1 + np.log(tf[ok])) * self.idf[at]
+        """Unit vector of positions in the vocabulary and their counts."""
+        w = (1 + np.log(tf)) * self.weight[terms]
         norm = np.sqrt((w * w).sum())
-        return (at, w / norm) if norm > 0 else (at[:0], w[:0])
+        return (terms, w / norm) if norm > 0 else (terms[:0], w[:0])
 
-    def score(self, terms: np.ndarray, tf: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        if not self.usable:
-            return 0.0, np.zeros(0, np.int64), np.zeros(0)
-        q = self.vector(terms, tf)
-        rows, cos = self.index.nearest(*q, self.k) if len(q[0]) else (np.zeros(0, np.int64), np.zeros(0))
-        v = self.index.vote(rows, cos)
-        return (self.base if v < 0 else float(np.interp(v, *self.knots))), self.index.ids[rows], cos
+    def calibrate(self, votes: np.ndarray, toxic: np.ndarray) -> None:
+        """Fit scores to the examples' leave-one-out votes (-1: no neighbour)."""
+        lone = votes < 0
+        if lone.any():
+            self.base = float(toxic[lone].mean())
+        self.knots = isotonic(votes[~lone], toxic[~lone]) if not lone.all() else (np.zeros(1), np.full(1, self.base))
 
+    def score(self, votes: np.ndarray) -> np.ndarray:
+        return np.where(votes < 0, self.base, np.interp(votes, *self.knots))
 
-def _likelihood(n: int, pos: int):
-    """Log-likelihood ratio of a term's counts (df, bad) against equal shares; 0 log 0 is 0."""
-    share = pos / n
-    part = lambda k, p: F.when(k > 0, k * F.log(k / (F.col("df") * F.lit(p)))).otherwise(0.0)
-    return 2 * (part(F.col("bad"), share) + part(F.col("df") - F.col("bad"), 1 - share))
 
+def _picked(vocab):
+    """(doc_id, toxic, terms as positions in ``vocab``, tf)."""
 
-def _pick(shared):
     def run(batches):
-        vocab = shared.value
+        known = vocab.value
+        for batch in batches:
+            cols = []
+            terms, tf = batch.column(2), batch.column(3)
+            h = terms.flatten().to_numpy().view(np.uint64)
+            begin = terms.offsets.to_numpy() - terms.offsets[0].as_py()
+            at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+            ok = known[at] == h if len(known) else np.zeros(len(h), bool)
+            bounds = pa.array(np.append(0, np.cumsum(ok))[begin].astype(np.int32))
+            # terms are sorted by hash, and so are the positions
+            cols = [batch.column(0), batch.column(1), pa.ListArray.from_arrays(bounds, pa.array(at[ok].astype(np.int32))), pa.ListArray.from_arrays(bounds, pa.array(tf.flatten().to_numpy()[ok]))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "toxic", "terms", "tf"])
+
+    return run
+
+
+def _own_votes(shared):
+    """(toxic, leave-one-out vote) of each example."""
+
+    def run(batches):
+        m = shared.value
         for batch in batches:
-            ids, toxic = (batch.column(i).to_pylist() for i in range(2))
-            out = []
-            for i, y, terms, tf in zip(ids, toxic, *(batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))):
-                terms = terms.view(np.uint64)
-                ok = np.isin(terms, vocab)
-                if ok.any():
-                    out.append((i, y, terms[ok].view(np.int64), tf[ok]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], k) for c, k in enumerate((pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())))], names=["doc_id", "toxic", "terms", "tf"])
+            ids = batch.column(0).to_pylist()
+            q = [m.vector(np.asarray(t, np.int64), f) for t, f in zip(*(batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3)))]
+            found = m.index.search(q, m.k, [m.place[i] for i in ids])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([m.index.vote(*x) for x in found], pa.float64())], names=["toxic", "vote"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, min_df: int = MIN_DF, min_z: float = MIN_Z, min_lean: float = MIN_LEAN, k: int = NEIGHBOURS) -> Model:
-    """Fit on labelled documents. The terms chosen, and the examples' share of them, reach the driver: both bounded by ``max_examples``."""
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, min_df: int = MIN_DF, k: int = NEIGHBOURS) -> Model:
+    """Fit on labelled documents. The examples and their terms reach the driver: bounded by ``max_examples``, whatever the size of ``docs``."""
     sc = docs.sparkSession.sparkContext
     lab = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = lab.count()
     if n > max_examples:
         unit = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30))
         lab = lab.where(unit < int(max_examples / n * (1 << 30)))
-    text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words_text(F.col("text")).alias("t"))
+    text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     kind = "doc_id long, toxic int, terms array<long>, tf array<int>"
-    rows = text.join(lab, "doc_id").select("doc_id", "toxic", "t").mapInArrow(_terms, kind)
+    # at most about max_examples labels are broadcast, so that texts stay where they are
+    rows = text.join(F.broadcast(lab), "doc_id").select("doc_id", "toxic", words_text(F.col("text")).alias("t")).mapInArrow(_terms, kind)
     rows = materialise(rows.groupBy("doc_id").agg(F.min(F.struct("toxic", "terms", "tf")).alias("x")).select("doc_id", "x.*"), "examples")
-    n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if not 0 < pos < n:
-        release(rows)
-        return Model(np.zeros(0, np.uint64), np.zeros(0), [], n, pos, k)
-    df = rows.select("toxic", F.explode("terms").alias("h")).groupBy("h").agg(F.count("*").alias("df"), F.sum("toxic").alias("bad"))
-    lean = F.col("bad") / pos >= min_lean * (F.col("df") - F.col("bad")) / (n - pos)
-    terms = df.where((F.col("bad") >= min_df) & lean & (_likelihood(n, pos) >= min_z * min_z)).select("h", "df").toPandas()
-    vocab = terms["h"].to_numpy(np.int64).view(np.uint64)
-    got = rows.mapInArrow(_pick(sc.broadcast(vocab)), kind).toPandas().sort_values("doc_id")
+    df = rows.select("toxic", F.explode("terms").alias("h")).groupBy("h").agg(F.count("*").alias("df"), F.sum("toxic").alias("bad")).where(F.col("df") >= min_df)
+    terms = df.toPandas()
+    h = terms["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    vocab = sc.broadcast(h[order])
+    got = rows.mapInArrow(_picked(vocab), "doc_id long, toxic int, terms array<int>, tf array<int>")
+    t = got.toArrow().combine_chunks().sort_by("doc_id")
+    flat = lambda c: np.concatenate([np.zeros(0, np.int64), *(x.flatten().to_numpy() for x in t[c].chunks)]).astype(np.int64)
+    size = np.concatenate([np.zeros(0, np.int64), *(np.diff(x.offsets.to_numpy()) for x in t["terms"].chunks)])
+    num = lambda c: terms[c].to_numpy(np.float64)[order]
+    m = Model(h[order], num("df"), num("bad"), t["doc_id"].to_numpy(), t["toxic"].to_numpy().astype(np.int64), np.append(0, np.cumsum(size)), flat("terms"), flat("tf"), k)
+    if m.usable:
+        shared = sc.broadcast(m)
+        votes = got.mapInArrow(_own_votes(shared), "toxic int, vote double").toPandas()
+        shared.destroy()
+        m.calibrate(votes["vote"].to_numpy(), votes["toxic"].to_numpy(np.float64))
+    vocab.destroy()
     release(rows)
-    examples = [(i, y, np.asarray(t, np.int64).view(np.uint64), np.asarray(f)) for i, y, t, f in got.itertuples(index=False)]
-    return Model(vocab, terms["df"].to_numpy(np.float64), examples, n, pos, k)
+    return m
 
 
 def _score_rows(m, data, offs):
-    """Score and neighbours of each text."""
+    """Score of each text, and the nearest examples of those that have terms."""
     h, _, _, of = words(data, offs)
     n = len(offs) - 1
-    score = np.full(n, m.base if m.usable else 0.0)
     near: dict[int, tuple] = {}
-    if m.usable and len(m.vocab) and len(h):
+    votes = np.full(n, -1.0)
+    if not m.usable:
+        return np.zeros(n), near
+    if len(m.vocab) and len(h):
         at = np.minimum(np.searchsorted(m.vocab, h), len(m.vocab) - 1)
         ok = np.flatnonzero(m.vocab[at] == h)
         key, tf = np.unique(of[ok] * len(m.vocab) + at[ok], return_counts=True)
         row, term = key // len(m.vocab), key % len(m.vocab)
-        begin = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else []
-        for a, b in zip(begin, np.append(begin[1:], len(row)) if len(row) else []):
-            s, ids, cos = m.score(m.vocab[term[a:b]], tf[a:b])
-            score[row[a]] = s
-            near[int(row[a])] = (ids, cos)
-    return score, near
+        begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))[: len(row)]
+        ends = np.append(begin[1:], len(row))
+        found = m.index.search([m.vector(term[a:b], tf[a:b]) for a, b in zip(begin, ends)], m.k)
+        for a, x in zip(begin, found):
+            near[int(row[a])] = (m.index.ids[x[0]], x[1])
+            votes[row[a]] = m.index.vote(*x)
+    return m.score(votes), near
 
 
 def _score(shared, threshold):

@@ -96,21 +96,92 @@ def test_toxicity_finds_planted_and_keeps_clean(spark):
 
 def test_block_max_is_exact():
     rng = np.random.default_rng(3)
-    vec, ids = [], rng.permutation(1000)
+    n = 1000
+    vec, ids = [], rng.permutation(n)
     for _ in ids:
-        t = np.sort(rng.choice(40, rng.integers(1, 5), replace=False))
-        w = rng.integers(1, 4, len(t)).astype(float)
-        vec.append((t, w / np.linalg.norm(w)))
-    index = toxicity.BlockMaxIndex(ids, rng.integers(0, 2, 1000), vec, 40)
-    dense = np.zeros((1000, 40))
+        t = np.sort(rng.choice(700, rng.integers(1, 9), replace=False, p=np.arange(700, 0, -1) / 245350))
+        w = rng.integers(1, 4, len(t)).astype(np.float32)
+        vec.append((t, (w / np.linalg.norm(w)).astype(np.float32)))
+    row = np.repeat(np.arange(n), [len(t) for t, _ in vec])
+    index = toxicity.BlockMaxIndex(ids, rng.integers(0, 2, n), row, np.concatenate([t for t, _ in vec]), np.concatenate([w for _, w in vec]), 700)
+    assert 0 < (index.often >= 0).sum() < 700 and index.blocks > 4
+    dense = np.zeros((n, 700))
     for i, (t, w) in enumerate(vec):
         dense[i, t] = w
-    for q in range(60):
-        t, w = vec[q]
-        cos = np.round(dense[:, t] @ w, 12)
-        order = sorted((i for i in range(1000) if cos[i] > 0), key=lambda i: (-cos[i], ids[i]))[:15]
-        rows, got = index.nearest(t, w, 15)
-        assert index.ids[rows].tolist() == [int(ids[i]) for i in order] and np.allclose(got, cos[order], atol=1e-9)
+    for k in (1, 15, 200):
+        for leave in (None, [int(np.flatnonzero(index.ids == ids[q])[0]) for q in range(60)]):
+            found = index.search([(t, w.astype(float)) for t, w in vec[:60]], k, leave)
+            for q, (t, w) in enumerate(vec[:60]):
+                cos = np.round(dense[:, t] @ w.astype(float), 12)
+                order = sorted((i for i in range(n) if cos[i] > 0 and (leave is None or i != q)), key=lambda i: (-cos[i], ids[i]))[:k]
+                assert index.ids[found[q][0]].tolist() == [int(ids[i]) for i in order] and np.allclose(found[q][1], cos[order], atol=1e-9)
+
+
+def brute_toxicity(docs, labels, k):
+    """Score and neighbours of each text, by lists and loops."""
+    lab = {i: max(y for j, y in labels if j == i) for i, _ in labels}
+    ex = {i: Counter(words_of(t)) for i, t in docs if i in lab}
+    n, bad, df = len(ex), Counter(), Counter()
+    for i, c in ex.items():
+        df.update(c.keys())
+        bad.update(c.keys() if lab[i] else ())
+    weight = {w: math.log((n + 1) / (m + 1)) * math.log2(2 + bad[w] / max(1, m - bad[w])) for w, m in df.items() if m >= 2}
+
+    def vector(c):
+        v = {w: (1 + math.log(f)) * weight[w] for w, f in c.items() if w in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()} if norm else {}
+
+    vec = {i: vector(c) for i, c in ex.items()}
+
+    def nearest(v, leave=None):
+        cos = [(-round(sum(x * u[w] for w, x in v.items() if w in u), 6), j) for j, u in vec.items() if j != leave]
+        return [(j, -c) for c, j in sorted(cos)[:k] if c < 0]
+
+    def vote(near):
+        w = [1 / (1 - c + 0.1) for _, c in near]
+        return sum(x * lab[j] for x, (j, _) in zip(w, near)) / sum(w) if near else -1.0
+
+    own = [(vote(nearest(v, i)), lab[i]) for i, v in vec.items()]
+    lone = [y for v, y in own if v < 0]
+    base = sum(lone) / len(lone) if lone else sum(lab[i] for i in ex) / n
+    groups = []  # pool adjacent violators: [lowest vote, highest vote, toxic, all]
+    for v, y in sorted((v, y) for v, y in own if v >= 0):
+        if groups and abs(groups[-1][1] - v) < 1e-9:
+            groups[-1][2] += y
+            groups[-1][3] += 1
+        else:
+            groups.append([v, v, y, 1])
+        while len(groups) > 1 and groups[-2][2] * groups[-1][3] >= groups[-1][2] * groups[-2][3]:
+            g = groups.pop()
+            groups[-1] = [groups[-1][0], g[1], groups[-1][2] + g[2], groups[-1][3] + g[3]]
+    x, y = zip(*[(v, g[2] / g[3]) for g in groups for v in g[:2]]) if groups else ([0.0], [base])
+    out = []
+    for i, t in docs:
+        near = nearest(vector(Counter(words_of(t))))
+        v = vote(near)
+        out.append((i, base if v < 0 else float(np.interp(v, x, y)), near))
+    return out
+
+
+def test_toxicity_score_is_brute_force(spark):
+    try:
+        docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+        labels = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "toxic").collect()]
+    except Exception:
+        pytest.skip("no test tables")
+    some = next(t for i, t in docs if i == labels[0][0])
+    docs += [(10_000 + i, t) for i, t in enumerate([some, some, None, "", "zzz qqq", some + " " + some])]  # ties, no text, no known word
+    labels += [(10_000, 0), (10_001, 1), (labels[0][0], 0)]
+    got = {r["doc_id"]: r for r in toxicity.score(table(spark, docs), spark.createDataFrame([(i, 1, y) for i, y in labels], "doc_id long, quality int, toxic int")).collect()}
+    have = 0
+    for i, want, near in brute_toxicity(docs, labels, toxicity.NEIGHBOURS):
+        r = got[i]
+        assert abs(r["score"] - want) < 1e-4, (i, r["score"], want)
+        assert [round(e["cosine"], 5) for e in r["evidence"]] == pytest.approx([c for _, c in near], abs=2e-5)
+        assert {e["doc_id"] for e in r["evidence"]} == {j for j, _ in near} or abs(near[-1][1] - r["evidence"][-1]["cosine"]) < 1e-5
+        have += bool(near)
+    assert have >= len(docs) - 8 and got[10_002]["evidence"] == got[10_004]["evidence"] == []
 
 
 def test_isotonic():
@@ -591,14 +662,31 @@ def test_url_rules(spark):
 
 
 def brute_sketch(t, k=5, keep=1):
-    w = words_of(t)
+    w = [int(hashlib.md5(x.encode()).hexdigest()[:15], 16) for x in words_of(t)]
     if not w:
         return []
-    d = {hashlib.md5(" ".join(w[i : i + k]).encode()).hexdigest() for i in range(max(1, len(w) - k + 1))}
-    return sorted(int(h[:15], 16) for h in d if int(h[0], 16) < keep)
+    h = {sum(x * fingerprints.place(j) for j, x in enumerate(w[i : i + k])) % 2**64 for i in range(max(1, len(w) - k + 1))}
+    return sorted(x for x in h if x < keep << 60)
 
 
-def test_sketches_and_containment(spark):
+def brute_links(sketches, at_least=0.5):
+    """What ``links`` returns, by comparing all with all."""
+    entries = {}
+    for i, x in sorted(sketches.items()):
+        if x:
+            entries.setdefault(tuple(x), []).append(i)
+    share = {(a[0], b[0]): len(set(x) & set(y)) / len(x) for (x, a), (y, b) in itertools.permutations(entries.items(), 2)}
+    out = set()
+    for i, x in sketches.items():
+        own = entries.get(tuple(x), [])
+        e = own[0] if own else None
+        up = sorted(((-c, b) for (a, b), c in share.items() if a == e and c >= at_least))
+        down = sum(c >= at_least for (a, b), c in share.items() if b == e)
+        out.add((i, e, len(own), len(x), len(up), down, up[0][1] if up else None, -up[0][0] if up else 0.0))
+    return out
+
+
+def test_sketches_and_links(spark):
     rng = random.Random(15)
     long = [sentence(rng, 1500, VOCAB) for _ in range(6)]
     texts = [*long]
@@ -606,17 +694,20 @@ def test_sketches_and_containment(spark):
         w = t.split()
         texts += [" ".join(w[100:500]), " ".join(w[:900]), t + " " + sentence(rng, 200, VOCAB)]
     texts += [texts[0].upper(), long[1] + " " + long[2]]
+    passage = sentence(rng, 90, VOCAB)
+    texts += [sentence(rng, rng.randint(5, 150), VOCAB) + " " + passage for _ in range(40)]  # one class, of different texts
+    for i in range(30):  # near copies, and texts of a few words inside long ones
+        w = long[i % 6].split()
+        w[rng.randrange(1500)] = "other"
+        k = rng.randrange(1400)
+        texts += [" ".join(w), " ".join(w[k : k + rng.randint(3, 40)])]
     docs = table(spark, list(enumerate(texts)) + AWKWARD[:1], extra=True)
     s = {r["doc_id"]: r["sketch"] for r in fingerprints.sketches(docs).collect()}
     want = {i: brute_sketch(t) for i, t in enumerate(texts)}
-    assert s == want
-    groups = {}
-    for i, x in want.items():
-        if x:
-            groups.setdefault(tuple(x), []).append(i)
-    pairs = {(tuple(a), tuple(b)): len(set(x) & set(y)) / len(x) for (x, a), (y, b) in itertools.permutations(groups.items(), 2) if len(x) >= 4 and len(set(x) & set(y)) / len(x) >= 0.5}
-    got = {(tuple(r["a_docs"]), tuple(r["b_docs"])): r["containment"] for r in fingerprints.contained(fingerprints.sketches(docs)).collect()}
-    assert got == pairs and len(pairs) > 20
+    assert s == want and sum(0 < len(x) < 4 for x in want.values()) > 10
+    for at_least in (0.5, 0.3, 1.0):
+        got = [tuple(r) for r in fingerprints.links(fingerprints.sketches(docs), at_least).collect()]
+        assert len(got) == len(texts) and set(got) == brute_links(want, at_least)
     m = fingerprints.merge(fingerprints.sketches(docs).where("doc_id in (1, 2)").withColumn("g", F.lit(0)), "g").first()["sketch"]
     assert m == sorted(set(want[1]) | set(want[2]))
     assert abs(len(m) / 3000 - 1 / 16) < 0.02
@@ -624,35 +715,22 @@ def test_sketches_and_containment(spark):
 
 def test_fingerprints_awkward(spark):
     docs = table(spark, AWKWARD, extra=True)
-    s = {r["doc_id"]: r["sketch"] for r in fingerprints.sketches(docs).collect()}
-    merged = sorted({h for i, t in AWKWARD if i == 5 for h in brute_sketch(t)})
-    assert s[5] == merged and s[1] == s[2] == s[3] == [] and None not in s
-    assert fingerprints.contained(fingerprints.sketches(docs.where("false"))).count() == 0
-
-
-def test_exact_copies_alone(spark):
-    t = sentence(random.Random(16), 300, VOCAB)
-    docs = table(spark, [(1, t), (2, t.upper()), (3, sentence(random.Random(17), 300, VOCAB)), (4, "")])
-    r, = fingerprints.copies(fingerprints.sketches(docs)).collect()
-    n = len(brute_sketch(t))
-    assert tuple(r) == ([1, 2], [1, 2], n, n, n, 1.0)
-
-
-def test_short_documents_in_long_ones(spark):
-    rng = random.Random(18)
-    long = sentence(rng, 900, VOCAB).split()
-    texts = [" ".join(long), " ".join(long[40:60]), " ".join(long[40:60]).upper(), " ".join(long[200:212] + ["new"] * 3), "two words", sentence(rng, 30, VOCAB), "", " ".join(long[7:17] + ["odd"] * 40)]
-    docs = table(spark, list(enumerate(texts)) + [(9, "some"), (9, " ".join(long[300:320])), (9, " ".join(long)), (None, "two words")])
-    full = lambda t: {tuple(w[i : i + 5]) for w in [words_of(t)] if w for i in range(max(1, len(w) - 4))}
-    have = {i: full(t) for i, t in enumerate(texts)} | {9: full("some") | full(texts[0])}
-    short = {}
-    for i, t in enumerate(texts):
-        if t and len(brute_sketch(t)) < 4:
-            short.setdefault(frozenset(have[i]), []).append(i)
-    want = {(tuple(ids), b): (len(s), len(s & x)) for s, ids in short.items() for b, x in have.items() if len(s & x) >= len(s) / 2 and ids != [b]}
-    got = {(tuple(r["a_docs"]), r["b_doc"]): (r["a_size"], r["shared"]) for r in fingerprints.short_contained(docs).collect()}
-    assert got == want and ((1, 2), 0) in got and ((1, 2), 1) in got and ((3,), 9) in got
-    assert fingerprints.short_contained(docs.where("false")).count() == 0
+    s = fingerprints.sketches(docs)
+    assert s.count() == len(AWKWARD) - 1
+    every = {i: sorted({h for j, t in AWKWARD if j == i for h in brute_sketch(t, keep=16)}) for i, _ in AWKWARD if i is not None}
+    big = fingerprints.sketches(docs, keep=16)
+    signed = lambda x: {i: sorted(h - 2**64 if h >= 2**63 else h for h in v) for i, v in x.items()}
+    assert {tuple(r) for r in fingerprints.links(big).collect()} == brute_links(signed(every))
+    assert fingerprints.links(s.where("false")).count() == 0
+
+
+def test_copies_alone_and_repeated_ids(spark):
+    rng = random.Random(16)
+    t, u = sentence(rng, 300, VOCAB), sentence(rng, 300, VOCAB)
+    docs = table(spark, [(1, t), (2, t.upper()), (3, u), (4, ""), (7, t), (7, u), (7, u), (8, u)])
+    want = {1: brute_sketch(t), 2: brute_sketch(t), 3: brute_sketch(u), 4: [], 7: sorted({*brute_sketch(t), *brute_sketch(u)}), 8: brute_sketch(u)}
+    got = {tuple(r) for r in fingerprints.links(fingerprints.sketches(docs)).collect()}
+    assert got == brute_links(want) and {r[:3] for r in got} >= {(1, 1, 2), (2, 1, 2), (3, 3, 2)}
 
 
 def test_pyarrow_column_order():
