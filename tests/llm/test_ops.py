@@ -514,6 +514,41 @@ def test_warc_damage(spark, tmp_path):
     assert warc.read_warc(spark, [str(tmp_path / "none")]).count() == 0
 
 
+def test_warc_long_headers_many_records_and_records_inside(spark, tmp_path):
+    rec = lambda i, body, head=b"": b"WARC/1.0\r\nWARC-Type: resource\r\n" + head + b"WARC-Record-ID: <%s>\r\nContent-Length: %d\r\n\r\n" % (i, len(body)) + body + b"\r\n\r\n"
+    noise = bytes(random.Random(1).randrange(256) for _ in range(300))
+    parts = [rec(b"a", b"one"), rec(b"long", b"two", b"X: " + b"y" * 200_000 + b"\r\n"), rec(b"outer", b"text\r\n\r\n" + rec(b"inner", b"body") + rec(b"inner2", b"") + noise), rec(b"last", noise * 5000)]
+    want = [("<a>", 3), ("<last>", 1_500_000), ("<long>", 3), ("<outer>", len(b"text\r\n\r\n" + rec(b"inner", b"body") + rec(b"inner2", b"")) + 300)]
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain/a.warc").write_bytes(b"".join(parts))
+    (tmp_path / "each").mkdir()
+    # stored blocks hold a member as it is
+    stored = lambda x: gzip.compress(x, compresslevel=0)
+    (tmp_path / "each/a.warc.gz").write_bytes(b"".join(map(stored, parts)))
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one/a.warc.gz").write_bytes(gzip.compress(b"".join(parts[:3])) + gzip.compress(parts[3]))
+    (tmp_path / "inside").mkdir()
+    (tmp_path / "inside/a.warc.gz").write_bytes(stored(rec(b"outer", stored(rec(b"inner", b"x" * 50)))) + stored(rec(b"b", b"z")))
+    for name in ("plain", "each", "one"):
+        for split in (1000, 30_000, 1 << 30):
+            got = sorted((r["record_id"], len(r["body"])) for r in warc.read_warc(spark, [str(tmp_path / name)], split).collect())
+            assert got == want, (name, split)
+    small = b"".join([rec(b"a", b""), rec(b"outer", b"\r\n\r\n" + rec(b"inner", b"b")), rec(b"z", b"zz")])
+    (tmp_path / "small").mkdir()
+    (tmp_path / "small/a.warc").write_bytes(small)
+    for split in (1, 7, 30, 60, 90):
+        assert [r["record_id"] for r in warc.read_warc(spark, [str(tmp_path / "small")], split).orderBy("start").collect()] == ["<a>", "<outer>", "<z>"], split
+        if split > 1:
+            assert sorted(r["record_id"] for r in warc.read_warc(spark, [str(tmp_path / "inside")], split).collect()) == ["<b>", "<outer>"], split
+
+
+def test_warc_plain_damage(spark, tmp_path):
+    one = lambda i: warc.render("resource", "u", b"body%d" % i, f"<urn:{i}>", "d", "c")
+    (tmp_path / "a.warc").write_bytes(b"junk\n\n" + one(0) + b"more junk\r\n\r\n" + one(1) + one(2)[:-9])
+    for split in (3, 50, 10**6):
+        assert sorted(r["record_id"] for r in warc.read_warc(spark, [str(tmp_path)], split).collect()) == ["<urn:0>", "<urn:1>"]
+
+
 # --- 6 chat
 
 
