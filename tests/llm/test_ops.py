@@ -338,7 +338,7 @@ def test_decontamination_brute_force(spark):
     got = {(r["item_id"], r["doc_id"]): r for r in decontam.contaminated(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
     for i, x in items:
         for d, t in docs:
-            want = brute_phrase(x, t, 13) if len(words_of(x)) >= 5 else 0
+            want = brute_phrase(x, t, 13)
             assert (got[i, d]["phrase_words"] if (i, d) in got else 0) == want, (i, d)
 
 
@@ -366,10 +366,9 @@ def test_proximity_brute_force(spark):
                 w[rng.randrange(len(w))] = rng.choice(VOCAB)
             t[10:10] = w
         docs.append((d, " ".join(t)))
-    vocab = {w for _, x in items for w in words_of(x)}
-    counts = Counter(w for _, t in docs for w in words_of(t) if w in vocab)
+    counts = Counter(w for _, t in docs for w in words_of(t))
     total = sum(counts.values())
-    got = {(r["item_id"], r["doc_id"]): r["coverage"] for r in decontam.contaminated(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"), slice_words=10**9).collect()}
+    got = {(r["item_id"], r["doc_id"]): r["coverage"] for r in decontam.contaminated(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"), slice_words=40).collect()}
     for i, x in items:
         for d, t in docs:
             c = brute_coverage(x, t, counts, total, decontam.SLOP)
@@ -382,13 +381,50 @@ def test_decontamination_slices_and_awkward(spark):
     docs = table(spark, [*AWKWARD, (20, "x one, TWO three. four five six y"), (21, "tie word tie word tie word")], extra=True)
     for n in (1, 10**6):
         got = {(r["item_id"], r["doc_id"]) for r in decontam.contaminated(docs, items, slice_words=n).collect()}
-        assert {(1, 20), (6, 20), (5, 21)} <= got and not {i for i, _ in got} & {2, 3, 4}
+        assert {(1, 20), (6, 20), (5, 21)} <= got and not {i for i, _ in got} & {2, 3, 4}  # no text has "too short"
     kept = decontam.drop_contaminated(docs, items)
     ids = [r["doc_id"] for r in kept.collect()]
     assert kept.columns == docs.columns and 20 not in ids and None in ids and ids.count(5) == 3
     assert decontam.contaminated(docs.where("false"), items).count() == 0 and decontam.contaminated(docs, items.where("false")).count() == 0
 
 
+def test_long_items_in_short_neighbours(spark):
+    """Items longer than the gap between documents, whose places in two documents of a segment are the same."""
+    rng = random.Random(22)
+    big = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(6)) for _ in range(4000)]
+    docs, items = [], []
+    for k in range(12):
+        w = [rng.choice(big) for _ in range(rng.randint(100, 180))]
+        items.append((k, " ".join(w)))
+        n = len(w) // 2
+        docs += [(10 * k, " ".join([rng.choice(big) for _ in range(rng.randint(3, 12))] + w[: rng.randint(3, 9)])), (10 * k + 1, " ".join(w[n:])), (10 * k + 2, " ".join(w[:n])), (10 * k + 3, " ".join([rng.choice(big) for _ in range(5)]))]
+    counts = Counter(w for _, t in docs for w in words_of(t))
+    total = sum(counts.values())
+    for coverage in (0.3, 0.45, 0.6):
+        found = decontam.contaminated(table(spark, docs).coalesce(1), spark.createDataFrame(items, "item_id long, text string"), coverage=coverage).collect()
+        got = {(r["item_id"], r["doc_id"]): r for r in found}
+        for i, x in items:
+            for d, t in docs:
+                run, c = brute_phrase(x, t, 13), brute_coverage(x, t, counts, total, decontam.SLOP)
+                r = got.get((i, d))
+                assert (r["phrase_words"] if r else 0) == run and (abs(c - coverage) < 1e-6 or ((r["coverage"] if r else 0) > 0) == (c >= coverage)), (i, d, c)
+
+
+def test_many_benchmark_terms_go_by_filter(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma{i} delta{i} eps{i} zeta{i}") for i in range(50)] + [(99, "hi there")], "item_id long, text string")
+    docs = table(spark, [(i, f"word alpha{i} beta{i} gamma{i} delta{i} eps{i} zeta{i} and hi, there") for i in range(0, 50, 3)])
+    want = sorted(map(tuple, decontam.contaminated(docs, items).collect()))
+    monkeypatch.setattr(decontam, "TERMS", 10)
+    assert sorted(map(tuple, decontam.contaminated(docs, items).collect())) == want and len(want) == 34
+
+
+def test_common_words_in_a_long_document():
+    n = 300_000
+    item = decontam.Item(np.full(40, 7, np.uint64), np.full(40, n), n, 13, 0.6)
+    got = list(decontam.search_segment([(1, item, True, True)], np.array([7]), np.array([0, n]), np.arange(n, dtype=np.int32), np.array([5]), np.array([0]), 8))
+    assert got[0][:3] == (1, 5, 40)
+
+
 # --- 4 language
 
 
