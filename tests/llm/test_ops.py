@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import itertools
 import math
+import pickle
 import random
 import re
 from collections import Counter
@@ -96,25 +97,30 @@ def test_toxicity_finds_planted_and_keeps_clean(spark):
 
 def test_block_max_is_exact():
     rng = np.random.default_rng(3)
-    n = 1000
-    vec, ids = [], rng.permutation(n)
+    n, m = 1000, 700
+    ids, weight = rng.permutation(n), rng.uniform(0.5, 5, m)
+    vec = []
     for _ in ids:
-        t = np.sort(rng.choice(700, rng.integers(1, 9), replace=False, p=np.arange(700, 0, -1) / 245350))
-        w = rng.integers(1, 4, len(t)).astype(np.float32)
-        vec.append((t, (w / np.linalg.norm(w)).astype(np.float32)))
+        t = np.sort(rng.choice(m, rng.integers(1, 9), replace=False, p=np.arange(m, 0, -1) / 245350))
+        vec.append((t, rng.integers(1, 4, len(t))))
     row = np.repeat(np.arange(n), [len(t) for t, _ in vec])
-    index = toxicity.BlockMaxIndex(ids, rng.integers(0, 2, n), row, np.concatenate([t for t, _ in vec]), np.concatenate([w for _, w in vec]), 700)
-    assert 0 < (index.often >= 0).sum() < 700 and index.blocks > 4
-    dense = np.zeros((n, 700))
-    for i, (t, w) in enumerate(vec):
-        dense[i, t] = w
+    index = toxicity.BlockMaxIndex(ids, rng.integers(0, 2, n), row, np.concatenate([t for t, _ in vec]), np.concatenate([f for _, f in vec]), weight)
+    index = pickle.loads(pickle.dumps(index))
+    assert 0 < (index.often >= 0).sum() < m and index.blocks > 4
+    unit = [(t, w / np.linalg.norm(w)) for t, w in ((t, (1 + np.log(f)) * weight[t]) for t, f in vec)]
+    dense = np.zeros((n, m))
+    for i, (t, w) in enumerate(unit):
+        dense[i, t] = w.astype(np.float32)
     for k in (1, 15, 200):
         for leave in (None, [int(np.flatnonzero(index.ids == ids[q])[0]) for q in range(60)]):
-            found = index.search([(t, w.astype(float)) for t, w in vec[:60]], k, leave)
-            for q, (t, w) in enumerate(vec[:60]):
-                cos = np.round(dense[:, t] @ w.astype(float), 12)
+            found = index.search(unit[:60], k, leave)
+            for q, (t, w) in enumerate(unit[:60]):
+                cos = np.round(dense[:, t] @ w, 6)
                 order = sorted((i for i in range(n) if cos[i] > 0 and (leave is None or i != q)), key=lambda i: (-cos[i], ids[i]))[:k]
-                assert index.ids[found[q][0]].tolist() == [int(ids[i]) for i in order] and np.allclose(found[q][1], cos[order], atol=1e-9)
+                got = np.round(found[q][1], 6)
+                assert np.allclose(got, cos[order], atol=2e-6)
+                assert {int(i) for i, c in zip(index.ids[found[q][0]], got) if c > got[-1] + 4e-6} == {int(ids[i]) for i in order if cos[i] > got[-1] + 4e-6}
+                assert [(-c, i) for c, i in zip(found[q][1], index.ids[found[q][0]])] == sorted((-c, i) for c, i in zip(found[q][1], index.ids[found[q][0]]))
 
 
 def brute_toxicity(docs, labels, k):
@@ -231,10 +237,10 @@ def brute_pairs(sig, radius):
 def test_signature_bits():
     t = b"alpha beta gamma alpha of"
     fp, sig = simhash.sign_step(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
-    feats = np.array([word_hash(w) for w in ("alpha", "beta", "gamma")], np.uint64)
+    feats = np.array([word_hash(w) for w in ("alpha", "beta", "gamma", "of")], np.uint64)
     for part in range(2):
         rows = np.unpackbits(simhash.mix(feats + np.uint64((part + 1) * 0x632BE59BD9B4E019 & (2**64 - 1))).view(np.uint8).reshape(-1, 8), axis=1)
-        assert np.unpackbits(sig[0, part : part + 1].view(np.uint8)).tolist() == (np.sum(rows, 0) * 2 > 3).astype(int).tolist()
+        assert np.unpackbits(sig[0, part : part + 1].view(np.uint8)).tolist() == (np.sum(rows, 0) * 2 > 4).astype(int).tolist()
     assert fp[0] != 0
 
 
@@ -288,6 +294,39 @@ def test_large_leaf_compares_all():
     assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if bin(i ^ j).count("1") <= 1}
 
 
+def test_large_leaf_is_connected_without_all_pairs():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 40, dtype=np.int64).astype(np.uint64)
+    hi = np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 40, 60).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 40, 60).astype(np.uint64)) for b in base])
+    rng.shuffle(hi)
+    lo = np.zeros(len(hi), np.uint64)
+    for radius in (1, 2, 3, 30):
+        want = np.arange(len(hi))
+        for i, j in simhash.close_pairs(np.zeros(len(hi), np.int64), hi, lo, radius):
+            simhash._merge(want, i, j)
+        assert simhash._connect(hi, lo, radius).tolist() == want.tolist()
+
+
+def test_leaves_in_pieces_are_leaves_at_once():
+    rng = np.random.default_rng(5)
+    for leaf, depth in ((3, 12), (10, 6)):
+        key = np.sort(np.concatenate([rng.integers(0, 1 << 32, 400), np.full(50, 77 << 20), (5 << 27) + rng.integers(0, 1 << 10, 200)])).astype(np.int64)
+        branch = key >> 30
+        want = simhash.leaves(key, branch, 2, depth, leaf)
+        for step in (1, 7, 100):
+            got, before, held, base = [], np.zeros(depth + 1, np.int64), 0, 0
+            for at in [*range(step, len(key), step), len(key)]:
+                if at < len(key):
+                    end, after, behind = simhash.ready(key[held:at], branch[held:at], 2, depth, leaf, before)
+                else:
+                    end, after, behind = at - held, before, None
+                if end:
+                    part = simhash.leaves(key[held : held + end], branch[held : held + end], 2, depth, leaf, before, behind)
+                    got += (part + base).tolist()
+                    base, before, held = got[-1] + 1, after, held + end
+            assert got == want.tolist(), (leaf, depth, step)
+
+
 def test_plan_meets_recall():
     for n in (2, 1000, 10**6, 10**9):
         trees, depth = simhash.plan(n, 22, 0.9, 64)
@@ -304,6 +343,20 @@ def test_simhash_awkward(spark):
     assert simhash.simhash_groups(docs.where("false")).count() == 0 and simhash.drop_near_duplicates(docs.where("false")).count() == 0
 
 
+def test_numbers_and_short_words_tell_apart(spark):
+    docs = table(spark, [(1, "reouti anatha"), (2, "reouti anatha 19 37 233 111"), (3, "reouti anatha 4 8 15 16")])
+    assert simhash.simhash_groups(docs).count() == 0
+
+
+def test_repeated_id_keeps_the_judged_row(spark):
+    rng = random.Random(31)
+    texts = [sentence(rng, 60, VOCAB) for _ in range(6)]
+    docs = table(spark, [(1, t) for t in texts] + [(1, ""), (1, None)] + [(2, t) for t in texts])
+    fp = {r["text"]: r["fp"] for r in simhash.signatures(table(spark, list(enumerate(texts)))).join(table(spark, list(enumerate(texts))), "doc_id").collect()}
+    kept = simhash.drop_near_duplicates(docs).collect()
+    assert [(r["doc_id"], r["text"]) for r in kept] == [(1, min(texts, key=fp.get))]
+
+
 # --- 3 decontamination
 
 
