@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -25,8 +24,10 @@ def words_text(col: Column) -> Column:
 
 
 def _own_dir(spark: SparkSession) -> str:
-    """A temporary folder, one a session."""
+    """A temporary folder, one a session; only where driver and executors are one process."""
     sc = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not hasattr(sc, "_leafmill_dir"):
         sc._leafmill_dir = "file://" + tempfile.mkdtemp(prefix="leafmill-")
     return sc._leafmill_dir
@@ -41,8 +42,20 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    return qualified(spark, spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark))
+    """The folder all executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given; a temporary one only where both are unset, in local mode."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        given = own.get() if own.isDefined() else None
+    return qualified(spark, given or _own_dir(spark))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/leafmill/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -60,10 +73,8 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back: cuts lineage, survives lost executors. Deleted when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/leafmill/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._leafmill_path = path
     return out
@@ -100,12 +111,6 @@ def steps(batch: pa.RecordBatch, name: str, limit: int = STEP_BYTES):
         lo = hi
 
 
-def let_go(spark: SparkSession) -> None:
-    """Ask the driver to forget plans no longer used, so that executors may delete the shuffle files of tables already written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 _POW = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import chat, decontam, fingerprints, langid, licenses, packing, simhash, toxicity, urls, warc
-from leafmill.llm.common import shared_dir
+from leafmill.llm.common import scratch
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +31,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC files to the shared folder, and read back by byte ranges."""
-    folder = f"{shared_dir(spark).rstrip('/')}/leafmill/warc-{uuid.uuid4().hex}"
+    folder = scratch(spark, "warc")
     pages = _t(spark, sf_dir, "pages").where("page_id is not null")
     rows = pages.select(F.col("url").alias("uri"), F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">")).alias("record_id"), F.col("html").alias("body"))
     warc.write_warc(rows, folder).count()

@@ -865,7 +865,9 @@ def test_pyarrow_column_order():
     assert (lo, hi, bytes(data), offs.tolist()) == (0, 2, b"bc", [0, 0, 2]) and re.match("b", "bc")
 
 
-def test_shared_dir(spark, tmp_path):
+def test_shared_dir(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace as Fake
+
     from leafmill.llm import common
 
     given = spark.conf.get("spark.checkpoint.dir", None)
@@ -873,3 +875,11 @@ def test_shared_dir(spark, tmp_path):
     assert common.shared_dir(spark) == want and materialise(spark.range(2), "here")._leafmill_path.startswith(f"{want}/leafmill/here-")
     assert common.qualified(spark, str(tmp_path)) == f"file://{tmp_path}" and common.qualified(spark, "file:///x") == "file:///x"
     assert common._own_dir(spark) == common._own_dir(spark)
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn", "k8s://x"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            common._own_dir(Fake(sparkContext=Fake(master=master)))
+    for master in ("local", "local[*]", "local[4,2]"):
+        assert common._own_dir(Fake(sparkContext=Fake(master=master))).startswith("file:///")
+    if not given:  # setCheckpointDir counts as well
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+        assert common.shared_dir(spark).startswith(f"file://{tmp_path}/")
