@@ -1,13 +1,17 @@
-"""A corpus pipeline of five stages; each reads what the one before it wrote."""
+"""A corpus pipeline of five stages; each reads what the one before it wrote.
 
-from __future__ import annotations
+Defined results: rows with a null doc_id end at the language stage, as do null, empty and letterless texts; rows that repeat a
+doc_id are judged each by language and toxicity, and one of them stays at near duplicates (see ``simhash``); equal texts are
+one group, of which the smallest doc_id stays; extra columns pass through all stages but the last; an empty table gives an
+empty result. What the stages write is deleted when the driver ends.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from leafmill.llm import decontam, langid, packing, simhash, toxicity
-from leafmill.llm.common import shared_dir
+from leafmill.llm.common import scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +48,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; what each returns is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark).rstrip('/')}/leafmill/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{name}")
