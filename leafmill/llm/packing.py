@@ -6,10 +6,12 @@ length, rounded up to ``window / bins``: that histogram is all the driver sees.
 to ``width`` bins that fill a window but for ``slack`` bins; non-negative least squares fits how often each is
 used so that the histogram is met; counts are rounded down, and the residual is packed largest first, each
 window topped up with the largest bin that fits, many equal windows at a time. Pieces take their places in
-their bin by rank. No window holds more than ``window`` tokens, and every token of every text is in one.
+their bin by rank of (doc_id, copy): rows are sorted in ranges, and a piece's rank is its place in its range and the
+number of those of its bin in the ranges before, so no bin is held by one task and the result does not depend on the
+number of ranges. No window holds more than ``window`` tokens, and every token of every text is in one.
 
 Defined results: null and empty texts have no tokens and no place; rows with a null doc_id are left out; rows
-that repeat a doc_id are packed each (``copy`` counts them); ties go by doc_id; no texts give no rows.
+that repeat a doc_id are packed each (``copy`` counts them by length); ties go by doc_id; no texts give no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +26,7 @@ WINDOW = 2048
 BINS = 64
 WIDTH = 4
 SLACK = 1
-SALT_ROWS = 200_000
-#: Rows of a helper table (bins x salts) up to which it is broadcast; beyond, it is joined by shuffle.
+#: Rows of a helper table (bins and ranges) up to which it is broadcast; beyond, it is joined by shuffle.
 SMALL_ROWS = 500_000
 
 
@@ -131,8 +132,16 @@ def places(found: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int,
     return out
 
 
-def _small(table: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(table) if rows <= SMALL_ROWS else table
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+
+
+def _ranged(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` sorted by ``by`` in ranges, stored, with ``range`` and ``pos``: the number of the range and the place in it."""
+    at = F.monotonically_increasing_id()
+    some = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    some = materialise(some.withColumn("_at", at), "ranges")
+    return some.withColumn("range", F.shiftright("_at", 33)).withColumn("pos", F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at")
 
 
 def pack(docs: DataFrame, window: int = WINDOW, bins: int = BINS, width: int = WIDTH, slack: int = SLACK, length: Column | None = None) -> DataFrame:
@@ -143,35 +152,31 @@ def pack(docs: DataFrame, window: int = WINDOW, bins: int = BINS, width: int = W
     given = given.withColumn("copy", (F.row_number().over(Window.partitionBy("doc_id").orderBy("n")) - 1).cast("long"))
     unit = -(-window // bins)
     rest = F.col("n") % window
-    given = given.select("doc_id", "copy", "n", F.floor(F.col("n") / window).alias("whole"), rest.alias("rest"), F.ceil(rest / unit).cast("int").alias("bin"))
-    total = materialise(given, "lengths")
-    salts = max(1, total.count() // SALT_ROWS)
-    pieces = total.where("rest > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    cells = pieces.groupBy("bin", "salt").agg(F.count("*").alias("n")).orderBy("bin", "salt").toPandas()
+    total = materialise(given.select("doc_id", "copy", "n", F.floor(F.col("n") / window).alias("whole"), rest.alias("rest"), F.ceil(rest / unit).cast("int").alias("bin")), "lengths")
+    pieces = _ranged(total.where("rest > 0"), "bin", "doc_id", "copy")
+    cells = pieces.groupBy("bin", "range").agg(F.min("pos").alias("pos0"), F.count("*").alias("many"))
+    before = Window.partitionBy("bin").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    cells = materialise(cells.withColumn("base", F.coalesce(F.sum("many").over(before), F.lit(0))), "cells")
     top = -(-window // unit)
     hist = np.zeros(top, np.int64)
-    before: list[tuple[int, int, int]] = []
-    for b, s, c in cells.itertuples(index=False):
-        before.append((int(b), int(s), int(hist[b - 1])))
-        hist[b - 1] += c
+    for r in cells.groupBy("bin").agg(F.sum("many").alias("n")).collect():  # a row a bin
+        hist[r["bin"] - 1] = r["n"]
     found = recipes(hist, width, slack)
     windows = sum(t for t, _ in found)
-    spots = [(b, a, z, w, m) for b, a, z, w, m in places(found)]
-    base = spark.createDataFrame(before, "bin int, salt int, base long")
-    spot = spark.createDataFrame(spots, "bin int, first long, past long, window0 long, many int").groupBy("bin").agg(F.array_sort(F.collect_list(F.struct("first", "past", "window0", "many"))).alias("spots"))
-    rank = F.row_number().over(Window.partitionBy("bin", "salt").orderBy("doc_id", "copy")) - 1
-    placed = pieces.withColumn("r", rank).join(_small(base, len(before)), ["bin", "salt"]).withColumn("r", F.col("r") + F.col("base")).join(F.broadcast(spot), "bin")
-    placed = placed.withColumn("s", F.expr("filter(spots, x -> x.first <= r and r < x.past)[0]"))
+    spot = spark.createDataFrame(places(found), "bin int, first long, past long, window0 long, many int").groupBy("bin").agg(F.array_sort(F.collect_list(F.struct("first", "past", "window0", "many"))).alias("spots"))
+    placed = pieces.join(_small(cells.select("bin", "range", "pos0", "base")), ["bin", "range"]).withColumn("r", F.col("pos") - F.col("pos0") + F.col("base"))
+    placed = placed.join(F.broadcast(spot), "bin").withColumn("s", F.expr("filter(spots, x -> x.first <= r and r < x.past)[0]"))
     placed = placed.select("doc_id", "copy", F.col("whole").alias("piece"), (F.col("n") - F.col("rest")).alias("doc_start"), F.col("rest").alias("n_tokens"), (F.col("s.window0") + F.floor((F.col("r") - F.col("s.first")) / F.col("s.many"))).alias("window_id"))
     w = Window.partitionBy("window_id").orderBy(F.desc("n_tokens"), "doc_id", "copy")
     start = F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = placed.withColumn("window_start", start)
-    long = total.where("whole > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    sums = long.groupBy("salt").agg(F.sum("whole").alias("n")).orderBy("salt").toPandas()
-    starts = (np.append(0, np.cumsum(sums["n"].to_numpy(np.int64)))[:-1] + windows).tolist()
-    at = spark.createDataFrame([(int(s), int(b)) for s, b in zip(sums["salt"], starts)], "salt int, base long")
-    w = Window.partitionBy("salt").orderBy("doc_id", "copy").rowsBetween(Window.unboundedPreceding, -1)
-    full = long.join(_small(at, len(starts)), "salt").withColumn("w0", F.col("base") + F.coalesce(F.sum("whole").over(w), F.lit(0)))
+    long = _ranged(total.where("whole > 0"), "doc_id", "copy")
+    # one row a range, so this window is as small as the number of ranges
+    before = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = long.groupBy("range").agg(F.sum("whole").alias("many"))
+    sums = materialise(sums.select("range", (F.coalesce(F.sum("many").over(before), F.lit(0)) + windows).alias("base")), "sums")
+    w = Window.partitionBy("range").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    full = long.withColumn("w0", F.coalesce(F.sum("whole").over(w), F.lit(0))).join(_small(sums), "range").withColumn("w0", F.col("w0") + F.col("base"))
     full = full.select("doc_id", "copy", "w0", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("piece"))
     full = full.select("doc_id", "copy", "piece", (F.col("piece") * window).alias("doc_start"), F.lit(window).cast("long").alias("n_tokens"), (F.col("w0") + F.col("piece")).alias("window_id"), F.lit(0).cast("long").alias("window_start"))
     return placed.unionByName(full)

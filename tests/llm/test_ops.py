@@ -681,18 +681,48 @@ def check_packing(given, rows, window):
     return len(use)
 
 
+def brute_pack(lengths, window=2048, bins=64):
+    """What ``pack`` returns, one piece after the other: recipes are used up in their order, bins by (doc_id, copy)."""
+    unit = -(-window // bins)
+    rows, copies = [], Counter()
+    for i, n in sorted(lengths):
+        if n:
+            rows.append((i, copies[i], n))
+            copies[i] += 1
+    queue = {}
+    for i, c, n in sorted(rows):
+        if n % window:
+            queue.setdefault(-(-(n % window) // unit), []).append((i, c, n))
+    hist = np.array([len(queue.get(b, [])) for b in range(1, -(-window // unit) + 1)])
+    out, w = [], 0
+    for times, pattern in packing.recipes(hist):
+        for _ in range(times):
+            inside, at = [queue[b].pop(0) for b in pattern], 0
+            for i, c, n in sorted(inside, key=lambda x: (-(x[2] % window), x[0], x[1])):
+                out.append((i, c, n // window, n - n % window, n % window, w, at))
+                at += n % window
+            w += 1
+    for i, c, n in sorted(rows):
+        for k in range(n // window):
+            out.append((i, c, k, k * window, window, w, 0))
+            w += 1
+    return sorted(out)
+
+
 def test_packing(spark):
     rng = random.Random(11)
-    n = [rng.choice([rng.randint(1, 60), rng.randint(100, 900), rng.randint(900, 9000)]) for _ in range(1500)]
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(n)], "doc_id long, size long").withColumn("text", F.lit(""))
-    used = check_packing(n, packing.pack(df, length=F.col("size")).collect(), 2048)
-    assert used <= 1.03 * math.ceil(sum(n) / 2048)
-    old = packing.SALT_ROWS
+    n = [rng.choice([rng.randint(1, 60), rng.randint(100, 900), rng.randint(900, 9000), 2048]) for _ in range(1500)]
+    ids = [(rng.randrange(-400, 1400), x) for x in n]  # repeated ids, ties of length
+    df = spark.createDataFrame(ids, "doc_id long, size long").withColumn("text", F.lit(""))
+    want, old = brute_pack(ids), spark.conf.get("spark.sql.shuffle.partitions")
     try:
-        packing.SALT_ROWS = 100  # several salts give another order, and as good a packing
-        assert check_packing(n, packing.pack(df, length=F.col("size")).collect(), 2048) == used
+        for parts in (1, 3, 40):  # the number of ranges changes nothing
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            r = packing.pack(df, length=F.col("size")).collect()
+            assert sorted(map(tuple, r)) == want
     finally:
-        packing.SALT_ROWS = old
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert check_packing(n, r, 2048) <= 1.03 * math.ceil(sum(n) / 2048)
 
 
 def test_nnls():
