@@ -56,8 +56,9 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels are taken by id: a page's label is that of the same number, the only labels the tables hold."""
-    return urls.filter_urls(_t(spark, sf_dir, "pages"), _t(spark, sf_dir, "labels"))
+    """The tables have no labels of URLs (``labels`` is about documents), so the pages' own weak labels are mined."""
+    pages = _t(spark, sf_dir, "pages")
+    return urls.filter_urls(pages, urls.weak_labels(pages))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

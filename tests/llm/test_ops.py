@@ -787,29 +787,79 @@ def test_url_tokens(spark):
     assert t(None) == t("") == []
 
 
+def brute_rules(rows, min_support, min_confidence, min_lift, min_count):
+    """{tokens: (confidence, support, lift)} by counting every set of tokens of every bad URL."""
+    n, bad = len(rows), sum(y for _, y in rows)
+    least = max(min_count, math.ceil(min_support * n - 1e-12))
+    where = {}
+    for i, (t, _) in enumerate(rows):
+        for x in t:
+            where.setdefault(x, set()).add(i)
+    lead = {min(x for x in where if where[x] == w) for w in where.values()}
+    sets = {frozenset(c) for t, y in rows if y for k in range(1, 5) for c in itertools.combinations(sorted(lead & t), k)}
+    out = {}
+    for s in sets:
+        hold = [y for t, y in rows if s <= t]
+        if sum(hold) >= least and sum(hold) / len(hold) >= min_confidence and sum(hold) / len(hold) / (bad / n) >= min_lift:
+            out[s] = (sum(hold) / len(hold), sum(hold) / n, sum(hold) / len(hold) / (bad / n))
+    return {s: x for s, x in out.items() if not any(g < s and out[g][0] >= x[0] for g in out)}
+
+
+def test_mining_is_brute_force(spark):
+    rng = random.Random(23)
+    rows = []
+    for _ in range(260):
+        t = {rng.choice("ab"), rng.choice("cde"), rng.choice("fg")} | ({"x", "y", "z", "w"} if rng.random() < 0.3 else set())
+        rows.append((t, int(rng.random() < (0.9 if {"a", "c"} <= t else 0.7 if "x" in t else 0.1))))
+    rows += [({"q"}, 1)] * 4 + [({"q", "r"}, 0)]
+    df = spark.createDataFrame([(sorted(t), y) for t, y in rows], "tokens array<string>, bad int")
+    for args in ((0.01, 0.6, 1.2, 3), (0.05, 0.8, 1.0, 5), (0.001, 0.3, 1.0, 2)):
+        got = {frozenset(r["tokens"]): (r["confidence"], r["support"], r["lift"]) for r in urls.mine(df, *args).collect()}
+        want = brute_rules(rows, *args)
+        assert set(got) == set(want) and len(want) > 2
+        for s, x in want.items():
+            assert got[s] == pytest.approx(x, abs=1e-9)
+
+
+def test_template_of_many_tokens_is_one_rule(spark):
+    df = spark.createDataFrame([([f"t{i:02}" for i in range(40)] + [f"v{k % 5}"], int(k % 5 < 4)) for k in range(60)] + [(["other"], 0)] * 60, "tokens array<string>, bad int")
+    assert {tuple(r["tokens"]) for r in urls.mine(df).collect()} == {("t00",), *((f"v{i}",) for i in range(4))}
+
+
 def test_url_rules(spark):
     rng = random.Random(14)
     rows = []
     for i in range(600):
         host, ref = rng.choice(["a", "b", "c"]), rng.choice(["x", "y"])
         rows.append((i, f"http://{host}.example.org/p/{rng.randrange(9)}?ref={ref}", int(host == "a" and ref == "x")))
-    pages = spark.createDataFrame([(i, u) for i, u, _ in rows] + [(None, "http://a.example.org/?ref=x"), (900, None), (901, ""), (902, rows[0][1]), (902, rows[0][1])], "page_id long, url string").withColumn("rules", F.lit(1)).withColumn("token", F.lit(1))
+    pages = spark.createDataFrame([(i, u) for i, u, _ in rows] + [(None, "http://a.example.org/?ref=x"), (900, None), (901, ""), (902, rows[0][1]), (902, rows[0][1])], "page_id long, url string").withColumns({c: F.lit(1) for c in ("rules", "token", "tokens", "bad", "rule_id", "m", "doc_id", "id", "need")})
     labels = spark.createDataFrame([(i, 1 - y, 0) for i, _, y in rows[:300]] + [(None, 0, 0), (5, None, None)], "doc_id long, quality int, toxic int")
-    rules = urls.mine(urls.labelled(pages, labels, (F.col("quality") == 0) | (F.col("toxic") == 1)), min_confidence=0.9).collect()
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    rules = urls.mine(urls.labelled(pages, labels, bad), min_confidence=0.9).collect()
     assert any(set(r["tokens"]) == {"host:a", "query:ref=x"} for r in rules)
     for a, b in itertools.permutations(rules, 2):
         assert not (set(a["tokens"]) < set(b["tokens"]) and a["confidence"] >= b["confidence"])
-    got = urls.filter_urls(pages, labels, min_confidence=0.9).collect()
+    got = urls.filter_urls(pages, labels, bad, min_confidence=0.9).collect()
     assert len(got) == 604 and [r["flagged"] for r in got if r["page_id"] in (900, 901)] == [False, False]
     flag = {r["page_id"]: r["flagged"] for r in got}
-    bad = {i: y for i, _, y in rows[300:]}
-    assert all(flag[i] for i, y in bad.items() if y) and np.mean([flag[i] for i, y in bad.items() if not y]) < 0.05
+    yes = {i: y for i, _, y in rows[300:]}
+    assert all(flag[i] for i, y in yes.items() if y) and np.mean([flag[i] for i, y in yes.items() if not y]) < 0.05
     # a rule fires exactly on the URLs that hold all its tokens
     sets = {r["page_id"]: set(r["t"]) for r in pages.where("page_id < 600").select("page_id", urls.url_tokens(F.col("url")).alias("t")).collect()}
     fired = {r["page_id"]: r["rules"] for r in got if r["page_id"] < 600}
     for i, s in sets.items():
-        assert fired[i] == [r["rule_id"] for r in rules if set(r["tokens"]) <= s]
-    assert urls.filter_urls(pages, labels.where("false")).where("flagged").count() == 0 and urls.filter_urls(pages.where("false"), labels).count() == 0
+        assert fired[i] == sorted(" ".join(r["tokens"]) for r in rules if set(r["tokens"]) <= s)
+    assert urls.filter_urls(pages, labels.where("false"), bad).where("flagged").count() == 0 and urls.filter_urls(pages.where("false"), labels, bad).count() == 0
+
+
+def test_weak_labels_flag_urls_of_the_same_kind(spark):
+    hosts = ["casino-win", "cheap-pills", "win-now", "garden", "recipes-daily"]
+    pages = spark.createDataFrame([(i, f"http://www.{hosts[i % 5]}.example.com/en/{i}") for i in range(100)] + [(None, "http://casino.com/"), (200, None), (201, " ")], "page_id long, url string")
+    lab = {r["doc_id"]: r["bad"] for r in urls.weak_labels(pages).collect()}
+    assert lab == {i: int(i % 5 < 2) for i in range(100)}
+    # "win" stands in good hosts as often, so it is no rule
+    flagged = {r["page_id"] for r in urls.filter_urls(pages, urls.weak_labels(pages)).where("flagged").collect()}
+    assert flagged == {i for i in range(100) if i % 5 < 2}
 
 
 # --- 10 fingerprints
