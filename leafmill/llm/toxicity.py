@@ -20,6 +20,9 @@ doc_id are left out by ``score`` and kept by ``drop_toxic``; repeated rows are s
 
 from __future__ import annotations
 
+import pickle
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,35 +69,57 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Postings of unit vectors by term and block, with each term's largest weight in each of its blocks.
 
-    ``row``, ``term``, ``w``: the vectors' entries, by row and term; ``ids`` and ``toxic``: a row's document and label.
+    ``row``, ``term``, ``tf``: the vectors' entries; ``weight``: a term's weight; ``ids`` and ``toxic``: a row's document and
+    label. Counts instead of weights are sent and stored, a tenth of the size, and weights made where the index is used.
     """
 
-    def __init__(self, ids: np.ndarray, toxic: np.ndarray, row: np.ndarray, term: np.ndarray, w: np.ndarray, n_terms: int):
+    def __init__(self, ids: np.ndarray, toxic: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray, weight: np.ndarray):
         n = len(ids)
-        order = self._layout(n, ids, row, term, w, n_terms)
-        self.ids, self.toxic = ids[order], toxic[order]
-        self.rank = np.argsort(np.argsort(self.ids, kind="stable"), kind="stable")
-        w = w.astype(np.float32)
-        to = np.empty(n, np.int64)
+        w = ((1 + np.log(tf.astype(np.float64))) * weight[term]).astype(np.float32)
+        norm = np.sqrt(np.bincount(row, w.astype(np.float64) ** 2, n))
+        norm[norm == 0] = 1
+        order = self._layout(n, ids, row, term, w / norm[row], len(weight))
+        del w
+        to = np.empty(n, np.int32)
         to[order] = np.arange(n)
         row = to[row]
-        self.blocks = max(1, -(-n // BLOCK))
-        df = np.bincount(term, minlength=n_terms)
+        df = np.bincount(term, minlength=len(weight))
         often = np.sort(np.argsort(-df, kind="stable")[:DENSE])
-        self.often = np.full(n_terms, -1, np.int32)
+        place = np.full(len(weight), -1, np.int32)
+        place[often] = np.arange(len(often))
+        tf = tf.astype(np.min_scalar_type(int(tf.max(initial=0))))
+        dense = np.zeros((len(often), -(-max(n, 1) // BLOCK) * BLOCK), tf.dtype)
+        full = place[term] >= 0
+        dense[place[term[full]], row[full]] = tf[full]
+        df[often] = 0
+        row, term, tf = row[~full], term[~full].astype(np.int64), tf[~full]
+        s = np.argsort(term * n + row, kind="stable")
+        self._build(ids[order], toxic[order], norm[order], weight, often, dense, df, row[s].astype(np.min_scalar_type(n)), tf[s])
+
+    def _build(self, *packed) -> None:
+        self.packed = packed
+        self.ids, self.toxic, norm, weight, often, dense, df, row, tf = packed
+        self.rank = np.argsort(np.argsort(self.ids, kind="stable"), kind="stable")
+        self.blocks = dense.shape[1] // BLOCK
+        self.often = np.full(len(weight), -1, np.int32)
         self.often[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), self.blocks * BLOCK), np.float32)
-        full = self.often[term] >= 0
-        self.dense[self.often[term[full]], row[full]] = w[full]
-        row, term, w = row[~full], term[~full], w[~full]
-        s = np.lexsort((row, term))
-        self.row, self.w, term = row[s], w[s], term[s]
+        wide = np.append(norm, np.ones(dense.shape[1] - len(norm)))
+        self.dense = np.stack([np.where(t > 0, (1 + np.log(np.maximum(t, 1, dtype=np.float64))) * w / wide, 0).astype(np.float32) for t, w in zip(dense, weight[often])]) if len(often) else np.zeros(dense.shape, np.float32)
+        term = np.repeat(np.arange(len(weight)), df)
+        self.row = row.astype(np.int32)
+        self.w = ((1 + np.log(tf.astype(np.float64))) * weight[term] / norm[self.row]).astype(np.float32)
         block = self.row // BLOCK
         new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))[: len(term)])
-        self.block = block[new].astype(np.int32)
+        self.block = block[new]
         self.start = np.append(new, len(term)).astype(np.int32)
-        self.top = np.maximum.reduceat(self.w, new) if len(new) else np.zeros(0)
-        self.slots = np.searchsorted(term[new], np.arange(n_terms + 1)).astype(np.int32)
+        self.top = np.maximum.reduceat(self.w, new) if len(new) else np.zeros(0, np.float32)
+        self.slots = np.searchsorted(term[new], np.arange(len(weight) + 1)).astype(np.int32)
+
+    def __getstate__(self):
+        return zlib.compress(pickle.dumps(self.packed, protocol=5), 1)
+
+    def __setstate__(self, state):
+        self._build(*pickle.loads(zlib.decompress(state)))  # noqa: S301
 
     @staticmethod
     def _layout(n, ids, row, term, w, n_terms) -> np.ndarray:
@@ -102,16 +127,18 @@ class BlockMaxIndex:
         by_id = np.argsort(ids, kind="stable")
         if n <= BLOCK:
             return by_id
-        begin = np.searchsorted(row, np.arange(n + 1))
         best, mine = np.full(n, -1.0), np.zeros(n, np.int64)
         for k in range(LEADERS):
-            i = by_id[k * n // LEADERS]
+            own = row == by_id[k * n // LEADERS]
             lead = np.zeros(n_terms)
-            lead[term[begin[i] : begin[i + 1]]] = w[begin[i] : begin[i + 1]]
-            like = np.bincount(row, lead[term] * w, n)
+            lead[term[own]] = w[own]
+            like = np.zeros(n)
+            for c in range(0, len(row), 1 << 20):  # a few MB at a time
+                part = slice(c, c + (1 << 20))
+                like += np.bincount(row[part], lead[term[part]] * w[part], n)
             up = like > best
             best[up], mine[up] = like[up], k
-        return np.lexsort((ids, -best, mine))
+        return np.lexsort((ids, -np.round(best, 9), mine))
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, leave: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Positions and cosines of the k nearest, with a cosine above 0, of each (terms, weights); ``leave`` are positions to pass over."""
@@ -192,20 +219,16 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Terms, their weights and the index of the examples: all bounded by ``max_examples``. ``calibrate`` completes it.
 
-    ``ids``, ``toxic``: the examples; ``begin``, ``terms``, ``tf``: their terms (positions in the sorted ``vocab``).
+    ``ids``, ``toxic``, ``size``: the examples and their numbers of terms; ``terms``, ``tf``: these (positions in the sorted ``vocab``).
     """
 
-    def __init__(self, vocab: np.ndarray, df: np.ndarray, bad: np.ndarray, ids: np.ndarray, toxic: np.ndarray, begin: np.ndarray, terms: np.ndarray, tf: np.ndarray, k: int):
+    def __init__(self, vocab: np.ndarray, df: np.ndarray, bad: np.ndarray, ids: np.ndarray, toxic: np.ndarray, size: np.ndarray, terms: np.ndarray, tf: np.ndarray, k: int):
         n, pos = len(ids), int(toxic.sum())
         self.k, self.vocab = k, vocab
         self.usable = 0 < pos < n
-        self.base, self.knots = pos / max(n, 1), None
+        self.base, self.knots = pos / max(n, 1), (np.zeros(1), np.zeros(1))
         self.weight = np.log((n + 1) / (df + 1.0)) * np.log2(2 + bad / np.maximum(1, df - bad))
-        row = np.repeat(np.arange(n), np.diff(begin))
-        w = (1 + np.log(tf)) * self.weight[terms]
-        norm = np.sqrt(np.bincount(row, w * w, n))
-        self.index = BlockMaxIndex(ids, toxic, row, terms, w / np.where(norm > 0, norm, 1)[row], len(vocab))
-        self.place = {int(i): p for p, i in enumerate(self.index.ids)}
+        self.index = BlockMaxIndex(ids, toxic, np.repeat(np.arange(n, dtype=np.int32), size), terms, tf, self.weight)
 
     def vector(self, terms: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unit vector of positions in the vocabulary and their counts."""
@@ -249,10 +272,11 @@ def _own_votes(shared):
 
     def run(batches):
         m = shared.value
+        place = {int(i): p for p, i in enumerate(m.index.ids)}
         for batch in batches:
             ids = batch.column(0).to_pylist()
             q = [m.vector(np.asarray(t, np.int64), f) for t, f in zip(*(batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3)))]
-            found = m.index.search(q, m.k, [m.place[i] for i in ids])
+            found = m.index.search(q, m.k, [place[i] for i in ids])
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([m.index.vote(*x) for x in found], pa.float64())], names=["toxic", "vote"])
 
     return run
@@ -272,26 +296,35 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, mi
     rows = text.join(F.broadcast(lab), "doc_id").select("doc_id", "toxic", words_text(F.col("text")).alias("t")).mapInArrow(_terms, kind)
     rows = materialise(rows.groupBy("doc_id").agg(F.min(F.struct("toxic", "terms", "tf")).alias("x")).select("doc_id", "x.*"), "examples")
     df = rows.select("toxic", F.explode("terms").alias("h")).groupBy("h").agg(F.count("*").alias("df"), F.sum("toxic").alias("bad")).where(F.col("df") >= min_df)
-    terms = df.toPandas()
+    terms = df.toPandas().sort_values("h", key=lambda h: h.to_numpy(np.int64).view(np.uint64))
     h = terms["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    vocab = sc.broadcast(h[order])
+    vocab = sc.broadcast(h)
     got = rows.mapInArrow(_picked(vocab), "doc_id long, toxic int, terms array<int>, tf array<int>")
-    t = got.toArrow().combine_chunks().sort_by("doc_id")
-    flat = lambda c: np.concatenate([np.zeros(0, np.int64), *(x.flatten().to_numpy() for x in t[c].chunks)]).astype(np.int64)
-    size = np.concatenate([np.zeros(0, np.int64), *(np.diff(x.offsets.to_numpy()) for x in t["terms"].chunks)])
-    num = lambda c: terms[c].to_numpy(np.float64)[order]
-    m = Model(h[order], num("df"), num("bad"), t["doc_id"].to_numpy(), t["toxic"].to_numpy().astype(np.int64), np.append(0, np.cumsum(size)), flat("terms"), flat("tf"), k)
+    t = got.toArrow()
+    join = lambda xs: np.concatenate([np.zeros(0, np.int32), *xs])
+    size = join([np.diff(x.offsets.to_numpy()) for x in t["terms"].chunks])
+    flat = [join([x.flatten().to_numpy() for x in t[c].chunks]) for c in ("terms", "tf")]
+    ids, toxic = t["doc_id"].to_numpy(), t["toxic"].to_numpy().astype(np.int64)
+    del t
+    m = Model(h, terms["df"].to_numpy(np.float64), terms["bad"].to_numpy(np.float64), ids, toxic, size, *flat, k)
+    m.shared = None
+    shared = sc.broadcast(m)
     if m.usable:
-        shared = sc.broadcast(m)
         votes = got.mapInArrow(_own_votes(shared), "toxic int, vote double").toPandas()
-        shared.destroy()
         m.calibrate(votes["vote"].to_numpy(), votes["toxic"].to_numpy(np.float64))
+    m.index, m.vocab, m.weight, m.shared = None, None, None, shared  # the driver keeps what is small
     vocab.destroy()
     release(rows)
     return m
 
 
+def _complete(m: Model) -> Model:
+    """A fitted model with the index that was broadcast for it."""
+    whole = m.shared.value
+    whole.base, whole.knots = m.base, m.knots
+    return whole
+
+
 def _score_rows(m, data, offs):
     """Score of each text, and the nearest examples of those that have terms."""
     h, _, _, of = words(data, offs)
@@ -314,9 +347,9 @@ def _score_rows(m, data, offs):
     return m.score(votes), near
 
 
-def _score(shared, threshold):
+def _score(fitted, threshold):
     def run(batches):
-        m = shared.value
+        m = _complete(fitted)
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, data, offs in steps(batch, "t"):
@@ -333,19 +366,17 @@ def _score(shared, threshold):
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, model: Model | None = None, **fitting) -> DataFrame:
     """(doc_id, score, toxic, evidence: nearest labelled documents and their cosines)."""
     model = model or fit(docs, labels, **fitting)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     d = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words_text(F.col("text")).alias("t"))
-    return d.mapInArrow(_score(shared, threshold), "doc_id long, score double, toxic boolean, evidence array<struct<doc_id: long, cosine: double>>")
+    return d.mapInArrow(_score(model, threshold), "doc_id long, score double, toxic boolean, evidence array<struct<doc_id: long, cosine: double>>")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **fitting) -> DataFrame:
-    """``docs`` without the rows whose score reaches ``threshold``."""
-    model = fit(docs, labels, **fitting)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """``docs`` without the rows whose score reaches ``threshold``; each row is judged by its own text."""
+    fitted = fit(docs, labels, **fitting)
     names = docs.columns
 
     def run(batches):
-        m = shared.value
+        m = _complete(fitted)
         for batch in batches:
             if len(batch):
                 part = pa.RecordBatch.from_arrays([batch.column(0)], names=["t"])
