@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -20,15 +21,22 @@ def extract(spark: SparkSession, pipeline: Pipeline, path: str) -> Dataset:
 
 
 def evaluate_cases(spark: SparkSession, pipeline: Pipeline, dataset: str, folder: str = "") -> dict:
-    """Field metrics of one batch run over all cases."""
+    """Field metrics of one batch run over all cases. A case is its whole path, so files of one name in several folders are several cases."""
+    home = os.getcwd()
+
+    def bare(path):
+        """A path without its scheme, absolute and without dots."""
+        p = F.regexp_replace(path, r"^file:/*", "/")
+        p = F.when(p.rlike(r"^/|^[a-z][a-z0-9+.-]*://"), p).otherwise(F.concat(F.lit(home + "/"), p))
+        return F.regexp_replace(p, r"/(?:\./)+", "/")
+
     cases = load.load_dataset(spark, dataset)
     key = cases.select("key_field").first()
     prefix = folder.rstrip("/") + "/" if folder else ""
     paths = [prefix + r["input_path"] for r in cases.select("input_path").distinct().toLocalIterator()]
     out = pipeline.run(Dataset(load.ingest(spark.read.format("binaryFile").load(paths))))
-    name = F.element_at(F.split("path", "/"), -1)
-    predicted = out.records.join(out.documents.select("doc_id", name.alias("case_id")), "doc_id").select("case_id", F.col("record_ix").alias("row_ix"), F.transform_values("values", lambda k, v: v["s"]).alias("fields"))
-    expected = cases.select(F.element_at(F.split("input_path", "/"), -1).alias("case_id"), F.posexplode("expected").alias("row_ix", "fields"))
+    predicted = out.records.join(out.documents.select("doc_id", bare(F.col("path")).alias("case_id")), "doc_id").select("case_id", F.col("record_ix").alias("row_ix"), F.transform_values("values", lambda k, v: v["s"]).alias("fields"))
+    expected = cases.select(bare(F.concat(F.lit(prefix), "input_path")).alias("case_id"), F.posexplode("expected").alias("row_ix", "fields"))
     schema = pipeline.context.schema
     pairs = evaluate.align_by_key(predicted, expected, key["key_field"]) if key and key["key_field"] else evaluate.align_by_index(predicted, expected)
     fields = {r["field"]: r["accuracy"] for r in evaluate.field_metrics(pairs, schema).collect()}
@@ -44,6 +52,7 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--input", required=True)
     run.add_argument("--out")
     run.add_argument("--csv")
+    run.add_argument("--show", type=int, default=100, help="records printed when nothing is written")
     ev = sub.add_parser("eval", help="compare with expected records")
     ev.add_argument("--config", required=True)
     ev.add_argument("--dataset", required=True)
@@ -66,7 +75,10 @@ def main(argv: list[str] | None = None) -> int:
             sinks.write_csv(out.records, a.csv, pipeline.context.schema)
         if not (a.out or a.csv):
             w = sinks.wide(out.records, pipeline.context.schema).drop("doc_id", "record_ix")
-            print(sinks.table_text([r.asDict() for r in w.take(100)], w.columns))
+            some = w.take(a.show + 1)
+            print(sinks.table_text([r.asDict() for r in some[: a.show]], w.columns))
+            if len(some) > a.show:
+                print(f"the first {a.show} of {w.count()} records; --show, --out and --csv give more")
     elif a.command == "bench":
         spec = load.load_spec(a.spec)
         print(spec["name"], evaluate_cases(spark, build(spec), spec["dataset"], spec.get("folder", "")))

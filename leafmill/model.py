@@ -58,11 +58,11 @@ def empty_map(kind: str) -> Column:
     return F.create_map().cast(kind)
 
 
-def as_records(df: DataFrame, values: dict[str, Column], doc_id: str = "doc_id", record_ix: str | None = "record_ix") -> DataFrame:
-    """RECORD rows from ordinary columns: ``values`` gives each field's tagged value."""
+def as_records(df: DataFrame, values: dict[str, Column], doc_id: str = "doc_id", record_ix: str | None = "record_ix", carry: tuple[str, ...] = ()) -> DataFrame:
+    """RECORD rows from ordinary columns: ``values`` gives each field's tagged value; columns to ``carry`` stay, such as the text."""
     m = F.map_from_arrays(F.array(*[F.lit(k) for k in values]), F.array(*values.values())).cast(f"map<string,{VALUE}>")
     ix = F.col(record_ix) if record_ix else F.lit(0)
-    return with_sides(df.select(F.col(doc_id).cast("string").alias("doc_id"), ix.cast("int").alias("record_ix"), m.alias("values")))
+    return with_sides(df.select(F.col(doc_id).cast("string").alias("doc_id"), ix.cast("int").alias("record_ix"), m.alias("values"), *carry))
 
 
 def with_sides(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafmill.durable import keep as keep_
 from leafmill.functions.coercion import is_filled
 from leafmill.functions.numbers import value_in_text
 from leafmill.functions.text import char_validity, count_tokens, text_length, text_sufficiency
@@ -124,10 +125,10 @@ def cascade(data: Dataset, primary: Callable[[Dataset], Dataset], fallback: Call
     """Run ``primary``; documents that score below ``threshold`` run ``fallback`` from the state before it.
 
     The router (doc_id, tier, score, threshold) is appended to. Costs of a discarded primary stay in the ledger. ``keep``
-    materialises the primary's records and the scores, so engines are not asked twice.
+    materialises the primary's records and the scores, so engines are not asked twice; by default it does (``durable.keep``).
     """
     first = primary(data)
-    hold = keep or (lambda df: df)
+    hold = keep or keep_
     if first.records is not None:
         first = first.with_(records=hold(first.records))
     scores = hold(score_documents(first, scorer, text))

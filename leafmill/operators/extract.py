@@ -275,8 +275,8 @@ def chunked(docs: DataFrame, text: Column, max_chars: int) -> DataFrame:
 
 
 def record_key(values: Column) -> Column:
-    """Equal for records with the same fields and equal values, whatever their order."""
-    return F.to_json(F.array_sort(F.transform(F.map_entries(values), lambda e: F.struct(e["key"].alias("k"), match_key(e["value"]).alias("v")))))
+    """A digest, equal for records with the same fields and equal values, whatever their order."""
+    return F.sha2(F.to_json(F.array_sort(F.transform(F.map_entries(values), lambda e: F.struct(e["key"].alias("k"), match_key(e["value"]).alias("v"))))), 256)
 
 
 def dedup_records(records: DataFrame) -> DataFrame:

@@ -58,10 +58,15 @@ def verify_label(evidence: Column, text: Column, expect: list[str], reject: list
 
 def verify_column(value: Column, tables: Column, expect: list[str], reject: list[str]) -> Column:
     """Status of a number by the headers of the table cells that hold it; confirmation wins."""
-    heads = F.transform(headers_of_value(tables, cell_number(value)), lambda h: fold(collapse(h)))
-    some = lambda labels: F.exists(heads, lambda h: _any(h, labels))
-    empty = F.coalesce(F.size(heads), F.lit(0)) == 0
-    return F.when(F.size(tables) == 0, "no_table").when(empty, "value_not_in_table").when(some(expect), "column_verified").when(some(reject), "column_mismatch").otherwise("column_no_label")
+    found = F.transform(headers_of_value(tables, cell_number(value)), lambda h: fold(collapse(h)))
+
+    def status(heads: Column) -> Column:
+        some = lambda labels: F.exists(heads, lambda h: _any(h, labels))
+        empty = F.coalesce(F.size(heads), F.lit(0)) == 0
+        return F.when(empty, "value_not_in_table").when(some(expect), "column_verified").when(some(reject), "column_mismatch").otherwise("column_no_label")
+
+    # bound to a lambda variable, so the headers are looked up once and not in each branch
+    return F.when(F.size(tables) == 0, "no_table").otherwise(F.get(F.transform(F.array(found), status), F.lit(0)))
 
 
 def _statuses(made: list[Column]) -> Column:

@@ -169,75 +169,79 @@ def coerce_types(spark, d):
     return o.select("o_orderkey", cents(co(grouped, "number").cast("double")).alias("as_float"), co(F.col("o_custkey").cast("string"), "integer").cast("long").alias("as_int"), (co(yes, "boolean") == "true").alias("as_bool"), co(odd, "integer").isNotNull().alias("strict_ok"))
 
 
-@query("""select o_orderkey, true as us, true as eu, true as spaced, false as off, true as symbol from orders""")
+@query("""select o_orderkey, o_orderkey % 3 <> 1 as us, o_orderkey % 4 <> 1 as eu, o_orderkey % 5 <> 1 as spaced, o_orderkey % 6 = 1 as off, o_orderkey % 7 <> 1 as symbol from orders""")
 def ground_numbers(spark, d):
+    """Amounts in several notations; by the key, some are a cent off, or have a digit in front, so that they must not be found."""
     c = cents(F.col("o_totalprice"))
-    whole = (c / 100).cast("long").cast("string")
-    frac = F.lpad((c % 100).cast("string"), 2, "0")
-    sep = lambda s: F.regexp_replace(whole, r"(\d)(?=(\d{3})+$)", "$1" + s)
-    v = F.concat(whole, F.lit("."), frac)
+    k = F.col("o_orderkey")
+
+    def parts(n):
+        return (n / 100).cast("long").cast("string"), F.lpad((n % 100).cast("string"), 2, "0")
+
+    def note(wrong, sep, mark):
+        whole, frac = parts(c + wrong.cast("long"))
+        return F.concat(F.lit("Amount: "), F.regexp_replace(whole, r"(\d)(?=(\d{3})+$)", "$1" + sep), F.lit(mark), frac, F.lit(" due"))
+
+    v = F.concat_ws(".", *parts(c))
     has = lambda t: numbers.value_in_text(v, t)
     wrap = lambda t: F.concat(F.lit("Amount: "), t, F.lit(" due"))
     return table(spark, d, "orders").select(
-        "o_orderkey", has(wrap(F.concat(sep(","), F.lit("."), frac))).alias("us"), has(wrap(F.concat(sep("."), F.lit(","), frac))).alias("eu"), has(wrap(F.concat(sep(" "), F.lit(","), frac))).alias("spaced"),
-        has(wrap(F.concat(F.lit("9"), v))).alias("off"), has(wrap(F.concat(F.lit("$"), v))).alias("symbol"),
+        "o_orderkey", has(note(k % 3 == 1, ",", ".")).alias("us"), has(note(k % 4 == 1, ".", ",")).alias("eu"), has(note(k % 5 == 1, " ", ",")).alias("spaced"),
+        has(wrap(F.when(k % 6 == 1, v).otherwise(F.concat(F.lit("9"), v)))).alias("off"), has(wrap(F.when(k % 7 == 1, F.concat(F.lit("$1"), v)).otherwise(F.concat(F.lit("$"), v)))).alias("symbol"),
     )
 
 
 _LOW = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
 
 
-@query(f"select d.doc_id, b.item_id from documents d, benchmark b where b.item_id < 40 and contains({_LOW.format('d.text')}, {_LOW.format('b.text')})")
-def ground_passages(spark, d):
-    """The first 40 passages, as the SQL has it; ``ground_all_passages`` searches all."""
-    return _grounded(spark, d).where("item_id < 40")
-
-
 @query(f"select d.doc_id, b.item_id from documents d, benchmark b where contains({_LOW.format('d.text')}, {_LOW.format('b.text')})")
-def ground_all_passages(spark, d):
+def ground_passages(spark, d):
     return _grounded(spark, d)
 
 
 def _grounded(spark, d) -> DataFrame:
-    """Every passage in every document; each text is normalised once."""
+    """Every passage in every document; each text is normalised once.
+
+    Words of a passage but its first and last stand in a text as they are, so documents are found by the longest of these and
+    then searched; passages of one or two words are searched in all documents.
+    """
     n = table(spark, d, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("t"))
     b = table(spark, d, "benchmark").select("item_id", text.normalize_text(F.col("text")).alias("p"))
-    return n.join(b, F.contains("t", F.col("p"))).select("doc_id", "item_id")
-
-
-@query("""with v as (select item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 2) as v from benchmark),
-  t as (select doc_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda t: length(t) > 2) as t from documents)
-  select doc_id, item_id, round(len(list_filter(v, lambda x: list_contains(t, x)))::double / len(v), 9) as recall from t, v where item_id = doc_id % 40 and len(v) >= 2""")
-def token_recall(spark, d):
-    """One item a document, as the SQL has it; ``token_recall_all`` scores all."""
-    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    j = table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % 40).join(b, "item_id")
-    return j.select("doc_id", "item_id", F.round(text.token_recall(F.col("passage"), F.col("text")), 9).alias("recall")).where("recall is not null")
+    inner = F.expr("slice(split(p, ' '), 2, greatest(size(split(p, ' ')) - 2, 0))")
+    b = b.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    words = n.select("doc_id", F.explode(F.array_distinct(F.split("t", " "))).alias("word"))
+    may = words.join(b.where("word is not null"), "word").select("doc_id", "item_id", "p").distinct()
+    long = may.join(n, "doc_id").where(F.contains("t", F.col("p"))).select("doc_id", "item_id")
+    short = n.join(b.where("word is null"), F.contains("t", F.col("p"))).select("doc_id", "item_id")
+    return long.unionByName(short)
 
 
 @query("""with v as (select item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 2) as v from benchmark),
   t as (select doc_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda t: length(t) > 2) as t from documents),
   n as (select item_id, t, count(*) as n from (select item_id, unnest(v) as t from v) group by all),
   h as (select doc_id, item_id, sum(n) as h from (select doc_id, unnest(t) as t from t) join n using (t) group by all)
-  select doc_id, item_id, round(coalesce(h, 0)::double / len(v), 9) as recall from t cross join v left join h using (doc_id, item_id) where len(v) >= 2 and t is not null""")
-def token_recall_all(spark, d):
-    """Every item against every document: a row a pair."""
+  select doc_id, item_id, round(h::double / len(v), 9) as recall from h join v using (item_id) where len(v) >= 2""")
+def token_recall(spark, d):
+    """Every item against every document: a row for each pair that shares a token."""
     b = table(spark, d, "benchmark").select("item_id", text.significant_tokens(F.col("text")).alias("v")).where(F.size("v") >= 2)
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.array_distinct(text.significant_tokens(F.col("text"))).alias("t"))
-    counts = b.select("item_id", F.explode("v").alias("t")).groupBy("item_id", "t").agg(F.count("*").alias("n"))
-    hits = docs.select("doc_id", F.explode("t").alias("t")).join(counts, "t").groupBy("doc_id", "item_id").agg(F.sum("n").alias("h"))
-    pairs = docs.select("doc_id").crossJoin(b.select("item_id", F.size("v").alias("size")))
-    return pairs.join(hits, ["doc_id", "item_id"], "left").select("doc_id", "item_id", F.round(F.coalesce("h", F.lit(0)) / F.col("size"), 9).alias("recall"))
+    counts = b.select("item_id", F.size("v").alias("size"), F.explode("v").alias("t")).groupBy("item_id", "size", "t").agg(F.count("*").alias("n"))
+    hits = docs.select("doc_id", F.explode("t").alias("t")).join(counts, "t").groupBy("doc_id", "item_id", "size").agg(F.sum("n").alias("h"))
+    return hits.select("doc_id", "item_id", F.round(F.col("h") / F.col("size"), 9).alias("recall"))
 
 
-@query("""select o_orderkey, true as num, false as num_off, true as str, true as bool, o_custkey % 2 = 0 as int_ from orders""")
+@query("""select o_orderkey, o_orderkey % 3 <> 1 as num, o_orderkey % 4 = 1 as num_off, o_orderkey % 5 <> 1 as str, o_orderkey % 2 = 0 as bool, o_custkey % 2 = 0 as int_ from orders""")
 def values_match(spark, d):
+    """Predictions that are, by the key, the expected value in another notation or another value."""
     o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
     v = money(cents(F.col("o_totalprice")))
     m = coercion.values_match
     return o.select(
-        "o_orderkey", m(F.concat(F.lit("$ "), v), v, "number").alias("num"), m(F.concat(F.lit("1"), v), v, "number").alias("num_off"), m(F.upper("o_orderpriority"), F.regexp_replace("o_orderpriority", "-", " - "), "string").alias("str"),
-        m(F.lit(" YES"), F.lit("1"), "boolean").alias("bool"), m(F.concat(F.col("o_custkey").cast("string"), F.lit(".0")), (F.col("o_custkey") + F.col("o_custkey") % 2).cast("string"), "integer").alias("int_"),
+        "o_orderkey", m(F.concat(F.lit("$ "), money((cents(F.col("o_totalprice")) * F.when(k % 3 == 1, 11).otherwise(10) / 10).cast("long"))), v, "number").alias("num"),
+        m(F.concat(F.when(k % 4 == 1, "").otherwise("1"), v), v, "number").alias("num_off"),
+        m(F.concat(F.upper("o_orderpriority"), F.when(k % 5 == 1, "x").otherwise(" ")), F.regexp_replace("o_orderpriority", "-", " - "), "string").alias("str"),
+        m(F.when(k % 2 == 0, " YES").otherwise("no"), F.lit("1"), "boolean").alias("bool"), m(F.concat(F.col("o_custkey").cast("string"), F.lit(".0")), (F.col("o_custkey") + F.col("o_custkey") % 2).cast("string"), "integer").alias("int_"),
     )
 
 
@@ -312,8 +316,8 @@ def validation_errors(spark, d):
 def normalize_dedup(spark, d):
     pad = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("  "), "text", F.lit("\n"))).otherwise(F.col("text"))
     before = as_records(table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("record_ix"), pad.alias("t")), {"t": tagged("string", F.col("t"))})
-    after = quality.normalize(before)
-    return after.groupBy("doc_id").agg(F.count("*").alias("kept")).join(quality.deduped(before, after), "doc_id")
+    lost = quality.deduped(before, quality.normalize(before))
+    return before.groupBy("doc_id").agg(F.count("*").alias("m")).join(lost, "doc_id").select("doc_id", (F.col("m") - F.col("deduped")).alias("kept"), "deduped")
 
 
 # --- rules
@@ -375,9 +379,7 @@ def receipts(spark, d) -> DataFrame:
     k = F.col("o_orderkey") % 5
     e = F.when(k == 0, gross).when(k == 1, F.concat(F.lit("net worth "), net)).when(k == 2, "").when(k == 3, "Grand total -1").otherwise(F.concat("o_orderkey", F.lit(" listed")))
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), t.alias("text"), e.alias("e"), gross.alias("gross"))
-    r = as_records(o, {"total": tagged("string", F.col("gross"))}, record_ix=None)
-    o = o.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "e")
-    return r.join(o, "doc_id").withColumn("evidence", F.create_map(F.lit("total"), F.col("e")))
+    return as_records(o, {"total": tagged("string", F.col("gross"))}, record_ix=None, carry=("text", "e")).withColumn("evidence", F.create_map(F.lit("total"), F.col("e")))
 
 
 @query("select o_orderkey as doc_id, case o_orderkey % 5 when 0 then 'verified' when 1 then 'label_mismatch' when 2 then 'no_evidence' when 3 then 'unlocated' else 'no_label' end as status from orders")
@@ -400,9 +402,8 @@ def label_status_counts(spark, d):
 def column_verify(spark, d):
     k = F.col("l_orderkey") % 3
     x = F.when(k == 0, money(F.col("net") + F.col("vat"))).when(k == 1, money(F.col("net"))).otherwise("-5.00")
-    i = invoice(spark, d).withColumn("x", x)
-    r = as_records(i.withColumnRenamed("l_orderkey", "doc_id"), {"total": tagged("string", F.col("x"))}, record_ix=None)
-    r = r.join(i.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.col("md").alias("text")), "doc_id")
+    i = invoice(spark, d).withColumn("x", x).withColumnsRenamed({"l_orderkey": "doc_id", "md": "text"})
+    r = as_records(i, {"total": tagged("string", F.col("x"))}, record_ix=None, carry=("text",))
     return verify.verify_columns(r).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("column_status")["total"].alias("status"))
 
 
