@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.durable import keep as keep_
+from leafmill.operators.clients import engines_of
 from leafmill.functions.text import count_tokens
 from leafmill.model import Dataset, document_text
 from leafmill.operators import cascade as cas
@@ -386,13 +387,13 @@ def _cascade(registry: Registry, params: dict, ctx: Context, at: int) -> Stage:
 
 
 def build(config: dict, engines: dict[str, Any] | None = None, keep=None, registry: Registry | None = None) -> Pipeline:
-    """A pipeline from a mapping with ``pipeline`` and, if wanted, ``schema`` and ``options``.
+    """A pipeline from a mapping with ``pipeline`` and, if wanted, ``schema``, ``options`` and ``engines`` (commands).
 
     What engines return is written once (``durable.keep``), so no later action asks them again; ``keep`` may do otherwise.
     """
     if not isinstance(config, dict) or not isinstance(config.get("pipeline"), list):
         raise ValueError("a pipeline file is a mapping with a list 'pipeline'")
-    ctx = Context(TargetSchema.from_config(config.get("schema")), dict(config.get("options") or {}), dict(engines or {}), keep or keep_)
+    ctx = Context(TargetSchema.from_config(config.get("schema")), dict(config.get("options") or {}), engines_of(config.get("engines")) | (engines or {}), keep or keep_)
     registry = registry or default_registry()
     stages = []
     for i, entry in enumerate(config["pipeline"]):

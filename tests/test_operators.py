@@ -283,6 +283,59 @@ def test_model_stages_and_cascade(spark):
         assert o.records.count() == 1, stage
 
 
+def test_engines_are_asked_once(spark, tmp_path):
+    """However many results are written, in JSON and CSV, each document is sent once; unusable replies are not sent again either."""
+    calls = tmp_path / "calls"
+    asked = str(calls)
+
+    def client(prompt):
+        from leafmill.operators.extract import Completion
+
+        with open(asked, "a", encoding="utf-8") as f:
+            f.write("x")
+        return Completion('{"records": [{"who": "ACME"}]}', 100, 10, "gpt-4o")
+
+    config = {"schema": {"fields": [dict(name="who")]}, "pipeline": ["parse.default", {"extract.default": {"client": "c"}}, "validate.default", "normalize.default", "confidence.default"]}
+    p = build(config, engines={"c": client})
+    out = p.run(Dataset(docs(spark, "from ACME", "to ACME", "by ACME")))
+    for k in range(2):
+        sinks.write_json(sinks.result_json(out.records, out.extra.get("validation"), out.extra.get("deduped")), f"{tmp_path}/out{k}.json")
+        sinks.write_csv(out.records, f"{tmp_path}/out{k}.csv", p.context.schema)
+    assert out.records.count() == 3 and out.costs.count() == 3
+    assert len(calls.read_text()) == 3
+
+
+def test_command_client(spark, tmp_path):
+    from leafmill.operators.clients import command_client, engines_of
+
+    reply = "print('{\"records\": [{\"who\": \"' + x.split()[-1] + '\"}]}')"
+    for stdin, x in ((False, "sys.argv[-1]"), (True, "sys.stdin.read()")):
+        got = command_client(["python3", "-c", f"import sys; x = {x}; {reply}"], model="local", stdin=stdin)("it says ACME")
+        assert got.text == '{"records": [{"who": "ACME"}]}' and got.model == "local" and got.prompt_tokens is None
+    for command in (["python3", "-c", "import sys; print(1); sys.exit(3)"], ["no-such-command"]):
+        assert command_client(command)("x").text == ""
+    assert command_client(["sleep"], timeout=0.2)("5").text == ""
+    config = {"engines": {"echo": {"command": ["echo"], "model": "m"}}, "schema": {"fields": [dict(name="who")]}, "pipeline": ["parse.default", {"extract.default": {"client": "echo"}}]}
+    assert build(config).run(Dataset(docs(spark, "x"))).costs.count() == 1
+    for bad in ({"e": {}}, {"e": {"command": []}}, {"e": {"command": ["x"], "other": 1}}, ["e"]):
+        with pytest.raises(ValueError):
+            engines_of(bad)
+
+
+def test_cases_of_one_name_in_two_folders(spark, tmp_path, capsys):
+    from leafmill.__main__ import evaluate_cases
+
+    cases = []
+    for k in "ab":
+        (tmp_path / k).mkdir()
+        (tmp_path / k / "1.txt").write_text(f"name\tprice\n{k}\t{1 + (k == 'b')}")
+        cases.append({"input_path": f"{k}/1.txt", "expected": [{"name": k, "price": str(1 + (k == "b"))}]})
+    (tmp_path / "cases.json").write_text(json.dumps({"cases": cases}))
+    p = build(dict(pipeline=["parse.default", "extract.table", "validate.default"], schema=dict(fields=[dict(name="name"), dict(type="number", name="price")])))
+    got = evaluate_cases(spark, p, str(tmp_path / "cases.json"), str(tmp_path))
+    assert got["overall_field_accuracy"] == 1.0 and got["record_count_predicted"] == got["record_count_expected"] == 2
+
+
 def test_config_grammar():
     assert item("a", 0) == ("a", {}) and item({"a": None}, 0) == ("a", {}) and item({"a": {"x": 1}}, 0) == ("a", {"x": 1})
     for bad in (3, {"a": 1, "b": 2}, {1: {}}, {"a": [1]}):
