@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.durable import _own_dir, materialise, qualified, release, scratch, shared_dir  # noqa: F401
+
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
 
@@ -23,41 +21,6 @@ def words_text(col: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(F.coalesce(col, F.lit("")), r"[^\p{L}\p{M}\p{N}]+", " ")))
 
 
-def _own_dir(spark: SparkSession) -> str:
-    """A temporary folder, one a session; only where driver and executors are one process."""
-    sc = spark.sparkContext
-    if not re.fullmatch(r"local(\[.*\])?", sc.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not hasattr(sc, "_leafmill_dir"):
-        sc._leafmill_dir = "file://" + tempfile.mkdtemp(prefix="leafmill-")
-    return sc._leafmill_dir
-
-
-def qualified(spark: SparkSession, path: str) -> str:
-    """A path with its scheme; a plain one is on the default file system."""
-    if "://" not in path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        path = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
-    return re.sub(r"^file:/(?!/)", "file:///", path)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given; a temporary one only where both are unset, in local mode."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        given = own.get() if own.isDefined() else None
-    return qualified(spark, given or _own_dir(spark))
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/leafmill/{name}-{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}
@@ -70,26 +33,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back: cuts lineage, survives lost executors. Deleted when the driver ends."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._leafmill_path = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete tables that ``materialise`` wrote and that nothing will read again."""
-    for t in tables:
-        path = getattr(t, "_leafmill_path", None)
-        if path:
-            jvm = t.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def steps(batch: pa.RecordBatch, name: str, limit: int = STEP_BYTES):
     """Yield (first row, last row + 1, bytes, offsets) over about ``limit`` bytes of a non-null string column."""
     col = batch.column(batch.schema.get_field_index(name))
