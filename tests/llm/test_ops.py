@@ -8,6 +8,7 @@ import pickle
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -770,6 +771,24 @@ def test_licences(spark):
     assert licenses.scan(docs.where("false")).count() == 0 and licenses.scan(docs, [("x", "...")]).count() == 0
 
 
+def test_licence_whole_texts(spark):
+    bsd3 = next(t for i, t in licenses.KNOWN if i == "BSD-3-Clause" and len(t) > 500)
+    named = "Copyright (c) 2001, Some One\nAll rights kept.\n".split("\n")[0] + "\n" + bsd3.replace("the copyright holder nor", "Some Institute, of Somewhere nor").replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE REGENTS AND CONTRIBUTORS").replace("COPYRIGHT HOLDER OR", "REGENTS OR")
+    zlib_ = next(t for i, t in licenses.KNOWN if i == "Zlib")
+    texts = [(1, named), (2, zlib_.upper().replace(" ", "\n ")), (3, bsd3 + "\nand more"), (4, bsd3.replace("1.", "*").replace("2.", "*"))]
+    files = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "MPL-2.0": "MPL-2.0"}
+    there = Path("/usr/share/common-licenses")
+    want = {(1, "BSD-3-Clause"), (2, "Zlib")}
+    for k, (f, i) in enumerate(files.items()):
+        if (there / f).exists():
+            texts.append((10 + k, (there / f).read_text().upper().replace("LICENSE", "LICENCE")))
+            want.add((10 + k, i))
+    got = {(r["doc_id"], r["license_id"]) for r in licenses.scan(table(spark, texts)).where("part = 'text'").collect()}
+    assert got == want
+    rows = licenses.long_digests()
+    assert len(rows) > 20 and all(re.fullmatch(r"[0-9a-f]{64}", d) and w for _, d, w in rows) and len({d for _, d, _ in rows}) == len(rows)
+
+
 def test_licence_anchors(spark):
     texts = [r["canonical"] for r in licenses.known_digests(spark).collect()]
     found = re.compile(licenses.anchors(texts))
