@@ -29,6 +29,25 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_t(spark, sf_dir, "documents"))
 
 
+OP4 = rf"""
+with x as (select row_number() over () as rid, doc_id, lang, trim(lower(regexp_replace(coalesce(text, ''), '[^\p{{L}}\p{{M}}]+', ' ', 'g'))) as t from documents where doc_id is not null),
+p as (select rid, doc_id, lang, ' ' || t || ' ' as t from x where t <> ''),
+c as (select rid, lang, unnest(string_split(t, '')) as a, unnest(range(1, length(t) + 1)) as i from p),
+w as (select rid, lang, a, lead(a, 1) over o as b, lead(a, 2) over o as d from c window o as (partition by rid order by i)),
+g as (select rid, lang, unnest(list_filter([case when a <> ' ' then a end, a || b, case when b <> ' ' then a || b || d end], lambda y: y is not null)) as g from w),
+n as (select rid, any_value(lang) as lang, g, count(*) as n from g group by rid, g),
+mine as (select * from (select rid, g, row_number() over (partition by rid order by n desc, length(g), g) - 1 as r from n) where r < {langid.PROFILE}),
+prof as (select * from (select lang, g, row_number() over (partition by lang order by n desc, length(g), g) - 1 as r from (select lang, g, sum(n) as n from n where trim(lang) <> '' group by all)) where r < {langid.PROFILE}),
+size as (select rid, count(*) as m from mine group by 1),
+near as (select rid, q.lang, sum({langid.PROFILE} - abs(m.r - q.r)) as s from mine m join prof q using (g) group by all),
+dist as (select s.rid, l.lang, (m * {langid.PROFILE} - coalesce(near.s, 0))::double / (m * {langid.PROFILE}) as d from size s cross join (select distinct lang from prof) l left join near on near.rid = s.rid and near.lang = l.lang),
+own as (select dist.lang, list_sort(list(d)) as ds from dist join p on p.rid = dist.rid and p.lang = dist.lang group by 1),
+bar as (select lang, least({langid.REJECT}, ds[ceil({langid.QUANTILE} * len(ds))::int] + {langid.MARGIN}) as bar from own),
+best as (select rid, first(lang order by d, lang) as language, min(d) as distance, list_sort(list(d))[2] as second from dist group by 1)
+select x.doc_id, b.language, coalesce(b.distance, 1.0) as distance, case when b.rid is null then 0.0 else coalesce(b.second, 1.0) - b.distance end as margin, b.rid is null or b.distance > coalesce(bar.bar, {langid.REJECT}) as rejected
+from x left join best b using (rid) left join bar on bar.lang = b.language"""
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC files to the shared folder, and read back by byte ranges."""
     folder = scratch(spark, "warc")
@@ -83,4 +102,4 @@ select q.doc_id, e.id as entry, coalesce(e.copies, 0) as copies, coalesce(e.n, 0
 from (select distinct doc_id from r) q left join d using (doc_id) left join e on d.sk = e.sk left join o on o.id = e.id left join i on i.id = e.id"""
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_decontamination, op4_language, op5_warc, op6_chat, op7_packing, op8_licenses, op9_urls, op10_fingerprints)}
-ORACLES = {"op5_warc": OP5, "op6_chat": chat.ORACLE, "op8_licenses": licenses.oracle(), "op10_fingerprints": OP10}
+ORACLES = {"op4_language": OP4, "op5_warc": OP5, "op6_chat": chat.ORACLE, "op8_licenses": licenses.oracle(), "op10_fingerprints": OP10}
