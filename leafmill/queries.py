@@ -415,6 +415,33 @@ def archetypes(spark, d):
     return verify.classify(o, F.col("t"), F.col("fig")).select("o_orderkey", "archetype")
 
 
+@query("""select o_orderkey, case when o_orderkey % 4 in (0, 2) then 1.0 else 0.0 end::double as fill, case o_orderkey % 4 when 1 then 0.5 when 3 then 0.0 else 1.0 end::double as coverage,
+  case o_orderkey % 4 when 2 then 0.5 when 3 then 0.0 else 1.0 end::double as grounding from orders""")
+def record_scores(spark, d):
+    """Scorers of records: complete, without its required field, with a name that the text lacks, and no record at all."""
+    schema = TargetSchema.of("total*:number", "who:string")
+    k = F.col("o_orderkey") % 4
+    v = money(cents(F.col("o_totalprice")))
+    who = F.concat(F.lit("Customer "), F.col("o_custkey").cast("string"))
+    total = F.when(k == 1, tagged("null", F.lit(None).cast("string"))).otherwise(tagged("number", v))
+    record = F.create_map(F.lit("total"), total, F.lit("who"), tagged("string", F.when(k == 2, "nobody at all").otherwise(who)))
+    o = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("Paid "), v, F.lit(" by "), who, F.lit(" today")).alias("t"), F.when(k == 3, F.slice(F.array(record), 1, 0)).otherwise(F.array(record)).alias("r"))
+    score = lambda name: cascade.resolve_scorer(name, schema)(F.col("t"), F.col("r"))
+    return o.select("o_orderkey", score("required_fill_ratio").alias("fill"), score("field_coverage").alias("coverage"), score("grounding").alias("grounding"))
+
+
+@query("""select o_orderkey as doc_id, o_custkey::varchar as total, case when o_orderkey % 3 > 0 then 'line ' || o_custkey end as evidence, not (o_orderkey % 5 = 0) as strict_ok from orders""")
+def evidence_split(spark, d):
+    """Quoted evidence leaves the values; a strict reading takes the bare envelope only."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    quote = F.when(k % 3 == 0, F.lit("null")).otherwise(F.concat(F.lit('"line '), c, F.lit('"')))
+    bare = F.concat(F.lit('{"records": [{"total": '), c, F.lit(', "_evidence": {"total": '), quote, F.lit("}}]}"))
+    reply = F.when(k % 5 == 0, F.concat(F.lit("Here it is:\n```json\n"), bare, F.lit("\n```"))).otherwise(bare)
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), reply.alias("reply"), extract.reply_records(reply, strict=True).isNotNull().alias("strict_ok"))
+    r = extract.parse_replies(o, evidence=True).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("values")["total"]["s"].alias("total"), F.col("evidence")["total"].alias("evidence"))
+    return r.join(o.select("doc_id", "strict_ok"), "doc_id")
+
+
 # --- confidence, provenance, review, policy, repair
 
 SCORED = TargetSchema.of("total*:number", "who:string")
