@@ -8,8 +8,8 @@ toxic examples: no term is dropped, but words that toxic examples have more ofte
 Postings lie in blocks of ``BLOCK`` examples, laid out by the leader (one of ``LEADERS`` examples) most like them, so a
 block's examples are alike; each term has its largest weight in each of its blocks. The ``DENSE`` most frequent terms
 have full lists, which are multiplied for many texts at once. Weights of examples are single, sums double precision. A block's bound is the best of its dense sums and the
-other terms' largest weights; blocks are read in order of their bounds until these fall below the k-th best cosine, so
-the k nearest are exact; equal cosines go by smaller doc_id. Votes weigh 1 / (1 - cosine + 0.1); isotonic regression
+other terms' largest weights; the blocks with the best bounds are read first, then those whose bounds reach the k-th best
+cosine found there, so the k nearest are exact; equal cosines go by smaller doc_id. Votes weigh 1 / (1 - cosine + 0.1); isotonic regression
 of the examples' own leave-one-out votes turns votes into scores.
 
 Defined results: a document without any term, so also one with null or empty text, scores the rate of toxic
@@ -32,6 +32,8 @@ from leafmill.llm.common import fresh, materialise, release, steps, words, words
 
 BLOCK = 128
 LEADERS = 32
+#: Blocks that are read first.
+FIRST = 3
 DENSE = 512
 #: Texts whose dense sums are made together.
 TOGETHER = 128
@@ -94,26 +96,32 @@ class BlockMaxIndex:
         df[often] = 0
         row, term, tf = row[~full], term[~full].astype(np.int64), tf[~full]
         s = np.argsort(term * n + row, kind="stable")
-        self._build(ids[order], toxic[order], norm[order], weight, often, dense, df, row[s].astype(np.min_scalar_type(n)), tf[s])
+        self.packed = ids[order], toxic[order], norm[order], weight, often, dense, df.astype(np.int32), row[s].astype(np.min_scalar_type(n)), tf[s]
+        self._build(*self.packed)
 
     def _build(self, *packed) -> None:
-        self.packed = packed
         self.ids, self.toxic, norm, weight, often, dense, df, row, tf = packed
         self.rank = np.argsort(np.argsort(self.ids, kind="stable"), kind="stable")
         self.blocks = dense.shape[1] // BLOCK
         self.often = np.full(len(weight), -1, np.int32)
         self.often[often] = np.arange(len(often))
         wide = np.append(norm, np.ones(dense.shape[1] - len(norm)))
-        self.dense = np.stack([np.where(t > 0, (1 + np.log(np.maximum(t, 1, dtype=np.float64))) * w / wide, 0).astype(np.float32) for t, w in zip(dense, weight[often])]) if len(often) else np.zeros(dense.shape, np.float32)
-        term = np.repeat(np.arange(len(weight)), df)
-        self.row = row.astype(np.int32)
-        self.w = ((1 + np.log(tf.astype(np.float64))) * weight[term] / norm[self.row]).astype(np.float32)
-        block = self.row // BLOCK
-        new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))[: len(term)])
+        self.dense = np.zeros(dense.shape, np.float32)
+        for to, t, w in zip(self.dense, dense, weight[often]):
+            has = np.flatnonzero(t)
+            to[has] = (1 + np.log(t[has].astype(np.float64))) * w / wide[has]
+        term = np.repeat(np.arange(len(weight), dtype=np.int32), df)
+        self.row = row
+        self.w = np.empty(len(row), np.float32)
+        for c in range(0, len(row), 1 << 19):  # a few MB at a time
+            part = slice(c, c + (1 << 19))
+            self.w[part] = (1 + np.log(tf[part].astype(np.float64))) * weight[term[part]] / norm[row[part]]
+        block = (row // BLOCK).astype(np.min_scalar_type(self.blocks))
+        new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))[: len(term)]).astype(np.int32)
         self.block = block[new]
-        self.start = np.append(new, len(term)).astype(np.int32)
+        self.start = np.append(new, np.int32(len(term)))
         self.top = np.maximum.reduceat(self.w, new) if len(new) else np.zeros(0, np.float32)
-        self.slots = np.searchsorted(term[new], np.arange(len(weight) + 1)).astype(np.int32)
+        self.slots = np.searchsorted(term[new], np.arange(len(weight) + 1, dtype=np.int32)).astype(np.int32)
 
     def __getstate__(self):
         return zlib.compress(pickle.dumps(self.packed, protocol=5), 1)
@@ -164,32 +172,33 @@ class BlockMaxIndex:
         q = np.repeat(weights, size)
         at = self.block[slot]
         bound = np.bincount(at, q * self.top[slot], self.blocks) + tops + SLACK
-        order = np.argsort(-bound, kind="stable")
-        # single precision chooses the rows that are then compared in double
+        # single precision chooses the rows that are then compared in double: first those of the best blocks, then of all that may have better
         near_i, near_s, near_r = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-        done, step = 0, 1 + k // BLOCK
-        while done < len(order):
-            take = order[done : done + step]
-            if len(near_s) > k:
-                take = take[bound[take] >= near_s.min() - SLACK]
+        least, left = -SLACK, np.ones(self.blocks, bool)
+        first = np.argpartition(-bound, FIRST)[:FIRST] if self.blocks > FIRST else np.arange(self.blocks)
+        for take in (first, None):
+            if take is None:
+                take = np.flatnonzero(left & (bound >= least))
                 if not len(take):
                     break
-            done, step = done + step, step * 12
             some = np.zeros(self.blocks, bool)
             some[take] = True
+            left[take] = False
             here = np.flatnonzero(some[at])
             s = slot[here]
-            first = self.start[s]
-            n = self.start[s + 1] - first
-            post = _spans(first, n)
+            begin = self.start[s]
+            n = self.start[s + 1] - begin
+            post = _spans(begin, n)
             sparse = np.bincount(self.row[post], np.repeat(q[here], n) * self.w[post], self.blocks * BLOCK)
-            rows = _spans(take * BLOCK, np.minimum(BLOCK, len(self.ids) - take * BLOCK))
-            add = sparse[rows]
-            near_i, near_s, near_r = np.append(near_i, rows), np.append(near_s, sums[rows] + add), np.append(near_r, add)
-            ok = (near_s > -SLACK) & (near_i != leave)
-            if len(near_s) > k + 1:
-                ok &= near_s >= np.partition(near_s, -k - 1)[-k - 1] - 2 * SLACK
-            near_i, near_s, near_r = near_i[ok], near_s[ok], near_r[ok]
+            near = (sums + sparse).reshape(-1, BLOCK)
+            x, y = np.nonzero((near >= least) & some[:, None])
+            rows = x * BLOCK + y
+            rows = rows[(rows < len(self.ids)) & (rows != leave)]
+            near_i, near_s, near_r = np.append(near_i, rows), np.append(near_s, near.ravel()[rows]), np.append(near_r, sparse[rows])
+            if len(near_s) > k:
+                least = max(least, np.partition(near_s, -k)[-k] - 2 * SLACK)
+                ok = near_s >= least
+                near_i, near_s, near_r = near_i[ok], near_s[ok], near_r[ok]
         c = np.round(wd @ self.dense[d[:, None], near_i].astype(np.float64) + near_r, 12)
         keep = np.lexsort((self.rank[near_i], -c))[:k]
         keep = keep[c[keep] > 0]

@@ -2,8 +2,9 @@
 
 A URL's tokens are its scheme, the labels of its host and their hyphenated parts, the segments of its path, the
 names and name=value pairs of its query, and its fragment, each marked with where it stands. FP-growth mines the token
-combinations that at least ``min_support`` of all labelled URLs, and ``min_count``, hold and are bad: only bad URLs and
-tokens that enough of these have can take part, so only they are mined. Of tokens that always come together in all
+combinations that bad URLs, at least ``min_support`` of all labelled ones and ``min_count``, hold: only bad URLs and
+tokens that enough of these have can take part, so only they are mined; a token that bad URLs alone have is a rule at once,
+and no combination with it can be surer. Of tokens that always come together in all
 labelled URLs the first by name stands for all, so a template of many constant tokens is one. How many labelled URLs in
 all hold a combination is counted by the index that also applies rules. Rules ``tokens -> bad`` stay when confidence,
 support and lift reach their bars and no rule with a subset of the tokens has at least the same confidence; that, too, is
@@ -103,28 +104,32 @@ def mine(examples: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     least = max(1, min_count, -int(-min_support * n // 1))
     each = rows.select("id", "m", "bad", F.explode("tokens").alias("token"))
     # tokens that enough bad URLs have; those of the same URLs have one leader
-    often = each.groupBy("token").agg(F.sum("bad").alias("b"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(2))).alias("y")).where(F.col("b") >= least)
-    lead = materialise(often.groupBy("rows", "x", "y").agg(F.min("token").alias("token")).select("token"), "tokens")
-    kept = each.join(F.broadcast(lead) if lead.count() <= SMALL else lead, "token").groupBy("id").agg(F.max("m").alias("m"), F.max("bad").alias("bad"), F.collect_list("token").alias("tokens"))
-    kept = materialise(kept, "baskets")
+    often = each.groupBy("token").agg(F.sum("bad").alias("b"), F.sum("m").alias("all"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(2))).alias("y")).where(F.col("b") >= least)
+    lead = materialise(often.groupBy("rows", "x", "y").agg(F.min("token").alias("token"), F.first("b").alias("b"), F.first("all").alias("all")).select("token", "b", "all"), "tokens")
+    # a token of bad URLs only is a rule, and nothing with more tokens is surer; the others are combined
+    alone = lead.where("b = all").select(F.array("token").alias("tokens"), "b", "all")
+    mixed = lead.where("b < all").select("token")
+    kept = each.join(F.broadcast(mixed) if lead.count() <= SMALL else mixed, "token").groupBy("id").agg(F.max("m").alias("m"), F.max("bad").alias("bad"), F.array_sort(F.collect_list("token")).alias("tokens"))
+    kept = kept.groupBy("tokens").agg(F.sum("m").alias("m"), F.sum("bad").alias("bad"))
+    kept = materialise(kept.withColumn("id", F.xxhash64("tokens")), "baskets")
     # FP-growth takes rows, so a row for each bad URL
     items = kept.where("bad > 0").select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("bad"))), "tokens").select("tokens")
     baskets = items.count()
-    if not baskets:
-        release(rows, lead, kept)
-        return spark.createDataFrame([], kind)
-    model = FPGrowth(itemsCol="tokens", minSupport=min(1.0, (least - 0.5) / baskets), minConfidence=1.0).fit(items)
-    sets = model.freqItemsets.where(F.col("freq") >= least).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("b"))
-    sets = materialise(sets.withColumn("rule_id", F.monotonically_increasing_id()), "sets")
-    held = _fired(kept, "id", sets).join(kept.select("id", "m"), "id").groupBy("rule_id").agg(F.sum("m").alias("all"))
-    sure = sets.join(held, "rule_id").select("rule_id", "tokens", (F.col("b") / F.col("all")).alias("confidence"), (F.col("b") / n).alias("support"), (F.col("b") / F.col("all") / (n_bad / n)).alias("lift"))
-    sure = materialise(sure.where((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift)), "sure")
+    counted = alone
+    if baskets:
+        model = FPGrowth(itemsCol="tokens", minSupport=min(1.0, (least - 0.5) / baskets), minConfidence=1.0).fit(items)
+        sets = model.freqItemsets.where(F.col("freq") >= least).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("b"))
+        sets = materialise(sets.withColumn("rule_id", F.monotonically_increasing_id()), "sets")
+        held = _fired(kept, "id", sets).join(kept.select("id", "m"), "id").groupBy("rule_id").agg(F.sum("m").alias("all"))
+        counted = alone.unionByName(sets.join(held, "rule_id").select("tokens", "b", "all"))
+    sure = counted.select("tokens", (F.col("b") / F.col("all")).alias("confidence"), (F.col("b") / n).alias("support"), (F.col("b") / F.col("all") / (n_bad / n)).alias("lift"))
+    sure = materialise(sure.where((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift)).withColumn("rule_id", F.monotonically_increasing_id()), "sure")
     # a rule is pruned when a more general one is as sure
     more = sure.select(F.col("rule_id").alias("big"), F.col("confidence").alias("big_confidence"), F.size("tokens").alias("size"), "tokens")
     general = _fired(more.select("big", "tokens"), "big", sure).join(more.drop("tokens"), "big").join(sure.select("rule_id", "confidence", F.size("tokens").alias("own")), "rule_id")
     pruned = general.where("own < size and confidence >= big_confidence").select(F.col("big").alias("rule_id")).distinct()
     out = materialise(sure.join(pruned, "rule_id", "left_anti").select(*[c.split()[0] for c in kind.split(", ")]), "rules")
-    release(rows, lead, kept, sets, sure)
+    release(rows, lead, kept, sure, *([sets] if baskets else []))
     return out
 
 

@@ -956,6 +956,36 @@ def test_copies_alone_and_repeated_ids(spark):
     assert got == brute_links(want) and {r[:3] for r in got} >= {(1, 1, 2), (2, 1, 2), (3, 3, 2)}
 
 
+def test_very_long_texts(spark):
+    """Texts beyond a step (1 MB) and a segment (2 MB), for all operators."""
+    rng = random.Random(41)
+    w = [rng.choice(VOCAB) for _ in range(420_000)]
+    item = " ".join(f"q{i}x" for i in range(30))
+    long = " ".join(w)
+    near = " ".join([*w[:1000], "changed", *w[1001:]])
+    end = long + " " + item + "\nReleased under the MIT License."
+    assert len(long) > 2_200_000
+    texts = [(1, long), (2, near), (3, end), (4, " ".join(w[300_000:300_400])), (5, "a short text"), *((10 + i, t + (" grmble" if y else "")) for i, t, y in toxic_corpus(40))]
+    docs = table(spark, texts)
+    labels = spark.createDataFrame([(10 + i, 1, y) for i, _, y in toxic_corpus(40)] + [(3, 1, 0)], "doc_id long, quality int, toxic int")
+    r = {x["doc_id"]: x for x in toxicity.score(docs, labels).collect()}
+    assert len(r) == len(texts) and r[3]["evidence"][0]["doc_id"] == 3 and r[3]["evidence"][0]["cosine"] > 0.999 and not r[1]["toxic"]
+    g = {x["doc_id"]: x["group_id"] for x in simhash.simhash_groups(docs).collect()}
+    assert g[1] == g[2] == 1
+    got = {(x["item_id"], x["doc_id"]): x for x in decontam.contaminated(docs, spark.createDataFrame([(7, item), (8, " ".join(w[-20:]))], "item_id long, text string")).collect()}
+    assert got[7, 3]["phrase_words"] == 30 and got[7, 3]["doc_start"] == 420_000 and {(8, 1), (8, 2), (8, 3)} <= set(got) and not {d for _, d in got} & {5}
+    x = {x["doc_id"]: x for x in langid.identify(docs).collect()}
+    assert x[1]["language"] == "en" and not x[1]["rejected"]
+    check_packing([len(regex.findall(r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]", t)) for _, t in texts], packing.pack(docs).collect(), 2048)
+    assert [(x["doc_id"], x["part"], x["license_id"]) for x in licenses.scan(docs).collect()] == [(3, "line", "MIT")]
+    x = {x["doc_id"]: x for x in fingerprints.links(fingerprints.sketches(docs)).collect()}
+    assert x[4]["containers"] >= 1 and x[4]["containment"] == 1.0 and x[4]["container"] in (1, 2, 3) and x[1]["contents"] >= 2
+    chats = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", near)], "conv_id long, turn long, role string, text string")
+    assert max(len(x["text"]) for x in chat.format_chats(chats).collect()) >= len(near)
+    pages = spark.createDataFrame([(1, "http://casino.com/" + "x" * 300_000), (2, "http://a.com/?" + "&".join(f"p{i}={i}" for i in range(3000)))], "page_id long, url string")
+    assert urls.filter_urls(pages, urls.weak_labels(pages)).count() == 2
+
+
 def test_pyarrow_column_order():
     batch = pa.RecordBatch.from_arrays([pa.array(["a", "", "bc"])], names=["t"])
     from leafmill.llm.common import steps

@@ -67,3 +67,21 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_repeated_rows_and_clashing_columns(spark, folder):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = docs.unionByName(docs.where("doc_id in (70, 71)")).unionByName(spark.createDataFrame([(None, "no id", "xx", "s", 1), (72, "", "xx", "s", 0), (73, docs.where("doc_id = 74").first()["text"], "xx", "s", 9)], DOC))
+    for c in ("t", "_t", "_id", "fp", "hi", "lo", "toxic", "score", "_lost", "_twice", "_bad", "_fp", "rep", "root", "language", "count", "id", "h", "n"):
+        docs = docs.withColumn(c, F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, folder).collect(), docs.schema)
+        assert "_fp" in docs.columns and docs.columns[:5] == [c.split()[0] for c in DOC.split(", ")], name
+    ids = [r["doc_id"] for r in docs.collect()]
+    assert None not in ids and len(ids) == len(set(ids)) and {70, 71, 72, 73} <= set(ids)
+    # of the two rows with id 73 one was judged; if that is the copy of 74, then 74 is its duplicate
+    assert docs.where("t = 'x'").count() == len(ids)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert {r["doc_id"] for r in packed.collect()} == set(ids)
