@@ -574,6 +574,30 @@ def test_language_rejects_junk_and_unseen(spark):
     assert {x["doc_id"] for x in langid.keep_identified(df.unionByName(more)).collect()} == {i for i in r if i >= 0}
 
 
+def test_language_fits_all_documents_as_sql_does(spark):
+    import duckdb
+
+    from leafmill.llm.queries import OP4
+
+    rng = random.Random(23)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 7)))
+    docs = []
+    for lang, letters, n in (("aa", "abcdefgh", 5_500), (" b ", "efghijklö", 600), ("one", "xyz", 1)):
+        many = [word(letters) for _ in range(400)]
+        docs += [(lang, " ".join(rng.choice(many) for _ in range(rng.randint(1, 12)))) for _ in range(n)]
+    docs += [("aa", word("qrstuv")) for _ in range(12)] + [(None, word("abcdijkl")) for _ in range(50)] + [("aa", None), ("aa", "12"), (" ", "hi"), ("none", "?")]
+    rng.shuffle(docs)
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(docs)], "doc_id long, text string, lang string")
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    want = {r[0]: r[1:] for r in con.sql(f"select doc_id, language, distance, margin, rejected from ({OP4})").fetchall()}
+    got = {r[0]: tuple(r[1:]) for r in langid.identify(df).collect()}
+    assert len(got) == len(docs) and got == want
+    assert {r["doc_id"] for r in langid.keep_identified(df).collect()} == {i for i, r in want.items() if not r[3]}
+    own = sorted(rng.choice([0.25, 0.5, rng.random() * 0.7]) for _ in range(2_345))
+    assert langid._quantiles(spark.createDataFrame([("aa", v) for v in own] + [("aa", None)], "lang string, own double"), ["aa", "zz"]) == {"aa": own[math.ceil(2_345 * 999 / 1000) - 1] + langid.MARGIN, "zz": langid.REJECT}
+
+
 # --- 5 warc
 
 
