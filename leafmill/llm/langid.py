@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import fresh, materialise, release, steps
+from leafmill.llm.common import judged, materialise, release, steps
 
 PROFILE = 300
 REJECT = 0.8
@@ -236,14 +236,14 @@ def identify(docs: DataFrame, size: int = PROFILE, reject: float | None = None,
     if not found:
         return d.select("doc_id", F.lit(None).cast("string").alias("language"), F.lit(1.0).alias("distance"), F.lit(0.0).alias("margin"), F.lit(True).alias("rejected"))
     langs, table = rank_table(found, size)
-    judged = d.mapInArrow(_identify(langs, table, size), OUT)
+    near = d.mapInArrow(_identify(langs, table, size), OUT)
     if reject is None:  # distances serve the bars and the answer
-        judged = materialise(judged, "distances")
-        bar = _quantiles(judged.select("lang", "own"), langs)
+        near = materialise(near, "distances")
+        bar = _quantiles(near.select("lang", "own"), langs)
     else:
         bar = dict.fromkeys(langs, float(reject))
     bar = F.create_map(*[F.lit(x) for item in bar.items() for x in item])
-    return judged.select("doc_id", "language", "distance", "margin", (F.col("language").isNull() | (F.col("distance") > bar[F.col("language")])).alias("rejected"))
+    return near.select("doc_id", "language", "distance", "margin", (F.col("language").isNull() | (F.col("distance") > bar[F.col("language")])).alias("rejected"))
 
 
 def keep_identified(docs: DataFrame, size: int = PROFILE, reject: float | None = None) -> DataFrame:
@@ -254,16 +254,9 @@ def keep_identified(docs: DataFrame, size: int = PROFILE, reject: float | None =
     given = bars(docs, found, size) if reject is None else dict.fromkeys(found, reject)
     langs, table = rank_table(found, size)
     bar = np.array([given[k] for k in langs])
-    names = docs.columns
 
-    def run(batches):
-        for batch in batches:
-            if len(batch):
-                part = pa.RecordBatch.from_arrays([batch.column(0)], names=["t"])
-                good = []
-                for _, _, data, offs in steps(part, "t"):
-                    none, best, dist, _ = _nearest(distances(data, offs, table, size))
-                    good.append(~none & (dist <= bar[best]))
-                yield pa.RecordBatch.from_arrays(batch.columns[1:], names=names).filter(pa.array(np.concatenate(good)))
-
-    return docs.where("doc_id is not null").select(letters(F.col("text")).alias(fresh(docs, "_t")[0]), *[F.col(f"`{c}`") for c in names]).mapInArrow(run, docs.schema)
+    def good(data, offs):
+        none, best, dist, _ = _nearest(distances(data, offs, table, size))
+        return ~none & (dist <= bar[best])
+
+    return docs.where("doc_id is not null").where(judged(lambda: good, letters(F.col("text"))))

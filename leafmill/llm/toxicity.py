@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import fresh, materialise, release, steps, words, words_text
+from leafmill.llm.common import judged, materialise, release, steps, words, words_text
 
 BLOCK = 128
 LEADERS = 32
@@ -256,33 +256,27 @@ class Model:
         return np.where(votes < 0, self.base, np.interp(votes, *self.knots))
 
 
-def _picked(vocab):
-    """(doc_id, toxic, terms as positions in ``vocab``, tf)."""
-
-    def run(batches):
-        known = vocab.value
-        for batch in batches:
-            cols = []
-            terms, tf = batch.column(2), batch.column(3)
-            h = terms.flatten().to_numpy().view(np.uint64)
-            begin = terms.offsets.to_numpy() - terms.offsets[0].as_py()
-            at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-            ok = known[at] == h if len(known) else np.zeros(len(h), bool)
-            bounds = pa.array(np.append(0, np.cumsum(ok))[begin].astype(np.int32))
-            # terms are sorted by hash, and so are the positions
-            cols = [batch.column(0), batch.column(1), pa.ListArray.from_arrays(bounds, pa.array(at[ok].astype(np.int32))), pa.ListArray.from_arrays(bounds, pa.array(tf.flatten().to_numpy()[ok]))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "toxic", "terms", "tf"])
-
-    return run
+def _picked(known, batches):
+    """(doc_id, toxic, terms as positions in the sorted ``known``, tf)."""
+    for batch in batches:
+        terms, tf = batch.column(2), batch.column(3)
+        h = terms.flatten().to_numpy().view(np.uint64)
+        begin = terms.offsets.to_numpy() - terms.offsets[0].as_py()
+        at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+        ok = known[at] == h if len(known) else np.zeros(len(h), bool)
+        bounds = pa.array(np.append(0, np.cumsum(ok))[begin].astype(np.int32))
+        # terms are sorted by hash, and so are the positions
+        cols = [batch.column(0), batch.column(1), pa.ListArray.from_arrays(bounds, pa.array(at[ok].astype(np.int32))), pa.ListArray.from_arrays(bounds, pa.array(tf.flatten().to_numpy()[ok]))]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "toxic", "terms", "tf"])
 
 
 def _own_votes(shared):
-    """(toxic, leave-one-out vote) of each example."""
+    """(toxic, leave-one-out vote) of each example. Terms are picked here too: one Python function after another would hold two workers a task."""
 
     def run(batches):
         m = shared.value
         place = {int(i): p for p, i in enumerate(m.index.ids)}
-        for batch in batches:
+        for batch in _picked(m.vocab, batches):
             ids = batch.column(0).to_pylist()
             q = [m.vector(np.asarray(t, np.int64), f) for t, f in zip(*(batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3)))]
             found = m.index.search(q, m.k, [place[i] for i in ids])
@@ -308,8 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, mi
     terms = df.toPandas().sort_values("h", key=lambda h: h.to_numpy(np.int64).view(np.uint64))
     h = terms["h"].to_numpy(np.int64).view(np.uint64)
     vocab = sc.broadcast(h)
-    got = rows.mapInArrow(_picked(vocab), "doc_id long, toxic int, terms array<int>, tf array<int>")
-    t = got.toArrow()
+    t = rows.mapInArrow(lambda batches: _picked(vocab.value, batches), "doc_id long, toxic int, terms array<int>, tf array<int>").toArrow()
     join = lambda xs: np.concatenate([np.zeros(0, np.int32), *xs])
     size = join([np.diff(x.offsets.to_numpy()) for x in t["terms"].chunks])
     flat = [join([x.flatten().to_numpy() for x in t[c].chunks]) for c in ("terms", "tf")]
@@ -319,7 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, mi
     m.shared = None
     shared = sc.broadcast(m)
     if m.usable:
-        votes = got.mapInArrow(_own_votes(shared), "toxic int, vote double").toPandas()
+        votes = rows.mapInArrow(_own_votes(shared), "toxic int, vote double").toPandas()
         m.calibrate(votes["vote"].to_numpy(), votes["toxic"].to_numpy(np.float64))
     m.index, m.vocab, m.weight, m.shared = None, None, None, shared  # the driver keeps what is small
     vocab.destroy()
@@ -382,14 +375,9 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, mode
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **fitting) -> DataFrame:
     """``docs`` without the rows whose score reaches ``threshold``; each row is judged by its own text."""
     fitted = fit(docs, labels, **fitting)
-    names = docs.columns
 
-    def run(batches):
+    def prepare():
         m = _complete(fitted)
-        for batch in batches:
-            if len(batch):
-                part = pa.RecordBatch.from_arrays([batch.column(0)], names=["t"])
-                s = np.concatenate([_score_rows(m, data, offs)[0] for _, _, data, offs in steps(part, "t")])
-                yield pa.RecordBatch.from_arrays(batch.columns[1:], names=names).filter(pa.array(s < threshold))
+        return lambda data, offs: _score_rows(m, data, offs)[0] < threshold
 
-    return docs.select(words_text(F.col("text")).alias(fresh(docs, "_t")[0]), *[F.col(f"`{c}`") for c in names]).mapInArrow(run, docs.schema)
+    return docs.where(judged(prepare, words_text(F.col("text"))))

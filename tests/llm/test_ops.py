@@ -208,6 +208,30 @@ def test_toxicity_awkward(spark):
     assert toxicity.score(docs.where("false"), some).count() == 0
 
 
+def test_toxicity_holds_one_worker_a_task(spark, monkeypatch):
+    rows = toxic_corpus(80)
+    docs = table(spark, [(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    seen = []
+    plan = lambda df: seen.append(len(re.findall("MapInArrow|EvalPython", df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])))
+    for name in ("toPandas", "toArrow"):
+        monkeypatch.setattr(type(docs), name, lambda df, old=getattr(type(docs), name): (plan(df), old(df))[1])
+    kept = toxicity.drop_toxic(docs, labels)
+    plan(kept)
+    assert len(seen) >= 4 and max(seen) == 1, seen
+    assert 0 < kept.count() < 80
+
+
+def test_dropping_sends_only_judged_text_to_python(spark):
+    rows = toxic_corpus(80)
+    docs = table(spark, [(i, t) for i, t, _ in rows], extra=True)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    for kept in (toxicity.drop_toxic(docs, labels), langid.keep_identified(docs)):
+        text = kept._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in text and re.search(r"EvalPython \[run\([^,]*text#\d+", text), text
+        assert kept.schema == docs.schema and 0 < kept.count() <= 80
+
+
 # --- 2 simhash
 
 
