@@ -5,11 +5,10 @@ at least ``min_df`` examples have. A term weighs (1 + ln tf) * idf * rf in a tex
 the examples, and rf = log2(2 + toxic df / clean df) is its relevance frequency, between 1 and 1 + log2 of the
 toxic examples: no term is dropped, but words that toxic examples have more often count more. Vectors have length one.
 
-Postings lie in blocks of ``BLOCK`` examples, laid out by the leader (one of ``LEADERS`` examples) most like them, so a
-block's examples are alike; each term has its largest weight in each of its blocks. The ``DENSE`` most frequent terms
-have full lists, which are multiplied for many texts at once. Weights of examples are single, sums double precision. A block's bound is the best of its dense sums and the
-other terms' largest weights; the blocks with the best bounds are read first, then those whose bounds reach the k-th best
-cosine found there, so the k nearest are exact; equal cosines go by smaller doc_id. Votes weigh 1 / (1 - cosine + 0.1); isotonic regression
+The ``DENSE`` most frequent terms have full lists, which are multiplied for many texts at once; of the other terms a text has,
+all postings are added up. Weights of examples are single, sums double precision. The k-th best of the largest sums of
+blocks of ``BLOCK`` examples bounds the k-th best cosine from below, and all examples that reach it are compared in double
+precision, so the k nearest are exact; equal cosines go by smaller doc_id. Votes weigh 1 / (1 - cosine + 0.1); isotonic regression
 of the examples' own leave-one-out votes turns votes into scores.
 
 Defined results: a document without any term, so also one with null or empty text, scores the rate of toxic
@@ -31,9 +30,8 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import judged, materialise, release, steps, words, words_text
 
 BLOCK = 128
-LEADERS = 32
-#: Blocks that are read first.
-FIRST = 3
+#: Postings that are prepared together, a few MB.
+CHUNK = 1 << 19
 DENSE = 512
 #: Texts whose dense sums are made together.
 TOGETHER = 128
@@ -63,45 +61,52 @@ def _terms(batches):
             )
 
 
-def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each range, one after the other."""
-    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
-
-
 class BlockMaxIndex:
-    """Postings of unit vectors by term and block, with each term's largest weight in each of its blocks.
+    """Postings of unit vectors by term; the largest sums of blocks of vectors tell which vectors can be near.
 
     ``row``, ``term``, ``tf``: the vectors' entries; ``weight``: a term's weight; ``ids`` and ``toxic``: a row's document and
-    label. Counts instead of weights are sent and stored, a tenth of the size, and weights made where the index is used.
+    label. Counts instead of weights are sent and stored, a tenth of the size, and weights made where the index is used:
+    what is made here can be pickled, and only what is unpickled can be searched, as the driver has no room for both.
     """
 
     def __init__(self, ids: np.ndarray, toxic: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray, weight: np.ndarray):
         n = len(ids)
-        w = ((1 + np.log(tf.astype(np.float64))) * weight[term]).astype(np.float32)
-        norm = np.sqrt(np.bincount(row, w.astype(np.float64) ** 2, n))
-        norm[norm == 0] = 1
-        order = self._layout(n, ids, row, term, w / norm[row], len(weight))
-        del w
+        order = np.argsort(ids, kind="stable")
         to = np.empty(n, np.int32)
         to[order] = np.arange(n)
-        row = to[row]
-        df = np.bincount(term, minlength=len(weight))
+        tf = tf.astype(np.min_scalar_type(int(tf.max(initial=0))))
+        parts = [slice(c, c + CHUNK) for c in range(0, len(row), CHUNK)]
+        df, norm = np.zeros(len(weight), np.int64), np.zeros(n)
+        for x in parts:
+            df += np.bincount(term[x], minlength=len(weight))
+            w = ((1 + np.log(tf[x].astype(np.float64))) * weight[term[x]]).astype(np.float32)
+            norm += np.bincount(row[x], w.astype(np.float64) ** 2, n)
+        norm = np.sqrt(norm)
+        norm[norm == 0] = 1
         often = np.sort(np.argsort(-df, kind="stable")[:DENSE])
         place = np.full(len(weight), -1, np.int32)
         place[often] = np.arange(len(often))
-        tf = tf.astype(np.min_scalar_type(int(tf.max(initial=0))))
         dense = np.zeros((len(often), -(-max(n, 1) // BLOCK) * BLOCK), tf.dtype)
-        full = place[term] >= 0
-        dense[place[term[full]], row[full]] = tf[full]
         df[often] = 0
-        row, term, tf = row[~full], term[~full].astype(np.int64), tf[~full]
-        s = np.argsort(term * n + row, kind="stable")
-        self.packed = ids[order], toxic[order], norm[order], weight, often, dense, df.astype(np.int32), row[s].astype(np.min_scalar_type(n)), tf[s]
-        self._build(*self.packed)
+        # each part's postings go behind those of the parts before, term by term
+        fill = np.cumsum(df) - df
+        rows, tfs = np.empty(int(df.sum()), np.min_scalar_type(n)), np.empty(int(df.sum()), tf.dtype)
+        for x in parts:
+            r, t, f = to[row[x]], term[x].astype(np.int64), tf[x]
+            full = place[t] >= 0
+            dense[place[t[full]], r[full]] = f[full]
+            s = np.flatnonzero(~full)
+            s = s[np.argsort(t[s] * n + r[s])]
+            t = t[s]
+            new = np.flatnonzero(np.append(True, t[1:] != t[:-1])[: len(t)])
+            size = np.diff(np.append(new, len(t)))
+            at = np.arange(len(t)) + np.repeat(fill[t[new]] - new, size)
+            rows[at], tfs[at] = r[s], f[s]
+            fill[t[new]] += size
+        self.packed = ids[order], toxic[order], norm[order], weight, often, dense, df.astype(np.int32), rows, tfs
 
     def _build(self, *packed) -> None:
         self.ids, self.toxic, norm, weight, often, dense, df, row, tf = packed
-        self.rank = np.argsort(np.argsort(self.ids, kind="stable"), kind="stable")
         self.blocks = dense.shape[1] // BLOCK
         self.often = np.full(len(weight), -1, np.int32)
         self.often[often] = np.arange(len(often))
@@ -111,17 +116,13 @@ class BlockMaxIndex:
             has = np.flatnonzero(t)
             to[has] = (1 + np.log(t[has].astype(np.float64))) * w / wide[has]
         term = np.repeat(np.arange(len(weight), dtype=np.int32), df)
-        self.row = row
-        self.w = np.empty(len(row), np.float32)
-        for c in range(0, len(row), 1 << 19):  # a few MB at a time
-            part = slice(c, c + (1 << 19))
-            self.w[part] = (1 + np.log(tf[part].astype(np.float64))) * weight[term[part]] / norm[row[part]]
-        block = (row // BLOCK).astype(np.min_scalar_type(self.blocks))
-        new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))[: len(term)]).astype(np.int32)
-        self.block = block[new]
-        self.start = np.append(new, np.int32(len(term)))
-        self.top = np.maximum.reduceat(self.w, new) if len(new) else np.zeros(0, np.float32)
-        self.slots = np.searchsorted(term[new], np.arange(len(weight) + 1, dtype=np.int32)).astype(np.int32)
+        # row and weight side by side, so that a term's postings are one stretch of memory
+        self.post = np.empty((len(row), 2), np.float32)
+        self.post.view(np.uint32)[:, 0] = row
+        for c in range(0, len(row), CHUNK):
+            part = slice(c, c + CHUNK)
+            self.post[part, 1] = (1 + np.log(tf[part].astype(np.float64))) * weight[term[part]] / norm[row[part]]
+        self.start = np.append(0, np.cumsum(df, dtype=np.int32))
 
     def __getstate__(self):
         return zlib.compress(pickle.dumps(self.packed, protocol=5), 1)
@@ -129,25 +130,6 @@ class BlockMaxIndex:
     def __setstate__(self, state):
         self._build(*pickle.loads(zlib.decompress(state)))  # noqa: S301
 
-    @staticmethod
-    def _layout(n, ids, row, term, w, n_terms) -> np.ndarray:
-        """Rows by leader and likeness to it."""
-        by_id = np.argsort(ids, kind="stable")
-        if n <= BLOCK:
-            return by_id
-        best, mine = np.full(n, -1.0), np.zeros(n, np.int64)
-        for k in range(LEADERS):
-            own = row == by_id[k * n // LEADERS]
-            lead = np.zeros(n_terms)
-            lead[term[own]] = w[own]
-            like = np.zeros(n)
-            for c in range(0, len(row), 1 << 20):  # a few MB at a time
-                part = slice(c, c + (1 << 20))
-                like += np.bincount(row[part], lead[term[part]] * w[part], n)
-            up = like > best
-            best[up], mine[up] = like[up], k
-        return np.lexsort((ids, -np.round(best, 9), mine))
-
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, leave: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Positions and cosines of the k nearest, with a cosine above 0, of each (terms, weights); ``leave`` are positions to pass over."""
         out = []
@@ -158,49 +140,30 @@ class BlockMaxIndex:
                 d = self.often[t]
                 q[i, d[d >= 0]] = w[d >= 0]
             sums = q @ self.dense
-            tops = sums.reshape(len(part), -1, BLOCK).max(2)
             for i, (t, w) in enumerate(part):
-                out.append(self._nearest(sums[i], tops[i], t, w, k, -1 if leave is None else leave[a + i]))
+                out.append(self._nearest(sums[i], t, w, k, -1 if leave is None else leave[a + i]))
         return out
 
-    def _nearest(self, sums, tops, terms, weights, k, leave):
+    def _nearest(self, sums, terms, weights, k, leave):
         d = self.often[terms]
         full, rest = d >= 0, d < 0
         d, wd, terms, weights = d[full], weights[full], terms[rest], weights[rest]
-        a, size = self.slots[terms], self.slots[terms + 1] - self.slots[terms]
-        slot = _spans(a, size)
-        q = np.repeat(weights, size)
-        at = self.block[slot]
-        bound = np.bincount(at, q * self.top[slot], self.blocks) + tops + SLACK
-        # single precision chooses the rows that are then compared in double: first those of the best blocks, then of all that may have better
-        near_i, near_s, near_r = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-        least, left = -SLACK, np.ones(self.blocks, bool)
-        first = np.argpartition(-bound, FIRST)[:FIRST] if self.blocks > FIRST else np.arange(self.blocks)
-        for take in (first, None):
-            if take is None:
-                take = np.flatnonzero(left & (bound >= least))
-                if not len(take):
-                    break
-            some = np.zeros(self.blocks, bool)
-            some[take] = True
-            left[take] = False
-            here = np.flatnonzero(some[at])
-            s = slot[here]
-            begin = self.start[s]
-            n = self.start[s + 1] - begin
-            post = _spans(begin, n)
-            sparse = np.bincount(self.row[post], np.repeat(q[here], n) * self.w[post], self.blocks * BLOCK)
-            near = (sums + sparse).reshape(-1, BLOCK)
-            x, y = np.nonzero((near >= least) & some[:, None])
-            rows = x * BLOCK + y
-            rows = rows[(rows < len(self.ids)) & (rows != leave)]
-            near_i, near_s, near_r = np.append(near_i, rows), np.append(near_s, near.ravel()[rows]), np.append(near_r, sparse[rows])
-            if len(near_s) > k:
-                least = max(least, np.partition(near_s, -k)[-k] - 2 * SLACK)
-                ok = near_s >= least
-                near_i, near_s, near_r = near_i[ok], near_s[ok], near_r[ok]
-        c = np.round(wd @ self.dense[d[:, None], near_i].astype(np.float64) + near_r, 12)
-        keep = np.lexsort((self.rank[near_i], -c))[:k]
+        start, end = self.start[terms], self.start[terms + 1]
+        post = np.concatenate([self.post[:0], *[self.post[a:b] for a, b in zip(start.tolist(), end.tolist())]])
+        sparse = np.bincount(post.view(np.uint32)[:, 0], np.repeat(weights, end - start) * post[:, 1], self.blocks * BLOCK)
+        # single precision chooses the rows that are then compared in double
+        near = sums + sparse
+        near[len(self.ids) :] = -1
+        if leave >= 0:
+            near[leave] = -1
+        # k blocks have a row as good as the k-th best of their largest sums
+        tops = near.reshape(-1, BLOCK).max(1) if k <= self.blocks else near
+        least = max(-SLACK, np.partition(tops, -k)[-k] - 2 * SLACK) if k <= len(tops) else -SLACK
+        near_i = np.flatnonzero(near >= least)
+        if len(near_i) > k:
+            near_i = near_i[near[near_i] >= np.partition(near[near_i], -k)[-k] - 2 * SLACK]
+        c = np.round(wd @ self.dense[d[:, None], near_i].astype(np.float64) + sparse[near_i], 12)
+        keep = np.lexsort((near_i, -c))[:k]
         keep = keep[c[keep] > 0]
         return near_i[keep], c[keep]
 

@@ -7,6 +7,7 @@ import math
 import pickle
 import random
 import re
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
@@ -232,6 +233,24 @@ def test_dropping_sends_only_judged_text_to_python(spark):
         assert kept.schema == docs.schema and 0 < kept.count() <= 80
 
 
+def posting_corpus(n, terms, each, seed=5):
+    """(ids, toxic, row, term, tf, weight) of n vectors of distinct terms, few of them frequent."""
+    rng = np.random.default_rng(seed)
+    term = np.concatenate([np.unique((terms * rng.random(each) ** 3).astype(np.int32)) for _ in range(n)])
+    size = np.diff(np.append(np.flatnonzero(np.append(True, term[1:] <= term[:-1])), len(term)))
+    return rng.permutation(n), rng.integers(0, 2, n), np.repeat(np.arange(n, dtype=np.int32), size), term, rng.integers(1, 4, len(term)).astype(np.int32), rng.uniform(0.5, 5, terms)
+
+
+def test_toxicity_index_is_made_in_little_memory():
+    corpus = posting_corpus(8000, 60_000, 250)
+    tracemalloc.start()
+    index = toxicity.BlockMaxIndex(*corpus)
+    sent = pickle.dumps(index)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(sent) < 4 * len(corpus[2]) and peak < 30 * len(corpus[2]), peak / len(corpus[2])
+
+
 # --- 2 simhash
 
 
