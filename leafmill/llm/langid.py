@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import judged, materialise, release, steps
+from leafmill.llm.common import judged, materialise, release, small_batches, steps
 
 PROFILE = 300
 REJECT = 0.8
@@ -30,6 +30,8 @@ QUANTILE = 0.999
 MARGIN = 0.05
 #: Ranges of distances that are counted before the values in one of them.
 BINS = 4096
+#: Bytes of text that are counted or compared together; what that takes for a while is some fifty times as much.
+STEP = 1 << 18
 
 
 def letters(col):
@@ -98,13 +100,14 @@ def _count(batches):
     for batch in batches:
         langs = batch.column(1).dictionary_encode()
         own = langs.indices.to_numpy()
-        for lo, hi, data, offs in steps(batch, "t"):
+        for lo, hi, data, offs in steps(batch, "t", STEP):
             lang, gram, n = grams(data, offs, own[lo:hi])
             yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang)), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
     """(t, lang) of the documents that carry a language."""
+    small_batches(docs.sparkSession)
     return docs.where("doc_id is not null and trim(lang) <> ''").select(letters(F.col("text")).alias("t"), "lang")
 
 
@@ -188,7 +191,7 @@ def bars(docs: DataFrame, found: dict[str, np.ndarray], size: int = PROFILE) ->
     def run(batches):
         for batch in batches:
             given = batch.column(1)
-            for lo, hi, data, offs in steps(batch, "t"):
+            for lo, hi, data, offs in steps(batch, "t", STEP):
                 yield pa.RecordBatch.from_arrays([given[lo:hi], _own(distances(data, offs, table, size), langs, given[lo:hi].to_pylist())], names=["lang", "own"])
 
     own = materialise(_labelled(docs).mapInArrow(run, "lang string, own double"), "distances")
@@ -214,7 +217,7 @@ def _identify(langs, table, size):
     def run(batches):
         for batch in batches:
             ids, given = batch.column(0), batch.column(2)
-            for lo, hi, data, offs in steps(batch, "t"):
+            for lo, hi, data, offs in steps(batch, "t", STEP):
                 d = distances(data, offs, table, size)
                 none, best, dist, margin = _nearest(d)
                 yield pa.RecordBatch.from_arrays(
@@ -230,6 +233,7 @@ OUT = "doc_id long, language string, distance double, margin double, lang string
 
 def identify(docs: DataFrame, size: int = PROFILE, reject: float | None = None, found: dict | None = None) -> DataFrame:
     """(doc_id, language, distance, margin to the second, rejected), a row for each row with a doc_id."""
+    small_batches(docs.sparkSession)
     found = profiles(docs, size) if found is None else found
     carried = F.col("lang") if reject is None else F.lit(None).cast("string")
     d = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), letters(F.col("text")).alias("t"), F.when(F.trim(carried) != "", carried).alias("lang"))
@@ -259,4 +263,4 @@ def keep_identified(docs: DataFrame, size: int = PROFILE, reject: float | None =
         none, best, dist, _ = _nearest(distances(data, offs, table, size))
         return ~none & (dist <= bar[best])
 
-    return docs.where("doc_id is not null").where(judged(lambda: good, letters(F.col("text"))))
+    return docs.where("doc_id is not null").where(judged(lambda: good, letters(F.col("text")), STEP))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import judged, materialise, release, steps, words, words_text
+from leafmill.llm.common import judged, materialise, release, small_batches, steps, words, words_text
 
 BLOCK = 128
 #: Postings that are prepared together, a few MB.
@@ -250,6 +250,7 @@ def _own_votes(shared):
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, min_df: int = MIN_DF, k: int = NEIGHBOURS) -> Model:
     """Fit on labelled documents. The examples and their terms reach the driver: bounded by ``max_examples``, whatever the size of ``docs``."""
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     lab = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = lab.count()
@@ -330,6 +331,7 @@ def _score(fitted, threshold):
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, model: Model | None = None, **fitting) -> DataFrame:
     """(doc_id, score, toxic, evidence: nearest labelled documents and their cosines)."""
+    small_batches(docs.sparkSession)
     model = model or fit(docs, labels, **fitting)
     d = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words_text(F.col("text")).alias("t"))
     return d.mapInArrow(_score(model, threshold), "doc_id long, score double, toxic boolean, evidence array<struct<doc_id: long, cosine: double>>")

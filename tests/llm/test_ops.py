@@ -17,7 +17,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from leafmill.llm import chat, decontam, fingerprints, langid, licenses, packing, simhash, toxicity, urls, warc
+from leafmill.llm import chat, common, decontam, fingerprints, langid, licenses, packing, simhash, toxicity, urls, warc
 from leafmill.llm.common import materialise, release, word_hash, words
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -251,6 +251,36 @@ def test_toxicity_index_is_made_in_little_memory():
     assert len(sent) < 4 * len(corpus[2]) and peak < 30 * len(corpus[2]), peak / len(corpus[2])
 
 
+def test_texts_go_to_python_in_small_batches(spark):
+    key = common.BATCH_CONF
+    old = spark.conf.get(key, None)
+    text = " ".join(VOCAB[:200])
+    docs = table(spark, [(i, text) for i in range(9_000)]).coalesce(1)
+    most = lambda: max(r["n"] for r in docs.select("text").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in bs), "n long").collect())
+    try:
+        for use in (lambda: langid.keep_identified(docs), lambda: toxicity.fit(docs, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))):
+            spark.conf.unset(key)
+            assert most() > 1.5 * common.BATCH_BYTES
+            use()
+            assert most() <= 1.1 * common.BATCH_BYTES
+        spark.conf.set(key, "12345678")  # the session's own limit stays
+        langid.keep_identified(docs)
+        assert spark.conf.get(key) == "12345678"
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
+def test_language_counts_in_little_memory():
+    rng = random.Random(8)
+    batch = pa.RecordBatch.from_arrays([pa.array([" " + sentence(rng, 300, VOCAB).lower() + " " for _ in range(1500)]), pa.array(["xx"] * 1500)], names=["t", "lang"])
+    tracemalloc.start()
+    for _ in langid._count([batch]):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 2 << 20 and peak < 24 << 20, peak
+
+
 # --- 2 simhash
 
 
