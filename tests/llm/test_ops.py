@@ -270,6 +270,32 @@ def test_texts_go_to_python_in_small_batches(spark):
         spark.conf.unset(key) if old is None else spark.conf.set(key, old)
 
 
+def test_texts_are_read_in_small_vectors(spark, tmp_path):
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    old = {k: spark.conf.get(k, None) for k in (common.BATCH_CONF, key)}
+    table(spark, [(i, "some text here") for i in range(2000)]).coalesce(1).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+
+    def vectors():
+        plan = docs.select("text")._jdf.queryExecution().executedPlan()
+        assert plan.executeCollect() and plan.child().nodeName() == "ColumnarToRow"
+        return plan.child().metrics().apply("numInputBatches").value()
+
+    try:
+        for use in (lambda: langid.identify(docs), lambda: langid.keep_identified(docs), lambda: toxicity.drop_toxic(docs, labels), lambda: toxicity.score(docs, labels)):
+            spark.conf.unset(key)
+            assert vectors() == 1
+            use()
+            assert vectors() >= 2000 / 256
+        spark.conf.set(key, "1000")  # the session's own limit stays
+        langid.keep_identified(docs)
+        assert vectors() == 2
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_language_counts_in_little_memory():
     rng = random.Random(8)
     batch = pa.RecordBatch.from_arrays([pa.array([" " + sentence(rng, 300, VOCAB).lower() + " " for _ in range(1500)]), pa.array(["xx"] * 1500)], names=["t", "lang"])
