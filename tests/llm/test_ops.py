@@ -270,6 +270,23 @@ def test_texts_go_to_python_in_small_batches(spark):
         spark.conf.unset(key) if old is None else spark.conf.set(key, old)
 
 
+def test_pipeline_stages_send_a_megabyte_at_a_time(spark):
+    key = common.BATCH_CONF
+    old = spark.conf.get(key, None)
+    docs = table(spark, [(i, " ".join(VOCAB[:200])) for i in range(9_000)]).coalesce(1)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    sizes = lambda: [r["n"] for r in docs.select("text").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in bs), "n long").collect()]
+    try:
+        for use in (lambda: langid.keep_identified(docs), lambda: toxicity.drop_toxic(docs, labels)):
+            spark.conf.unset(key)
+            whole = sum(sizes())
+            assert whole > 6 << 20
+            use()
+            assert max(sizes()) <= 1.1 * (1 << 20) and abs(sum(sizes()) - whole) < 0.02 * whole
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
 def test_texts_are_read_in_small_vectors(spark, tmp_path):
     key = "spark.sql.parquet.columnarReaderBatchSize"
     old = {k: spark.conf.get(k, None) for k in (common.BATCH_CONF, key)}
