@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import materialise, release, steps, words, words_text
+from leafmill.llm.common import materialise, release, small_batches, steps, words, words_text
 
 K = 5
 KEEP = 1
@@ -98,6 +98,7 @@ def _sketch(k: int, keep: int):
 
 def sketches(docs: DataFrame, k: int = K, keep: int = KEEP) -> DataFrame:
     """(doc_id, sketch: sorted kept hashes), a row for each row with a doc_id."""
+    small_batches(docs.sparkSession)
     d = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words_text(F.col("text")).alias("t"))
     return d.mapInArrow(_sketch(k, keep), "doc_id long, sketch array<long>")
 

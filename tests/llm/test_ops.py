@@ -1096,6 +1096,23 @@ def test_copies_alone_and_repeated_ids(spark):
     assert got == brute_links(want) and {r[:3] for r in got} >= {(1, 1, 2), (2, 1, 2), (3, 3, 2)}
 
 
+def test_sketches_take_small_batches(spark):
+    old = {k: spark.conf.get(k, None) for k in (common.BATCH_CONF, common.READ_CONF)}
+    text = " ".join(VOCAB[:100])
+    docs = table(spark, [(i, text) for i in range(5_000)]).coalesce(1)
+    sizes = lambda: [r["n"] for r in docs.select("text").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in bs), "n long").collect()]
+    try:
+        for k in old:
+            spark.conf.unset(k)
+        assert max(sizes()) > 2 * common.BATCH_BYTES
+        rows = fingerprints.sketches(docs).collect()
+        assert max(sizes()) <= 1.1 * common.BATCH_BYTES and spark.conf.get(common.READ_CONF) == str(common.READ_ROWS)
+        assert {r["doc_id"] for r in rows} == set(range(5_000)) and {tuple(r["sketch"]) for r in rows} == {tuple(brute_sketch(text))}
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_very_long_texts(spark):
     """Texts beyond a step (1 MB) and a segment (2 MB), for all operators."""
     rng = random.Random(41)
