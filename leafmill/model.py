@@ -58,6 +58,16 @@ def empty_map(kind: str) -> Column:
     return F.create_map().cast(kind)
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns`` added or replaced, each computed once a row.
+
+    Spark puts a column's expression in every place that uses it, in a lambda once an element; a generator of one row keeps it apart.
+    """
+    order = [*df.columns, *(c for c in columns if c not in df.columns)]
+    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*[c for c in df.columns if c not in columns], made).select(*order)
+
+
 def as_records(df: DataFrame, values: dict[str, Column], doc_id: str = "doc_id", record_ix: str | None = "record_ix", carry: tuple[str, ...] = ()) -> DataFrame:
     """RECORD rows from ordinary columns: ``values`` gives each field's tagged value; columns to ``carry`` stay, such as the text."""
     m = F.map_from_arrays(F.array(*[F.lit(k) for k in values]), F.array(*values.values())).cast(f"map<string,{VALUE}>")

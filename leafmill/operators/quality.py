@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.coercion import as_double, coerced, is_absent, is_missing
 from leafmill.functions.numbers import value_in_text
-from leafmill.functions.text import contains_word, evidence_snippet, normalize_span, normalize_value, snippet, strip
-from leafmill.model import PROVENANCE, VALUE, in_order
+from leafmill.functions.text import bind, contains_word, evidence_snippet, normalize_span, normalize_value, snippet, strip
+from leafmill.model import PROVENANCE, VALUE, in_order, settled
 from leafmill.operators.extract import dedup_records, prompt_key
 from leafmill.schema import FieldSpec, TargetSchema
 
@@ -189,11 +189,10 @@ def mismatched(name: str) -> Column:
 
 def raw_confidence(v: Column, spec: FieldSpec, text: Column) -> Column:
     """struct(score, reason) of one value against the document's text."""
-    x = v[spec.name]
-    rank = F.when(is_missing(x), 0).when(coerced(x, spec).isNull(), 1).when(~value_in_text(x["s"], text), 2).otherwise(3)
+    rank = bind(v[spec.name], lambda x: F.when(is_missing(x), 0).when(coerced(x, spec).isNull(), 1).when(~value_in_text(x["s"], text), 2).otherwise(3))
     levels = F.array(*[F.lit(s) for s in (MISSING, MISFIT, UNGROUNDED, GROUNDED)])
     reasons = F.array(F.lit("missing"), F.lit("type_mismatch"), F.lit("ungrounded"), F.lit(None).cast("string"))
-    return F.struct(F.get(levels, rank).alias("score"), F.get(reasons, rank).alias("reason"))
+    return bind(rank, lambda r: F.struct(F.get(levels, r).alias("score"), F.get(reasons, r).alias("reason")))
 
 
 def score_confidence(records: DataFrame, schema: TargetSchema, text: str = "text", threshold=0.5, calibration=None) -> DataFrame:
@@ -203,9 +202,8 @@ def score_confidence(records: DataFrame, schema: TargetSchema, text: str = "text
     """
     calib = F.create_map(*[F.lit(float(x)) for kv in (calibration or {}).items() for x in (round(kv[0], 3), kv[1])]) if calibration else None
     made = []
-    out = records
+    out = settled(records, **{f"_raw{i}": raw_confidence(F.col("values"), s, F.col(text)) for i, s in enumerate(schema.fields)}) if schema.fields else records
     for i, s in enumerate(schema.fields):
-        out = out.withColumn(f"_raw{i}", raw_confidence(F.col("values"), s, F.col(text)))
         raw = F.col(f"_raw{i}")
         score = raw["score"]
         if calib is not None:
@@ -217,7 +215,7 @@ def score_confidence(records: DataFrame, schema: TargetSchema, text: str = "text
         made.append(F.when(preset.isNotNull(), kept).otherwise(fresh))
     if not made:
         return out.withColumn("low_confidence", F.array().cast("array<struct<field:string,confidence:double,reason:string>>"))
-    out = out.withColumn("_scores", F.array(*made))
+    out = settled(out, _scores=F.array(*made))
     scores = F.map_from_entries(F.transform("_scores", lambda x: F.struct(x["field"], x["confidence"])))
     out = out.withColumn("confidence", _put(F.col("confidence"), scores)).withColumn("low_confidence", F.filter("_scores", lambda x: x["confidence"] < threshold))
     return out.drop("_scores", *[f"_raw{i}" for i in range(len(made))])
@@ -339,14 +337,17 @@ def apply_policies(metrics: DataFrame, policies: list[dict]) -> DataFrame:
 def failed_fields(schema: TargetSchema, repaired: Column | None = None) -> Column:
     """Declared fields to repair, each once: missing ones (always), then low confidence, then mismatches, less those repaired already."""
     names = F.array(*[F.lit(n) for n in schema.names()]).cast("array<string>")
-    v = F.col("values")
-    gone = F.filter(names, lambda n: is_missing(v[n]))
-    low = F.filter(F.transform("low_confidence", lambda x: x["field"]), lambda f: F.array_contains(names, f))
-    off = F.filter(names, lambda n: F.coalesce(F.col("label_status")[n] == "label_mismatch", F.lit(False)) | F.coalesce(F.col("column_status")[n] == "column_mismatch", F.lit(False)))
-    stale = F.concat(low, off)
-    if repaired is not None:
-        stale = F.array_except(stale, repaired)
-    return F.array_distinct(F.concat(gone, stale))
+
+    def failed(r):
+        gone = F.filter(names, lambda n: bind(r["values"][n], is_missing))
+        low = F.filter(F.transform(r["low_confidence"], lambda x: x["field"]), lambda f: F.array_contains(names, f))
+        off = F.filter(names, lambda n: F.coalesce(r["label_status"][n] == "label_mismatch", F.lit(False)) | F.coalesce(r["column_status"][n] == "column_mismatch", F.lit(False)))
+        stale = F.concat(low, off)
+        if repaired is not None:
+            stale = F.array_except(stale, repaired)
+        return F.array_distinct(F.concat(gone, stale))
+
+    return bind(F.struct("values", "low_confidence", "label_status", "column_status"), failed)
 
 
 def repair_prompt(text: Column, failed: Column, schema: TargetSchema) -> Column:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.numbers import cell_number
 from leafmill.functions.tables import headers_of_value, markdown_tables
-from leafmill.functions.text import collapse, lines, normalize_lines, quote
+from leafmill.functions.text import bind, collapse, lines, normalize_lines, quote
 from leafmill.functions.text import casefold as fold
+from leafmill.model import settled
 
 LABEL_STATUSES = ("label_mismatch", "no_evidence", "no_label", "unlocated", "verified")
 COLUMN_STATUSES = ("column_mismatch", "column_no_label", "column_verified", "no_table", "value_not_in_table")
@@ -46,14 +47,18 @@ def _any(text: Column, labels: list[str]) -> Column:
 
 def verify_label(evidence: Column, text: Column, expect: list[str], reject: list[str], reach: int = 60) -> Column:
     """Status of a quoted span by the labels on its line, up to ``reach`` characters before it, and in it; contradiction wins."""
+    def located(e):
+        return bind(normalize_lines(F.coalesce(text, F.lit(""))), lambda t: bind(F.position(e, t), lambda at: status(e, t, at)))
+
+    def status(e, t, at):
+        line = F.substring_index(F.substr(t, F.lit(1), F.greatest(at - 1, F.lit(0))), "\n", -1)
+        return F.when(at == 0, "unlocated").otherwise(bind(F.concat(F.right(line, F.lit(reach)), e), by_labels))
+
+    def by_labels(window):
+        return F.when(_any(window, reject), "label_mismatch").when(_any(window, expect), "verified").otherwise("no_label")
+
     e = F.trim(normalize_lines(F.coalesce(evidence, F.lit(""))))
-    t = normalize_lines(F.coalesce(text, F.lit("")))
-    at = F.position(e, t)
-    line = F.substring_index(F.substr(t, F.lit(1), F.greatest(at - 1, F.lit(0))), "\n", -1)
-    window = F.concat(F.right(line, F.lit(reach)), e)
-    return (
-        F.when(e == "", "no_evidence").when(at == 0, "unlocated").when(_any(window, reject), "label_mismatch").when(_any(window, expect), "verified").otherwise("no_label")
-    )
+    return bind(e, lambda e: F.when(e == "", "no_evidence").otherwise(located(e)))
 
 
 def verify_column(value: Column, tables: Column, expect: list[str], reject: list[str]) -> Column:
@@ -69,6 +74,12 @@ def verify_column(value: Column, tables: Column, expect: list[str], reject: list
     return F.when(F.size(tables) == 0, "no_table").otherwise(F.get(F.transform(F.array(found), status), F.lit(0)))
 
 
+def _status(name: str, of: Column) -> Column:
+    """A field's status, made only where the record has the field."""
+    ok = F.map_contains_key("values", name)
+    return F.struct(F.lit(name).alias("key"), F.when(ok, of).alias("value"), ok.alias("ok"))
+
+
 def _statuses(made: list[Column]) -> Column:
     if not made:
         return F.create_map().cast("map<string,string>")
@@ -77,10 +88,8 @@ def _statuses(made: list[Column]) -> Column:
 
 def verify_labels(records: DataFrame, text: str = "text", labels: Labels | None = None) -> DataFrame:
     """Set ``label_status`` of configured fields that a record has. Narrow; ``records`` carries the document's text."""
-    made = [
-        F.struct(F.lit(f).alias("key"), verify_label(F.col("evidence")[f], F.col(text), *el).alias("value"), F.map_contains_key("values", f).alias("ok")) for f, el in (LABELS if labels is None else labels).items()
-    ]
-    return records.withColumn("label_status", _statuses(made))
+    made = [_status(f, verify_label(F.col("evidence")[f], F.col(text), *el)) for f, el in (LABELS if labels is None else labels).items()]
+    return settled(records, label_status=_statuses(made))
 
 
 def verify_columns(records: DataFrame, text: str = "text", labels: Labels | None = None) -> DataFrame:

@@ -438,3 +438,11 @@ def test_office_files(spark, tmp_path):
     d = build({"pipeline": "ingest.default parse.default figures.extract figures.process figures.merge".split()}).run(Dataset(files.select("path", "content"), figures=figs))
     got = {r["path"][-4:]: r["markdown"] for r in d.documents.collect()}
     assert "[figure fig_0_0: 5x6 image/png]" in got["docx"] and got["pptx"].count("[figure ") == 2 and got["pptx"].count(MARK) == 1
+
+
+def test_costly_columns_stand_once_in_a_plan(spark, tmp_path):
+    from leafmill import queries
+
+    spark.createDataFrame([(i, 10.0 + i) for i in range(10)], "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    plan = queries.repair_candidates(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Total net worth") <= 3 and plan.count("no_evidence") <= 3
