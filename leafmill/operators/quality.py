@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leafmill.functions.coercion import as_double, coerced, is_absent, is_missing
 from leafmill.functions.numbers import value_in_text
 from leafmill.functions.text import bind, contains_word, evidence_snippet, normalize_span, normalize_value, snippet, strip
+from leafmill.durable import materialise
 from leafmill.model import PROVENANCE, VALUE, in_order, settled
 from leafmill.operators.extract import dedup_records, prompt_key
 from leafmill.schema import FieldSpec, TargetSchema
@@ -361,24 +362,28 @@ def repair_prompt(text: Column, failed: Column, schema: TargetSchema) -> Column:
 
 
 def repair(records: DataFrame, schema: TargetSchema, answer: Callable[[DataFrame], DataFrame], text: str = "text", max_rounds: int = 1, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Up to ``max_rounds`` rounds of asking for failed fields; ``repair_log`` lists (round, fields). A bounded driver loop over lazy plans.
+    """Up to ``max_rounds`` rounds of asking for failed fields; ``repair_log`` lists (round, fields). A bounded driver loop.
 
     ``answer``: (prompt_sha, prompt) rows to (prompt_sha, values) rows, a first record each. ``keep``: materialises a round, so that an
-    engine is asked once; give it whenever ``answer`` calls one.
+    engine is asked once; give it whenever ``answer`` calls one. What a round asks is written once, as requests and answers both need it;
+    records without failed fields are through, and take no part in the join or in later rounds.
     """
     none = F.array().cast("array<string>")
     out = records.withColumn("repaired", none).withColumn("repair_log", F.array().cast("array<struct<round:int,fields:array<string>>>"))
+    through = []
     for n in range(1, max_rounds + 1):
-        out = out.withColumn("_failed", failed_fields(schema, F.col("repaired")))
-        ask = F.when(F.size("_failed") > 0, repair_prompt(F.col(text), F.col("_failed"), schema))
-        out = out.withColumn("_prompt", ask).withColumn("prompt_sha", prompt_key(F.col("_prompt")))
-        got = answer(out.where("_prompt is not null").select("prompt_sha", F.col("_prompt").alias("prompt")).distinct()).select("prompt_sha", F.col("values").alias("_new"))
-        out = out.join(got, "prompt_sha", "left")
+        out = materialise(out.withColumn("_failed", failed_fields(schema, F.col("repaired"))), "repair")
+        through.append(out.where("size(_failed) = 0").drop("_failed"))
+        asked = settled(out.where("size(_failed) > 0"), _prompt=repair_prompt(F.col(text), F.col("_failed"), schema)).withColumn("prompt_sha", prompt_key(F.col("_prompt")))
+        got = answer(asked.select("prompt_sha", F.col("_prompt").alias("prompt")).distinct()).select("prompt_sha", F.col("values").alias("_new"))
+        out = asked.drop("_prompt").join(got, "prompt_sha", "left")
         new = F.map_filter(F.coalesce("_new", F.create_map().cast(f"map<string,{VALUE}>")), lambda k, v: F.array_contains("_failed", k))
-        out = out.withColumn("_use", new).withColumn("values", _put(F.col("values"), F.col("_use")))
+        out = settled(out, _use=new).withColumn("values", _put(F.col("values"), F.col("_use")))
         fields = F.array_intersect("_failed", F.map_keys("_use"))
-        log = F.when(F.col("_prompt").isNotNull(), F.concat("repair_log", F.array(F.struct(F.lit(n).alias("round"), fields.alias("fields"))))).otherwise(F.col("repair_log"))
-        out = out.withColumn("repair_log", log).withColumn("repaired", F.array_union("repaired", fields)).drop("_failed", "_prompt", "prompt_sha", "_new", "_use")
+        log = F.concat("repair_log", F.array(F.struct(F.lit(n).alias("round"), fields.alias("fields"))))
+        out = out.withColumn("repair_log", log).withColumn("repaired", F.array_union("repaired", fields)).drop("_failed", "prompt_sha", "_new", "_use")
         if keep:
             out = keep(out)
+    for part in through:
+        out = out.unionByName(part)
     return out.drop("repaired")

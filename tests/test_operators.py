@@ -446,3 +446,21 @@ def test_costly_columns_stand_once_in_a_plan(spark, tmp_path):
     spark.createDataFrame([(i, 10.0 + i) for i in range(10)], "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     plan = queries.repair_candidates(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Total net worth") <= 3 and plan.count("no_evidence") <= 3
+
+
+def test_repair_asks_and_joins_only_what_failed(spark):
+    from leafmill.schema import TargetSchema
+
+    schema = TargetSchema.of("total*:number")
+    value = "struct('string' as kind, if(id % 2 = 0, '', '5') as s)"
+    r = with_sides(spark.range(6).selectExpr("cast(id as string) doc_id", "0 record_ix", f"map('total', {value}) as values", "concat('text ', id) as text"))
+    r = r.withColumn("low_confidence", F.array().cast("array<struct<field:string,confidence:double,reason:string>>"))
+    asked = []
+
+    def answer(p):
+        asked.append((len(p.inputFiles()) > 0, p.count()))
+        return p.select("prompt_sha", F.expr("map('total', struct('string' as kind, '7' as s))").alias("values"))
+
+    got = {x["doc_id"]: (x["values"]["total"]["s"], len(x["repair_log"])) for x in quality.repair(r, schema, answer, max_rounds=2).collect()}
+    assert got == {str(i): ("5", 0) if i % 2 else ("7", 1) for i in range(6)}
+    assert asked == [(True, 3), (True, 0)], "each round reads what is written, and asks for failed records only"
