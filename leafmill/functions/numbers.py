@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import bind, collapse, normalize_text, strip
+from leafmill.functions.text import BLANKS, bind, collapse, normalize_text, strip
 
 _FLOAT = r"[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?"
 _INT = r"[+-]?\d+(_\d+)*"
@@ -73,17 +73,21 @@ def value_in_text(value: Column, text: Column) -> Column:
 
 def cell_number(x: Column) -> Column:
     """A table cell's number: currency, percent and blanks dropped; a final comma with one or two digits is a decimal comma."""
-    return bind(F.regexp_replace(x, rf"[%{_MONEY}]|(?U)\s", ""), _cell_number)
+    return bind(F.translate(x, f"%{_MONEY}{BLANKS}", ""), _cell_number)
 
 
 def _cell_number(s: Column) -> Column:
     eu = F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     comma = F.regexp_like(s, F.lit(r"\A[+-]?\d[.,\d]*,\d{1,2}\z"))
-    return F.when(comma, strict_double(eu)).otherwise(strict_double(F.replace(s, F.lit(","), F.lit(""))))
+    return bind(F.when(comma, eu).otherwise(F.replace(s, F.lit(","), F.lit(""))), _strict_double)
 
 
 def numbers_match(a: Column, b: Column, tolerance: float = 0.01) -> Column:
-    return F.coalesce(F.abs(a - b) <= tolerance, F.lit(False))
+    """At most ``tolerance`` apart as decimals: 1.01 and 1.00 match within 0.01, though their doubles are a little further apart."""
+    def match(x):
+        return F.coalesce(F.abs(x["a"] - x["b"]) <= tolerance + 2.0**-52 * (F.abs(x["a"]) + F.abs(x["b"])), F.lit(False))
+
+    return bind(F.struct(a.alias("a"), b.alias("b")), match)
 
 
 def is_close(a: Column, b: Column, rel: float = 1e-6, abs_: float = 1e-9) -> Column:

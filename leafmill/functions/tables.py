@@ -6,33 +6,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leafmill.functions.numbers import cell_number, numbers_match
-from leafmill.functions.text import lines, strip
+from leafmill.functions.text import BLANKS, bind, lines, strip, trimmed
 
 TABLE = "struct<header:array<string>,rows:array<array<string>>>"
 
 
 def cells(line: Column) -> Column:
     """A table line's cells, stripped, without one outer pipe on each side."""
-    inner = F.regexp_replace(F.regexp_replace(strip(line), r"\A[|]", ""), r"[|]\z", "")
-    return F.transform(F.split(inner, "[|]", -1), strip)
+    front = lambda s: F.when(F.startswith(s, F.lit("|")), F.substr(s, F.lit(2))).otherwise(s)
+    back = lambda s: F.when(F.endswith(s, F.lit("|")), F.left(s, F.length(s) - 1)).otherwise(s)
+    return bind(bind(trimmed(line), front), lambda s: F.transform(F.split(back(s), r"\|", -1), trimmed))
 
 
 def markdown_tables(text: Column) -> Column:
     """Tables of a text: runs of lines that begin with a pipe; the first is the header, rule lines are dropped, ragged rows stay."""
-    start = F.struct(F.array().cast(f"array<{TABLE}>").alias("done"), F.lit(False).alias("inside"))
+    # other lines become empty, so that empty lines part the tables; each line is looked at once, and no table is copied as it grows
+    marked = F.transform(lines(text), lambda x: F.when(F.startswith(F.ltrim(x, F.lit(BLANKS)), F.lit("|")), x).otherwise(""))
+    runs = F.filter(F.split(F.array_join(marked, "\n"), "\n\n+", -1), lambda r: ~r.isin("", "\n"))
 
-    def step(acc, line):
-        here = F.startswith(strip(line), F.lit("|"))
-        rule = F.regexp_like(line, F.lit(r"\A[-|:\s]+\z"))
-        done = acc["done"]
-        row = cells(line)
-        fresh = F.concat(done, F.array(F.struct(row.alias("header"), F.array().cast("array<array<string>>").alias("rows")).cast(TABLE)))
-        last = F.element_at(done, -1)
-        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["header"].alias("header"), F.concat(last["rows"], F.array(row)).alias("rows")).cast(TABLE)))
-        out = F.when(here & ~acc["inside"], fresh).when(here & ~rule, grown).otherwise(done)
-        return F.struct(out.alias("done"), here.alias("inside"))
+    def table(rows):
+        body = F.filter(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda x: ~F.regexp_like(x, F.lit(r"\A[-|:\s]++\z")))
+        return F.struct(cells(F.get(rows, F.lit(0))).alias("header"), F.transform(body, cells).alias("rows")).cast(TABLE)
 
-    return F.aggregate(lines(text), start, step, lambda a: a["done"])
+    return F.transform(runs, lambda r: bind(F.split(F.regexp_replace(r, r"\A\n|\n\z", ""), "\n", -1), table))
 
 
 def to_markdown(header: Column, rows: Column) -> Column:
@@ -47,8 +43,8 @@ def to_markdown(header: Column, rows: Column) -> Column:
 
 def headers_of_value(tables: Column, number: Column) -> Column:
     """The header of each cell that holds the number; '' for a cell beyond the header."""
-    def of_row(header, row):
-        hits = F.filter(F.transform(row, lambda c, i: F.struct(F.coalesce(numbers_match(cell_number(c), number), F.lit(False)).alias("hit"), F.coalesce(F.get(header, i), F.lit("")).alias("h"))), lambda x: x["hit"])
+    def of_row(header, row, n):
+        hits = F.filter(F.transform(row, lambda c, i: F.struct(F.coalesce(numbers_match(cell_number(c), n), F.lit(False)).alias("hit"), F.coalesce(F.get(header, i), F.lit("")).alias("h"))), lambda x: x["hit"])
         return F.transform(hits, lambda x: x["h"])
 
-    return F.flatten(F.transform(tables, lambda t: F.flatten(F.transform(t["rows"], lambda r: of_row(t["header"], r)))))
+    return bind(number, lambda n: F.flatten(F.transform(tables, lambda t: F.flatten(F.transform(t["rows"], lambda r: of_row(t["header"], r, n))))))

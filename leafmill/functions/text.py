@@ -13,6 +13,15 @@ def bind(x: Column, f) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
+#: What WS matches, for trims without a pattern.
+BLANKS = "\t\n\x0b\f\r\x20\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def trimmed(x: Column) -> Column:
+    """``strip`` for short strings, such as lines and cells: no pattern, but some memory for each character."""
+    return F.btrim(x, F.lit(BLANKS))
+
+
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, rf"{WS}+\z|\A{WS}+", "")
 

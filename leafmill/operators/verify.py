@@ -94,11 +94,9 @@ def verify_labels(records: DataFrame, text: str = "text", labels: Labels | None
 
 def verify_columns(records: DataFrame, text: str = "text", labels: Labels | None = None) -> DataFrame:
     """Set ``column_status`` of configured fields that a record has; tables are parsed once a row. Narrow."""
-    out = records.withColumn("_tables", markdown_tables(F.coalesce(F.col(text), F.lit(""))))
-    made = [
-        F.struct(F.lit(f).alias("key"), verify_column(F.col("values")[f]["s"], F.col("_tables"), *el).alias("value"), F.map_contains_key("values", f).alias("ok")) for f, el in (COLUMN_LABELS if labels is None else labels).items()
-    ]
-    return out.withColumn("column_status", _statuses(made)).drop("_tables")
+    out = settled(records, _tables=markdown_tables(F.coalesce(F.col(text), F.lit(""))))
+    made = [_status(f, verify_column(F.col("values")[f]["s"], F.col("_tables"), *el)) for f, el in (COLUMN_LABELS if labels is None else labels).items()]
+    return settled(out, column_status=_statuses(made)).drop("_tables")
 
 
 def status_counts(records: DataFrame, column: str = "label_status") -> DataFrame:
