@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,15 +133,8 @@ def requests(docs: DataFrame, schema: TargetSchema, text: Column, evidence: bool
 # --- replies
 
 
-def json_candidates(reply: Column) -> Column:
-    """Texts that may be the JSON, in order: fenced blocks, outermost brackets, outermost braces, all of it."""
-    fences = F.transform(F.regexp_extract_all(reply, F.lit(r"(?s)```(?:json|JSON)?\s*(.*?)```"), F.lit(1)), strip)
-    cut = lambda a, b: F.nullif(F.regexp_extract(reply, rf"(?s)({a}.*{b})", 1), F.lit(""))
-    return F.array_distinct(F.array_compact(F.concat(fences, F.array(cut(r"\[", r"\]"), cut(r"\{", r"\}"), strip(reply)))))
-
-
 def _is(json_: Column, mark: str) -> Column:
-    return F.startswith(F.ltrim(F.regexp_replace(json_, r"\A\s+", "")), F.lit(mark))
+    return F.startswith(F.ltrim(json_, F.lit(" \t\n\x0b\f\r")), F.lit(mark))
 
 
 def _parses(c: Column) -> Column:
@@ -151,18 +145,22 @@ def reply_json(reply: Column, strict: bool = False) -> Column:
     """The reply's JSON list or object; null for none. Strict takes the whole reply only."""
     if strict:
         return F.when(_is(reply, "{") & F.try_parse_json(reply).isNotNull(), reply)
-    return F.get(F.filter(json_candidates(reply), _parses), F.lit(0))
+    # in order: fenced blocks, outermost brackets, outermost braces, all of it; what comes after the first that parses is not looked at
+    fences = F.transform(F.regexp_extract_all(reply, F.lit(r"(?s)```(?:json|JSON)?\s*(.*?)```"), F.lit(1)), strip)
+    fenced = F.when(F.contains(reply, F.lit("```")), F.get(F.filter(fences, _parses), F.lit(0)))
+    cut = lambda a, b: F.regexp_extract(reply, rf"(?s)({a}.*{b})", 1)
+    first = lambda x: bind(x, lambda c: F.when(_parses(c), c))
+    return F.coalesce(fenced, first(cut(r"\[", r"\]")), first(cut(r"\{", r"\}")), first(strip(reply)))
 
 
 def reply_records(reply: Column, strict: bool = False) -> Column:
     """Each record of a reply as JSON text; null when it holds none, or an element that is no object."""
-    j = reply_json(reply, strict)
-    many = F.from_json(j, "array<string>")
-    inner = F.get_json_object(j, "$.records")
-    wrapped = F.from_json(inner, "array<string>")
-    single = F.lit(None).cast("array<string>") if strict else F.array(j)
-    got = F.when(_is(j, "["), many).when(_is(inner, "["), wrapped).otherwise(single)
-    return F.when(F.forall(got, lambda r: _is(r, "{")), got)
+    def of_object(j):
+        single = F.lit(None).cast("array<string>") if strict else F.array(j)
+        return bind(F.get_json_object(j, "$.records"), lambda inner: F.when(_is(inner, "["), F.from_json(inner, "array<string>")).otherwise(single))
+
+    got = bind(reply_json(reply, strict), lambda j: F.when(_is(j, "["), F.from_json(j, "array<string>")).otherwise(of_object(j)))
+    return bind(got, lambda g: F.when(F.forall(g, lambda r: _is(r, "{")), g))
 
 
 def json_value(raw: Column) -> Column:
@@ -184,17 +182,21 @@ class _Float(str):
     """A JSON number's literal that is no integer."""
 
 
+_LITERALS = json.JSONDecoder(parse_int=_Int, parse_float=_Float, parse_constant=_Float)
+
+
 def _raw_fields(record: str) -> list[tuple[str, str, str | None]]:
     """(key, kind, literal) of a JSON object, with Python's parser: the last of repeated keys counts."""
     kinds = {bool: "bool", _Int: "int", _Float: "float", str: "string"}
-    out = []
-    for k, v in json.loads(record, parse_int=_Int, parse_float=_Float, parse_constant=_Float).items():
+    out, plain = [], None
+    for k, v in _LITERALS.decode(record).items():
         if v is None:
             out.append((k, "null", None))
         elif type(v) in kinds:
             out.append((k, kinds[type(v)], ("true" if v else "false") if isinstance(v, bool) else str(v)))
         else:
-            out.append((k, "json", json.dumps(json.loads(record)[k], ensure_ascii=False, separators=(",", ":"))))
+            plain = json.loads(record) if plain is None else plain
+            out.append((k, "json", json.dumps(plain[k], ensure_ascii=False, separators=(",", ":"))))
     return out
 
 
@@ -205,21 +207,24 @@ def parse_replies(replies: DataFrame, evidence: bool = False, strict: bool = Fal
     keys are open and literals must stay as they are.
     """
     found = replies.select(F.col("doc_id").cast("string").alias("doc_id"), reply_records(F.col("reply"), strict).alias("rs"), F.col("reply"))
-    rows = found.select("doc_id", "reply", F.posexplode_outer("rs").alias("record_ix", "record"))
+    rows = found.select("doc_id", F.when(F.coalesce(F.size("rs"), F.lit(0)) <= 0, F.col("reply")).alias("reply"), F.posexplode_outer("rs").alias("record_ix", "record"))
     kind = "doc_id string, record_ix int, fields array<struct<key:string,kind:string,s:string>>, error_class string, error string"
 
-    def run(it: Iterator[pd.DataFrame]):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in it:
-            out = []
-            for d, reply, ix, r in zip(part["doc_id"], part["reply"], part["record_ix"], part["record"]):
-                if r is None:
-                    empty = reply is not None and json_is_empty(reply)
-                    out.append((d, None, [], None if empty else "unparseable", None if empty else f"no records in: {(reply or '')[:500]}"))
-                else:
-                    out.append((d, int(ix), [{"key": k, "kind": t, "s": s} for k, t, s in _raw_fields(r)], None, None))
-            yield pd.DataFrame(out, columns=["doc_id", "record_ix", "fields", "error_class", "error"]).astype({"record_ix": "Int32"})
-
-    got = rows.mapInPandas(run, kind).where("record_ix is not null or error_class is not null")
+            fields, ends, classes, errors = [], [0], [], []
+            for reply, r in zip(part.column("reply").to_pylist(), part.column("record").to_pylist()):
+                bad = r is None and not (reply is not None and json_is_empty(reply))
+                classes.append("unparseable" if bad else None)
+                errors.append(f"no records in: {(reply or '')[:500]}" if bad else None)
+                fields += [] if r is None else _raw_fields(r)
+                ends.append(len(fields))
+            text = [pa.array([f[i] for f in fields], pa.string()) for i in range(3)]
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(text, ["key", "kind", "s"]))
+            sides = [pa.array(x, pa.string()) for x in (classes, errors)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("record_ix"), listed, *sides], ["doc_id", "record_ix", "fields", "error_class", "error"])
+
+    got = rows.mapInArrow(run, kind).where("record_ix is not null or error_class is not null")
     plain = F.filter("fields", lambda f: f["key"] != "_evidence")
     values = F.map_from_entries(F.transform(plain, lambda f: F.struct(f["key"], F.struct(f["kind"].alias("kind"), f["s"].alias("s")).alias("value"))))
     quoted = F.from_json(F.get(F.filter("fields", lambda f: f["key"] == "_evidence"), F.lit(0))["s"], "map<string,string>")
